@@ -126,3 +126,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 def buckets(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
+
+
+#: Rows of a key table up to which it is broadcast; above, both sides are shuffled.
+SMALL = 200_000
+
+
+def join_checked(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df joined to a written table, broadcast only if its rows, counted, are few."""
+    return df.join(F.broadcast(small) if small.count() <= SMALL else small, keys, how)
