@@ -15,8 +15,11 @@ from .common import Scratch, let, text_of, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: By vote: its expected share on good and on bad documents, each with a weight in shares of all documents.
-PRIOR = {"g": ((0.9, 1.0), (0.5, 0.05)), "b": ((0.002, 1.0), (0.3, 0.05)), "a": ((0.098, 1.0), (0.2, 0.05))}
+#: What is expected of a vote on good and on bad documents, and the weight of that in shares of all documents.
+PRIOR = {"g": (0.9, 0.6), "b": (0.002, 0.3), "a": (0.098, 0.1)}
+WEIGHT = (3.0, 0.05)
+#: The expected share of bad documents; the most that a vote for a document counts (a rule sees few kinds of bad ones).
+BAD, MOST_FOR = 0.1, 0.02
 #: name: (good if, bad if); a document between the two gets no vote. Ratios are to the words of the document.
 RULES = {
     "length": ("n_words >= 50", "n_words < 20"),
@@ -104,17 +107,19 @@ def believe(patterns: dict[str, int], rounds: int = 100) -> tuple[float, list[di
     prior, odds, last = 0.0, [], -math.inf
     for _ in range(rounds):
         good = sum(n * post[p] for p, n in patterns.items())
-        prior = math.log((good + 1) / (total - good + 1))
+        bad = total - good
+        prior = math.log((good + (1 - BAD) * total) / (bad + BAD * total))
         odds = []
         for j in range(width):
             table = {}
-            for v in "gba":
-                one = sum(n * post[p] for p, n in patterns.items() if p[j] == v)
+            for v in "gb":
                 all_ = sum(n for p, n in patterns.items() if p[j] == v)
-                (p1, w1), (p0, w0) = PRIOR[v]
-                table[v] = math.log((one + p1 * w1 * total) / (good + w1 * total)) - math.log((all_ - one + p0 * w0 * total) / (total - good + w0 * total))
+                one = sum(n * post[p] for p, n in patterns.items() if p[j] == v)
+                on_good = (one + PRIOR[v][0] * WEIGHT[0] * total) / (good + WEIGHT[0] * total)
+                on_bad = (all_ - one + PRIOR[v][1] * WEIGHT[1] * total) / (bad + WEIGHT[1] * total)
+                table[v] = math.log(on_good / on_bad)
             table["a"] = 0.0  # an abstention is no evidence
-            table["g"], table["b"] = max(table["g"], 0.0), min(table["b"], 0.0)  # a rule is never believed to mean its opposite
+            table["g"], table["b"] = min(max(table["g"], 0.0), MOST_FOR), min(table["b"], 0.0)  # a rule never means its opposite
             odds.append(table)
         like = 0.0
         for p, n in patterns.items():
