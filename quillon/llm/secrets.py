@@ -71,14 +71,14 @@ def link(parts: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFrame:
     rows = parts.distinct().withColumn("_home", home).withColumn("_cut", F.explode(reach))
     back = Window.partitionBy(*keys, "_cut").orderBy("start").rangeBetween(-scope, scope)
     seen = {name: F.max((F.col("kind") == k).cast("int")).over(back) == 1 for k, name in enumerate(KINDS)}
-    rows = rows.withColumns({f"_{name}": near for name, near in seen.items()}).where("_home = _cut")
+    rows = rows.withColumns({f"_near_{name}": near for name, near in seen.items()}).where("_home = _cut")
     linked = F.lit(False)
     for name, (_, needs) in WEAK.items():
         whole = F.lit(True)
         for group in needs:
             some = F.lit(False)
             for other in group:
-                some = some | F.col(f"_{other}")
+                some = some | F.col(f"_near_{other}")
             whole = whole & some
         linked = linked | ((F.col("kind") == KINDS.index(name)) & whole)
     return rows.where(linked).select(*keys, "start", "kind", "end")
