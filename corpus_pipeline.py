@@ -9,9 +9,14 @@ from quillon.llm import mixing, neardup, packing, quality, secrets
 from quillon.llm.common import Scratch, join_checked
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """What the operators read, and beside it the whole row as one column, so that no name can clash."""
+    return docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_doc"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality.quality_rules(docs, columns=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return quality.quality_rules(held(docs), columns=("_doc",)).where("kept").select("_doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,21 +28,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the text."""
-    found = secrets.scan(docs, columns=tuple(docs.columns))
-    hit = F.size("spans") > 0
-    columns = {"text": secrets.redact(F.col("text"), F.col("spans")).alias("text")}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(hit, F.length(columns["text"]).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return found.select(*[columns.get(c, F.col(c)) for c in docs.columns])
+    found = secrets.scan(held(docs), columns=("_doc",)).withColumn("_hit", F.size("spans") > 0)
+    text = F.when(F.col("_hit"), secrets.redact(F.col("_doc.text"), F.col("spans"))).otherwise(F.col("_doc.text"))
+    columns = {"text": text, "n_chars": F.when(F.col("_hit"), F.length(text).cast("long")).otherwise(F.col("_doc.n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return found.select(*[columns.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
     scratch = Scratch(spark)
-    keyed = docs.withColumn("_k", F.xxhash64(*docs.columns))
+    keyed = held(docs).withColumn("_k", F.xxhash64(*[F.col("_doc").getField(c) for c in docs.columns])) if not any(t.startswith("map") for _, t in docs.dtypes) else held(docs).withColumn("_k", F.xxhash64("doc_id", "text", "source"))
     copies = mixing.mix(keyed, scratch, columns=("doc_id", "_k")).groupBy("_k").agg(F.sum("copies").alias("_n")).where("_n > 0")
-    out = keyed.dropDuplicates(["_k"]).join(scratch.save(copies, "copies"), "_k")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    out = keyed.select("_doc", "_k").dropDuplicates(["_k"]).join(scratch.save(copies, "copies"), "_k")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

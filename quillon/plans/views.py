@@ -85,7 +85,7 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "ingredient_panel").when(F.col("event_type") == "signup", "recipe_record").when(F.col("event_type") == "click", "manufacturer_record").otherwise("user_note")
     source = F.struct(
         F.col("event_id").cast("string").alias("source_id"), F.col("rid").alias("record_id"), F.lit("__record__").alias("item_id"), kind.alias("source_type"), F.create_map(F.lit("parity"), fact).alias("facts"),
-        F.col("ts").alias("observed_at"), F.lit(True).alias("available_at_inference"), F.lit(False).alias("reference_only"),
+        F.col("ts").cast("timestamp").alias("observed_at"), F.lit(True).alias("available_at_inference"), F.lit(False).alias("reference_only"),
         F.when(F.col("event_type").isin("purchase", "signup", "click"), "reviewed").otherwise("draft").alias("verification_status"), (F.col("value") > 200).alias("conflict"),
     )
     rows = e.groupBy("rid").agg(F.min("user_id").alias("user_id"), F.collect_list(source).alias("sources"))
