@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, buckets
+from .text import BLANK, LOWER, between, chunks, sums, words
 
 #: Pieces that one task packs.
 GROUP = 20_000
 #: Words whose ids a Python worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -25,30 +26,62 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds(dict):
-    """ids of a word as bytes. The vocabulary's splits never cross blanks, so the ids of a text are those of its words."""
+class WordIds:
+    """ids of whole texts from the ids of their words, each word asked of the tokenizer once.
+
+    The vocabulary splits texts at blanks and between letters and signs, and is in lower case, so words are told
+    apart by ASCII blanks, A-Z is lower-cased, and a final stop or comma behind an ASCII letter is a word of its own.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > REMEMBERED:
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[int, int] = {}
+        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, hashes: list[int], words: list[str]) -> None:
+        flat, counts = [self.flat], []
+        for i in range(0, len(words), 1000):  # long texts make the tokenizer slower
+            part = words[i : i + 1000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            flat.append(np.array(found.ids, np.uint32))
+            at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            counts.append(np.diff(np.searchsorted(at, np.cumsum([0, *(len(w) + 1 for w in part)]))))
+        self.row.update(zip(hashes, range(len(self.row), len(self.row) + len(words)), strict=True))
+        self.flat = np.concatenate(flat)
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(counts))])
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows, and where each row's begin; one more at the end."""
+        data = LOWER[data]
+        stop = np.zeros(len(data) + 1, bool)
+        if len(data):
+            closes = np.append(BLANK[data[1:]], True)
+            closes[offsets[(offsets > 0)] - 1] = True
+            letter = (data >= 97) & (data <= 122)
+            stop[1:-1] = ((data[1:] == 46) | (data[1:] == 44)) & closes[1:] & letter[:-1]
+            stop[offsets] = False
+        starts, ends, first = words(data, offsets, stop)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        known, where, which = np.unique(between(sums(data), starts, ends), return_index=True, return_inverse=True)
+        hashes = known.tolist()
+        if len(self.row) + len(hashes) > REMEMBERED:
             self.clear()
-        self[word] = ids = self.whole(word)
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        # Python's split() also parts at these four, which the tokenizer takes for symbols
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        new = [i for i, h in enumerate(hashes) if h not in self.row]
+        if new:
+            cut = where[new]
+            self.learn([hashes[i] for i in new], [data[a:b].tobytes().decode() for a, b in zip(starts[cut].tolist(), ends[cut].tolist(), strict=True)])
+        rows = np.fromiter(map(self.row.__getitem__, hashes), np.int64, len(hashes))[which]
+        count = self.start[rows + 1] - self.start[rows]
+        until = np.concatenate([[0], np.cumsum(count)])
+        place = np.repeat(self.start[rows] - until[:-1], count) + np.arange(until[-1])
+        return self.flat[place], until[first]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -61,16 +94,17 @@ def pieces(docs: DataFrame, limit: int, path: str) -> DataFrame:
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _loaded:
             _loaded[path] = WordIds(path)
-        ids_of = _loaded[path].ids
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            texts = batch.column("text")
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                ids = ids_of(texts[i].as_py() or "") + b"\0\0\0\0"
-                for piece, start in enumerate(range(0, len(ids), 4 * limit)):
-                    part = ids[start : start + 4 * limit]
-                    for column, x in zip(rows, (doc, piece, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(x)
+            docs = batch.column("doc_id").to_pylist()
+            for at, data, offsets in chunks(batch.column("text"), 4 << 20):
+                flat, begin = _loaded[path].ids(data, offsets)
+                for doc, a, b in zip(docs[at : at + len(begin) - 1], begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                    ids = flat[a:b].astype("<u4").tobytes() + b"\0\0\0\0"
+                    for piece, start in enumerate(range(0, len(ids), 4 * limit)):
+                        part = ids[start : start + 4 * limit]
+                        for column, x in zip(rows, (doc, piece, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

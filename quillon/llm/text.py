@@ -68,11 +68,13 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarr
         row = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends) of all words, and for each row the first of its words; one more at the end."""
+def words(data: np.ndarray, offsets: np.ndarray, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends) of all words, and for each row the first of its words; one more at the end. also: where words begin besides."""
     solid = ~BLANK[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
+    if also is not None:
+        first |= also
     before = np.empty(len(data), bool)
     before[:1] = False
     before[1:] = solid[:-1]
