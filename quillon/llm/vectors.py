@@ -22,6 +22,8 @@ from .neardup import Forest
 SHARD, QUERIES = 8192, 4096
 #: Neighbours of a node above and on the ground level; width of the beam while building and at first while searching.
 DEGREE, GROUND, BUILD, SEARCH = 12, 24, 48, 48
+#: Width from which on a query's beam is the whole shard.
+SCAN = 200
 #: Queries a task audits, and the recall that it must meet.
 AUDITED, RECALL = 64, 0.995
 
@@ -142,6 +144,12 @@ class Graph:
         out: list[np.ndarray] = [np.zeros(0, int)] * len(queries)
         todo = np.arange(len(queries))
         while len(todo):
+            if width > SCAN:  # a beam that must hold much of the shard is no better than reading it all
+                for i in range(0, len(todo), 512):
+                    hit = queries[todo[i : i + 512]] @ self.x.T >= threshold
+                    for q, row in zip(todo[i : i + 512], hit, strict=True):
+                        out[q] = np.flatnonzero(row)
+                break
             at = np.full(len(todo), self.entry)
             for lv in range(len(self.levels) - 1, 0, -1):
                 at = beam(self.x, self.levels[lv], queries[todo], at, 1)[0][:, 0]
