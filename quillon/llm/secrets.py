@@ -16,14 +16,12 @@ BASE = {
 #: Parts that say little alone. kind: (pattern, kinds of which one must stand near, for each of the listed groups)
 WEAK = {
     "id": (r"""(?i:client_?id|account_?id|user_?name|login|user)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}|\bA[KS]IA[A-Z0-9]{8,15}(?![A-Z0-9])""", (("assign", "hex", "key"),)),
-    "key": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,39}[0-9])(?=[a-z0-9+/_-]{0,39}[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}", (("access", "id", "host"),)),
+    "key": (r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]{0,39}[0-9])(?=[a-z0-9+/_-]{0,39}[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}", (("access", "id", "host"),)),
     "host": (r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\x20\x09-\x0D"'<>]+|\b(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}""", (("access", "id"), ("assign", "hex", "key"))),
 }
 KINDS = (*BASE, *WEAK)
 #: Parts of one credential begin at most so many code points apart.
 SCOPE = 200
-#: A document without any of these has no span of any kind.
-HINT = r"""(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{24}"""
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -98,12 +96,12 @@ def scan(docs: DataFrame, scratch: Scratch | None = None, columns: tuple[str, ..
     scratch = scratch or Scratch(docs.sparkSession)
     carry = [c for c in docs.columns if c in columns]
     text = text_of()
-    rows = docs.select(*carry, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t"), F.rlike(text, F.lit(HINT)).alias("_hint"))
+    rows = docs.select(*carry, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t"))
     empty = F.array().cast(SPAN)
     rows = rows.select(
         *carry, "_id", "_h",
-        F.when(F.col("_hint"), base_spans(F.col("_t"))).otherwise(empty).alias("base"),
-        F.when(F.col("_hint"), weak_spans(F.col("_t"))).otherwise(empty).alias("_weak"),
+        base_spans(F.col("_t")).alias("base"),
+        weak_spans(F.col("_t")).alias("_weak"),
     )
     rows = scratch.save(rows, "parts")
     parts = rows.where(F.size("_weak") > 0).select("_id", "_h", F.explode(F.concat("base", "_weak")).alias("s")).select("_id", "_h", "s.*")

@@ -204,10 +204,11 @@ def test_secrets(docs, rows, empty):
 
 def test_weak_parts_need_each_other(spark):
     text = "user=admin1 key Zk93kLmQpR82xYvB01Qa password=hunter22x https://db.example.com/x"
-    df = spark.createDataFrame([(1, text), (2, "user=admin1 and nothing else, token"), (3, text + " . " * 400 + "user=bob77")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, text), (2, "user=admin1 and nothing else, token"), (3, text + " . " * 400 + "user=bob77"), (4, "login: carol Zk93kLmQpR82xYvB01Qa"), (5, "https://example.com/Docs/Guide2023/IntroductionToMany")], "doc_id long, text string")
     spans = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(df)).collect()}
     assert all(f"{k}:" in spans[1] for k in ("id", "key", "host", "assign")) and spans[2] == ""
     assert spans[3].count("id:") == 1
+    assert "id:" in spans[4] and "key:" in spans[4] and spans[5] == ""  # no base span near; a long path is no key
     out = secrets.scan(df, columns=("doc_id", "text")).select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()
     assert "hunter22x" not in {r["doc_id"]: r["t"] for r in out}[1]
 
