@@ -40,7 +40,27 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, rank, surroundings) of all anchors of the rows; places count from the row's start."""
+    """(row, first window, last window, rank, surroundings) of all anchors of the rows; places count from the row's start.
+
+    PLACE bounds the places that are told apart: more bytes are taken in stretches that overlap by least - 1, so that
+    each window is in one of them. An anchor whose windows lie in two stretches is listed for each.
+    """
+    room = int(PLACE) + 1
+    if room < least:
+        raise ValueError(f"PLACE has room for {room} bytes, fewer than the {least} of a window")
+    if len(data) <= room:
+        return _anchors(data, offsets, least)
+    found = []
+    for at in range(0, len(data) - least + 1, room - least + 1):
+        part = data[at : at + room]
+        row, first, last, *rest = _anchors(part, np.clip(offsets - at, 0, len(part)), least)
+        moved = np.maximum(at - offsets[row], 0)
+        found.append((row, first + moved, last + moved, *rest))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """anchors() of at most PLACE + 1 bytes."""
     h = least // 2
     width = least - h + 1
     none = np.zeros(0, np.int64)
