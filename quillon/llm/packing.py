@@ -134,44 +134,103 @@ def best_fit(lengths: np.ndarray, limit: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, limit: int, effort: int = 200_000) -> list[list[int]]:
+class Rooms:
+    """The pieces of underfull bins by what could stand in their place: at most their size and the room of their bin.
+
+    least[c] is the smallest size of a piece whose place, with the room of its bin, holds c; size 0 is a bin's bare room.
+    """
+
+    def __init__(self, limit: int):
+        self.none = limit + 1
+        self.least = np.full(limit + 1, self.none, np.int64)
+        self.sizes = [0] * (limit + 1)  # by c: bit m is set if a piece of size m is there
+        self.bins: dict[tuple[int, int], dict[int, None]] = {}
+
+    def add(self, b: int, room: int, sizes: set[int]) -> None:
+        for m in (0, *sizes):
+            self.bins.setdefault((m + room, m), {})[b] = None
+            self.sizes[m + room] |= 1 << m
+            if m < self.least[m + room]:
+                self.least[m + room] = m
+
+    def remove(self, b: int, room: int, sizes: set[int]) -> None:
+        for m in (0, *sizes):
+            c = m + room
+            there = self.bins[c, m]
+            del there[b]
+            if not there:
+                del self.bins[c, m]
+                left = self.sizes[c] = self.sizes[c] & ~(1 << m)
+                self.least[c] = (left & -left).bit_length() - 1 if left else self.none
+
+    def best(self, options: np.ndarray, room: int) -> tuple[int, int, int, int] | None:
+        """(n, c, m, bin) of the largest n - m > 0 for an n among options, n <= c < n + room, m = least[c]; the least such c.
+
+        A giver with that room raises the sum of squared fills by 2 * (n - m) * (n + room - c).
+        """
+        have, x = 1, np.concatenate([self.least, np.full(room, self.none)])
+        while 2 * have <= room:
+            x = np.minimum(x[:-have], x[have:])
+            have *= 2
+        low = np.minimum(x[options], x[options + room - have])
+        at = int(np.argmax(options - low))
+        n, m = int(options[at]), int(low[at])
+        if n <= m:
+            return None
+        c = n + int(np.argmax(self.least[n : n + room] == m))
+        return n, c, m, next(iter(self.bins[c, m]))
+
+
+def improve(bins: list[list[int]], lengths: np.ndarray, limit: int) -> list[list[int]]:
     """Local search between underfull bins: a document moves, or one or two are exchanged for one, if that raises the
-    sum of squared fills; bins that run empty go. The emptiest bin gives. effort bounds the exchanges looked at."""
+    sum of squared fills; bins that run empty go. The emptiest bin gives as much as it can, then the next one, and so on
+    in rounds, until the bins are as few as the total length allows or no bin can give."""
     size = lengths.tolist()
+    bins = [list(b) for b in bins if b]
     fill = [sum(size[i] for i in b) for b in bins]
-    least = -(-sum(fill) // limit)
-    open_ = sorted((b for b in range(len(bins)) if fill[b] < limit), key=lambda b: fill[b])
-    stuck: set[int] = set()
-    while sum(1 for b in bins if b) > least and effort > 0:
-        giver = next((b for b in open_ if bins[b] and b not in stuck), None)
-        if giver is None:
-            break
-        better = None
-        takers = [b for b in open_ if b != giver and bins[b] and fill[b] < limit]
-        mine = sorted(bins[giver], key=lambda i: -size[i])
-        options = [((i,), size[i]) for i in mine] + [((i, j), size[i] + size[j]) for x, i in enumerate(mine[:24]) for j in mine[x + 1 : 24]]
-        for b in sorted(takers, key=lambda b: -fill[b]):
-            room = limit - fill[b]
-            theirs = [((), 0), *(((j,), size[j]) for j in bins[b])]
-            for out, n in options:
-                for back, m in theirs:
-                    effort -= 1
-                    gain = n - m
-                    # squared fills rise by 2 * gain * (fill[b] - fill[giver] + gain)
-                    if 0 < gain <= room and fill[b] - fill[giver] + gain > 0 and (better is None or gain * (fill[b] - fill[giver] + gain) > better[0]):
-                        better = (gain * (fill[b] - fill[giver] + gain), b, out, back, gain)
-            if effort <= 0 or (better and better[4] == room):
+    excess = len(bins) - -(-sum(fill) // limit)
+    rooms = Rooms(limit)
+    sizes_of = lambda b: {size[i] for i in bins[b]}
+    for b in range(len(bins)):
+        if fill[b] < limit:
+            rooms.add(b, limit - fill[b], sizes_of(b))
+    moved = True
+    while moved and excess > 0:
+        moved = False
+        for giver in sorted((b for b in range(len(bins)) if 0 < fill[b] < limit), key=lambda b: fill[b]):
+            if excess <= 0:
                 break
-        if better is None:
-            stuck.add(giver)
-            continue
-        _, b, out, back, gain = better
-        bins[giver] = [i for i in bins[giver] if i not in out] + list(back)
-        bins[b] = [i for i in bins[b] if i not in back] + list(out)
-        fill[giver] -= gain
-        fill[b] += gain
-        stuck.clear()
-        open_ = sorted((x for x in open_ if bins[x] and fill[x] < limit), key=lambda x: fill[x])
+            if not 0 < fill[giver] < limit:  # emptied or filled since
+                continue
+            rooms.remove(giver, limit - fill[giver], sizes_of(giver))
+            while bins[giver]:
+                at: dict[int, list[int]] = {}
+                for i in bins[giver]:
+                    at.setdefault(size[i], []).append(i)
+                kinds = sorted(at)
+                two = [j + k for x, j in enumerate(kinds) for k in kinds[x if len(at[j]) > 1 else x + 1 :]]
+                found = rooms.best(np.array(kinds + two), limit - fill[giver])
+                if found is None:
+                    break
+                n, c, m, b = found
+                if n in at:
+                    out = at[n][:1]
+                else:
+                    one = next(k for k in at if n - k in at and (n != 2 * k or len(at[k]) > 1))
+                    out = at[one][:1] + at[n - one][-1:]
+                rooms.remove(b, limit - fill[b], sizes_of(b))
+                back = [next(i for i in bins[b] if size[i] == m)] if m else []
+                bins[giver] = [i for i in bins[giver] if i not in out] + back
+                bins[b] = [i for i in bins[b] if i not in back] + out
+                fill[giver] -= n - m
+                fill[b] += n - m
+                if fill[b] < limit:
+                    rooms.add(b, limit - fill[b], sizes_of(b))
+                moved = True
+            if bins[giver]:
+                rooms.add(giver, limit - fill[giver], sizes_of(giver))
+            else:
+                excess -= 1
     return [b for b in bins if b]
 
 
