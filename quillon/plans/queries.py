@@ -388,6 +388,13 @@ def run_status(spark, d):
     return locks.run_status(e, reg).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("with s as (select event_id % 3 as sig, event_id % 2 = 0 as done from events) select case when sig is null then 'not_started' when done and sig <> 0 then 'complete_incompatible' when done then 'complete' else 'resumable' end as status, count(*) as n from s group by 1")
+def run_status_all_events(spark, d):
+    e = V.read(spark, d, "events").select(F.col("event_id").alias("run_id"), F.lit(0).cast("long").alias("signature"))
+    reg = e.select("run_id", (F.col("run_id") % 3).alias("signature"), (F.col("run_id") % 2 == 0).alias("complete"))
+    return locks.run_status(e, reg).groupBy("status").agg(F.count("*").alias("n"))
+
+
 @query("select (i / 2)::int::bigint % 3 <> 0 as documented, case when i % 2 = 0 then 'meal' else 'product' end as domain, count(*) as n from (select unnest(range(64)) as i) group by all".replace("(i / 2)::int::bigint", "(i // 2)"))
 def synthetic_fixture(spark, d):
     return readers.fixture(spark).groupBy("documented", "domain").agg(F.count("*").alias("n"))
