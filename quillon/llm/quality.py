@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +16,10 @@ from .common import Scratch, let, text_of, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: What is expected of a vote on good and on bad documents, and the weight of that in shares of all documents.
-PRIOR = {"g": (0.9, 0.6), "b": (0.002, 0.3), "a": (0.098, 0.1)}
-WEIGHT = (3.0, 0.05)
-#: The expected share of bad documents; the most that a vote for a document counts (a rule sees few kinds of bad ones).
-BAD, MOST_FOR = 0.1, 0.02
+#: Votes against and for documents that are taken as seen before any, on good and on bad ones, whatever the size of the
+#: corpus: rules seldom speak against a good document. So are good and bad documents.
+PSEUDO = ((0.01, 100.0), (0.3, 0.7))
+DOCS = (9.0, 1.0)
 #: name: (good if, bad if); a document between the two gets no vote. Ratios are to the words of the document.
 RULES = {
     "length": ("n_words >= 50", "n_words < 20"),
@@ -92,44 +92,45 @@ def votes() -> Column:
     return F.concat(*[F.when(F.expr(bad), "b").when(F.expr(good), "g").otherwise("a") for good, bad in RULES.values()])
 
 
-def believe(patterns: dict[str, int], rounds: int = 100) -> tuple[float, list[dict[str, float]]]:
+def believe(patterns: dict[str, int], rounds: int = 2000) -> tuple[float, list[dict[str, float]]]:
     """EM with two accuracies a rule, one on good and one on bad documents: prior log odds, and by rule those of each vote.
 
-    It starts from doubt in every document that a rule speaks against, and leans on what the rules are written for
-    (PRIOR): they seldom speak against a good document, and each knows only some kinds of bad ones. It ends when the
-    likelihood stops rising. No pattern: prior 0 and votes that say nothing.
+    An abstention is no evidence. What is expected (PSEUDO, DOCS) counts as a few documents, so the corpus decides. EM
+    ends when the posterior density stops rising; it starts twice, from doubt in every document that a rule speaks
+    against and from the share of the votes, and the likelier end counts. A rule never means its opposite: where it
+    speaks against good documents as often as against bad ones or more, its votes say nothing. No pattern: prior 0 and
+    votes that say nothing.
     """
-    total = sum(patterns.values())
-    width = len(RULES)
-    if not total:
-        return 0.0, [{"g": 0.0, "b": 0.0, "a": 0.0} for _ in range(width)]
-    post = {p: 0.1 if "b" in p else 0.9 for p in patterns}
-    prior, odds, last = 0.0, [], -math.inf
-    for _ in range(rounds):
-        good = sum(n * post[p] for p, n in patterns.items())
-        bad = total - good
-        prior = math.log((good + (1 - BAD) * total) / (bad + BAD * total))
-        odds = []
-        for j in range(width):
-            table = {}
-            for v in "gb":
-                all_ = sum(n for p, n in patterns.items() if p[j] == v)
-                one = sum(n * post[p] for p, n in patterns.items() if p[j] == v)
-                on_good = (one + PRIOR[v][0] * WEIGHT[0] * total) / (good + WEIGHT[0] * total)
-                on_bad = (all_ - one + PRIOR[v][1] * WEIGHT[1] * total) / (bad + WEIGHT[1] * total)
-                table[v] = math.log(on_good / on_bad)
-            table["a"] = 0.0  # an abstention is no evidence
-            table["g"], table["b"] = min(max(table["g"], 0.0), MOST_FOR), min(table["b"], 0.0)  # a rule never means its opposite
-            odds.append(table)
-        like = 0.0
-        for p, n in patterns.items():
-            z = prior + sum(t[v] for t, v in zip(odds, p, strict=True))
-            post[p] = 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
-            like += n * (math.log1p(math.exp(-abs(z))) + max(z, 0.0))
-        if abs(like - last) < 1e-9 * (1 + abs(like)):
-            break
-        last = like
-    return prior, odds
+    if not sum(patterns.values()):
+        return 0.0, [{"g": 0.0, "b": 0.0, "a": 0.0} for _ in RULES]
+    names = sorted(patterns)  # sums in one order, whatever that of the counts
+    n = np.array([patterns[p] for p in names], float)
+    votes_ = np.array([list(p) for p in names])
+    for_, against = (votes_ == "g").astype(float), (votes_ == "b").astype(float)
+    share = (for_.sum(1) + 1) / (for_.sum(1) + against.sum(1) + 2)
+    ends = []
+    for post in (np.where(against.any(1), 0.001, 0.999), share):
+        last = -math.inf
+        for _ in range(rounds):
+            good, bad = n * post, n * (1 - post)
+            pi = (good.sum() + DOCS[0]) / (n.sum() + sum(DOCS))
+            said = [(w @ against + b, w @ for_ + g) for w, (b, g) in zip((good, bad), PSEUDO, strict=True)]
+            rate = [b / (b + g) for b, g in said]
+            pooled = (said[0][0] + said[1][0]) / (sum(said[0]) + sum(said[1]))
+            opposite = rate[0] > rate[1]
+            on_good, on_bad = (np.where(opposite, pooled, r) for r in rate)
+            of_good = math.log(pi) + against @ np.log(on_good) + for_ @ np.log(1 - on_good)
+            of_bad = math.log(1 - pi) + against @ np.log(on_bad) + for_ @ np.log(1 - on_bad)
+            like = n @ np.logaddexp(of_good, of_bad) + DOCS[0] * math.log(pi) + DOCS[1] * math.log(1 - pi)
+            like += sum((b * np.log(r) + g * np.log(1 - r)).sum() for r, (b, g) in zip((on_good, on_bad), PSEUDO, strict=True))
+            post = np.exp(of_good - np.logaddexp(of_good, of_bad))
+            if like - last < 1e-10 * (1 + abs(like)):
+                break
+            last = like
+        ends.append((float(like), pi, on_good, on_bad))
+    _, pi, on_good, on_bad = max(ends, key=lambda e: e[0])
+    odds = [{"g": math.log((1 - p) / (1 - q)), "b": math.log(p / q), "a": 0.0} for p, q in zip(on_good.tolist(), on_bad.tolist(), strict=True)]
+    return math.log(pi / (1 - pi)), odds
 
 
 def judge(measured: DataFrame, threshold: float = 0.6) -> DataFrame:
