@@ -31,10 +31,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Where it is known, Spark deletes the shuffle files of a write when the write has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written below spark.checkpoint.dir, which every executor sees, so that a lost executor costs no lineage.
 
-    Where the setting is absent (tests on one machine) a temporary folder stands in.
+    A step that has been written needs its shuffle files no more, so they go with it. Where the setting is absent, a
+    temporary folder stands in on one machine (tests); on a cluster that is an error, since executors would each
+    write to a disk of their own. close() deletes all that was written; results are read from there, so it comes last.
     """
 
     def __init__(self, spark: SparkSession):
@@ -44,6 +50,8 @@ class Scratch:
             base = spark.sparkContext._jsc.sc().getCheckpointDir()
             base = base.get() if base.isDefined() else None
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="quillon-")
             spark.sparkContext.setCheckpointDir(base)
         self.root = f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
@@ -51,19 +59,30 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, None)
+        if before is not None:
+            conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").options(compression="zstd", **options).parquet(self.path(name))
+        finally:
+            if before is not None:
+                conf.set(CLEANUP, before)
         return self.load(df, name)
 
     def load(self, like: DataFrame, name: str) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
-        conf = self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = hadoop(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(self.path(name))
+
+    def close(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def source_key(source: Column) -> Column:
@@ -135,3 +154,19 @@ SMALL = 200_000
 def join_checked(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """df joined to a written table, broadcast only if its rows, counted, are few."""
     return df.join(F.broadcast(small) if small.count() <= SMALL else small, keys, how)
+
+
+#: A key with more than this share of all rows is hot; there are at most 1 / HOT of them.
+HOT = 0.001
+
+
+def join_spread(df: DataFrame, small: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """df joined to a written table of a row a key, which has the key's number of rows; no task gets a whole hot key.
+
+    A short table is broadcast. Of a long one only the hot keys are, fewer than 1 / HOT; the rest is shuffled.
+    """
+    if small.count() <= SMALL:
+        return df.join(F.broadcast(small), keys)
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    hot = F.broadcast(small.where(F.col(rows) > HOT * total))
+    return df.join(hot, keys).unionByName(df.join(hot.select(*keys), keys, "left_anti").join(small, keys).select(*df.join(hot, keys).columns))

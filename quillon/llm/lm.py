@@ -1,43 +1,168 @@
-"""Stupid-backoff scores, relationally: n-gram counts dealt by hash, joined to the n-grams of the documents."""
+"""Stupid-backoff scores, relationally: n-gram count tables partitioned by hash, joined to exploded n-grams.
+
+Documents are taken in batches, and a batch lists each of its n-grams once, with its count: a gram that is common
+in the corpus costs one row a batch, not one an occurrence. Grams are dealt by hash, summed to the count table and
+joined to it where they lie; what goes back to the batches are the counts that they could not know, those of grams
+that other batches have too. Slices of the hash space follow one another, so disk holds one slice's shuffle.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of, words_of
+from .common import Scratch, text_of
+from .text import between, chunks, mix, sums, words
 
 #: What a step back costs.
 BACKOFF = 0.4
+#: Parts of the hash space that are counted, and of the batches that are scored, one after the other.
+SLICES = 4
+#: Bytes of text in a batch; a longer document is a batch of its own.
+BATCH = 8 << 20
+_U = np.uint64
+_ODD = _U(0x9E3779B97F4A7C15)
+#: Marks that keep the kinds of grams apart: a word, a word that ends a document, a document, a pair.
+WORD, END, DOCUMENT, PAIR = (_U(x) for x in (0x1F, 0x2D, 0x3B, 0x49))
+
+
+def gram(kind: np.uint64, *parts: np.ndarray) -> np.ndarray:
+    h = np.full(len(parts[0]), kind, _U)
+    for p in parts:
+        h = mix(h * _ODD + p)
+    return h
+
+
+class Batch:
+    """The grams of some documents: local words are numbered, and so are local pairs of them."""
+
+    def __init__(self, word: np.ndarray, codes: np.ndarray, first: np.ndarray, keys: np.ndarray):
+        self.word, self.codes, self.first, self.keys = word, codes, first, keys
+        n = len(codes)
+        self.row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        before = np.empty(n, np.int64)
+        before[1:] = codes[:-1]
+        self.full = np.flatnonzero(np.diff(first))  # documents with words
+        before[first[self.full]] = len(word)  # the opening mark
+        self.before = before
+        self.width = len(word) + 1
+        self.pairs, self.pair, self.pair_n = np.unique(before * self.width + codes, return_inverse=True, return_counts=True)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, counts) of words, ends, documents and pairs, in this order, each once."""
+        ends = np.bincount(self.codes[self.first[1:][self.full] - 1], minlength=len(self.word))
+        self.ended = np.flatnonzero(ends)
+        self.key, self.which, same = np.unique(self.keys, return_inverse=True, return_counts=True)
+        named = np.append(self.word, _U(0))
+        parts = [gram(WORD, self.word), gram(END, self.word[self.ended]), gram(DOCUMENT, self.key), gram(PAIR, named[self.pairs // self.width], named[self.pairs % self.width])]
+        counts = [np.bincount(self.codes, minlength=len(self.word)), ends[self.ended], same, self.pair_n]
+        self.cuts = np.cumsum([len(p) for p in parts])[:-1]
+        return np.concatenate(parts), np.concatenate(counts).astype(np.int64)
+
+    def scores(self, known: np.ndarray, counts: np.ndarray, total: int, opened: int, backoff: float) -> np.ndarray:
+        """known: hashes of grams that other batches have, sorted; counts: how often those have them. total: words of the corpus, opened: documents with words."""
+        g, c = self.grams()
+        if len(known):
+            at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+            c = c + np.where(known[at] == g, counts[at], 0)
+        c_w, c_end, same, c_pair = np.split(c, self.cuts)
+        c_v = np.append(c_w, opened)
+        c_v[self.ended] -= c_end
+        same = same[self.which][self.row]
+        place = self.row.astype(np.int64) * (self.width + 1)
+
+        def own(x: np.ndarray) -> np.ndarray:
+            _, back, n = np.unique(place + x, return_inverse=True, return_counts=True)
+            return n[back] * same
 
+        rows = np.unique(self.row * len(self.pairs) + self.pair, return_inverse=True, return_counts=True) if len(self.pair) else (None, np.zeros(0, int), np.zeros(0, int))
+        left = c_pair[self.pair] - rows[2][rows[1]] * same
+        length = np.diff(self.first)
+        rest = (total - (length[self.row] * same)).astype(float)
+        w = c_w[self.codes] - own(self.codes)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            pair = np.log(left / (c_v[self.before] - own(self.before)))
+            back = np.where(w > 0, np.log(backoff * w / np.maximum(rest, 1)), -np.log(rest + 1))
+        return np.bincount(self.row, np.where(left > 0, pair, back), len(length))
 
-def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, scratch: Scratch | None = None) -> DataFrame:
+
+def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, scratch: Scratch | None = None, slices: int = SLICES) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score: a row for each row of docs.
 
     The model is of bigrams over the lower-cased words of all documents. A document is scored with its own counts
     taken off, so that it doesn't vouch for itself: each word has c(v w) / c(v) if that is above 0, else backoff times
     c(w) / N, and 1 / (N + 1) for a word that no other document has. The first word follows an opening mark. Words and
     bigrams are known by 64-bit hashes. Null and blank texts score 0 with a null mean; a row is known by its id and
-    text, and rows that agree in both get equal scores.
+    text, and rows that agree in both get equal scores; a null id is an id. An empty table gives an empty result. A
+    text of any length is one row of one batch. Other columns are not read, whatever their names.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    text = text_of()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("k"), words_of(F.lower(text)).alias("w"))
-    slim = scratch.save(rows.select("doc_id", "k", F.size("w").cast("long").alias("n_words"), F.transform("w", lambda w: F.xxhash64(w)).alias("h")), "words")
-    pairs = slim.select("k", F.explode(F.transform("h", lambda w, i: F.struct(F.coalesce(F.get("h", i - 1), F.lit(0).cast("long")).alias("v"), w.alias("w")))).alias("g")).select("k", "g.v", "g.w")
-    grams = scratch.save(pairs.groupBy("v", "w", "k").agg(F.count("*").alias("n")), "grams")
-    total = slim.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    bigram = grams.groupBy("v", "w").agg(F.sum("n").alias("c_vw"))
-    met = grams.join(bigram, ["v", "w"]).withColumn("c_vw", F.col("c_vw") - F.col("n"))
-    before, words = grams.groupBy("v").agg(F.sum("n").alias("c_v")), grams.groupBy("w").agg(F.sum("n").alias("c_w"))
-    own_v = grams.groupBy("v", "k").agg(F.sum("n").alias("o_v"))
-    own_w = grams.groupBy("w", "k").agg(F.sum("n").alias("o_w"))
-    size = slim.groupBy("k").agg(F.max("n_words").alias("o_n"), F.count("*").alias("same"))
-    known = met.where("c_vw > 0").join(before, "v").join(own_v, ["v", "k"]).select("k", (F.col("n") * F.log(F.col("c_vw") / (F.col("c_v") - F.col("o_v")))).alias("s"))
-    unknown = met.where("c_vw = 0").join(words, "w").join(own_w, ["w", "k"]).join(size, "k").withColumn("rest", F.lit(total) - F.col("o_n") * F.col("same"))
-    c = F.col("c_w") - F.col("o_w")
-    unknown = unknown.select("k", (F.col("n") * F.when(c > 0, F.log(backoff * c / F.greatest(F.col("rest"), F.lit(1)))).otherwise(-F.log(F.col("rest") + 1.0))).alias("s"))
-    scores = known.unionByName(unknown).groupBy("k").agg(F.sum("s").alias("s")).join(size.select("k", "same"), "k")
-    out = slim.select("doc_id", "k", "n_words").join(scores, "k", "left")
-    score = F.coalesce(F.col("s") / F.col("same"), F.lit(0.0))
-    return out.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("mean_log_score"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text_of()).alias("k"), F.lower(text_of()).alias("text"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = (TaskContext.get().partitionId() << 32) - 1  # dense numbers pack well
+        for batch in batches:
+            ids, keys = batch.column("doc_id"), batch.column("k")
+            for at, data, offsets in chunks(batch.column("text"), BATCH):
+                starts, ends, first = words(data, offsets)
+                h = between(sums(data), starts, ends) if len(starts) else np.zeros(0, _U)
+                word, codes = np.unique(h, return_inverse=True)
+                n = len(offsets) - 1
+                name += 1
+                lists = [ids.slice(at, n), keys.slice(at, n), pa.array(first.astype(np.int32)), pa.array(word.view(np.int64)), pa.array(codes.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]], ["batch", "ids", "keys", "first", "word", "codes"])
+
+    schema = "batch long, ids array<long>, keys array<long>, first array<int>, word array<long>, codes array<int>"
+    held = scratch.save(rows.mapInArrow(read, schema), "batches")
+    size = held.select(F.size("codes").cast("long").alias("n"), F.aggregate(F.sequence(F.lit(1), F.size("first") - 1), F.lit(0).cast("long"), lambda a, i: a + F.when(F.get("first", i) > F.get("first", i - 1), 1).otherwise(0)).alias("o"))
+    size = size.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("o"), F.lit(0)).alias("o")).first()
+    total, opened = size["n"], size["o"]
+
+    def batch_of(table: pa.RecordBatch, i: int) -> Batch:
+        get = lambda c: table.column(c)[i].values.to_numpy(zero_copy_only=False)
+        return Batch(get("word").view(_U), get("codes").astype(np.int64), get("first").astype(np.int64), get("keys").view(_U))
+
+    def listed(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in batches:
+                for i in range(table.num_rows):
+                    g, c = batch_of(table, i).grams()
+                    mine = (g >> _U(40)) % _U(slices) == turn
+                    g, c = g[mine].view(np.int64), c[mine]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), table.column("batch")[i].as_py())), pa.array(g), pa.array(c.astype(np.int32))], ["batch", "g", "c"])
+
+        return run
+
+    found = None
+    for turn in range(slices):
+        grams = held.mapInArrow(listed(turn), "batch long, g long, c int")
+        parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        grams = grams.repartition(parts, "g")  # the count table and the join read this one exchange
+        counts = grams.groupBy("g").agg(F.sum("c").alias("n"), F.count("batch").alias("_in")).where("_in > 1").select("g", "n")
+        shared = scratch.save(grams.join(counts, "g").select("batch", "g", (F.col("n") - F.col("c")).alias("others")), f"shared{turn}")
+        found = shared if found is None else found.unionByName(shared)
+
+    def score(batch: pa.Table, counts: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        for table in batch.to_batches():
+            for i in range(table.num_rows):
+                b = batch_of(table, i)
+                g, n = counts.column("g").to_numpy().view(_U), counts.column("others").to_numpy()
+                order = np.argsort(g)
+                s = b.scores(g[order], n[order], total, opened, backoff)
+                for column, x in zip(out, (table.column("ids")[i].as_py(), np.diff(b.first).tolist(), s.tolist()), strict=True):
+                    column += x
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "n_words", "log_score"])
+
+    scored = None
+    for turn in range(slices):
+        mine = F.pmod(F.xxhash64("batch"), F.lit(slices)) == turn
+        part = held.where(mine).groupBy("batch").cogroup(found.where(mine).groupBy("batch")).applyInArrow(score, "doc_id long, n_words long, log_score double")
+        part = scratch.save(part, f"scores{turn}")
+        scored = part if scored is None else scored.unionByName(part)
+    return scored.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
