@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .text import LOWER, between, chunks, sums, words
+from .text import LOWER, chunks, word_hashes, words
 
 #: Statistics of a document, all of its text alone.
 FEATURES = ("size", "word", "symbols", "capitals", "shouts", "bars", "digits", "stops", "lines", "small", "distinct", "triples")
@@ -34,7 +34,7 @@ def features(column: pa.Array) -> np.ndarray:
         n = len(offsets) - 1
         low = LOWER[data]
         starts, ends, first = words(low, offsets)
-        h = between(sums(low), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        h = word_hashes(low, starts, ends)
         h3 = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7) if len(h) > 2 else np.zeros(0, np.uint64)
         count = np.diff(first).astype(float)
         per = {}

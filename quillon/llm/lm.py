@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_of
-from .text import between, chunks, mix, sums, words
+from .text import chunks, mix, word_hashes, words
 
 #: What a step back costs.
 BACKOFF = 0.4
 #: Parts of the hash space that are counted, and of the batches that are scored, one after the other.
 SLICES = 4
-#: Bytes of text in a batch; a longer document is a batch of its own.
-BATCH = 8 << 20
+#: Words from which on a batch is full; it ends with a document.
+BATCH = 500_000
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 #: Marks that keep the kinds of grams apart: a word, a word that ends a document, a document, a pair.
@@ -105,17 +105,22 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, scratch: Scratch |
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text_of()).alias("k"), F.lower(text_of()).alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = (TaskContext.get().partitionId() << 32) - 1  # dense numbers pack well
+        name = TaskContext.get().partitionId() << 32  # dense numbers pack well
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("k")
-            for at, data, offsets in chunks(batch.column("text"), BATCH):
+            row, hashed, counts = 0, [], []
+            for at, data, offsets in chunks(batch.column("text")):
                 starts, ends, first = words(data, offsets)
-                h = between(sums(data), starts, ends) if len(starts) else np.zeros(0, _U)
-                word, codes = np.unique(h, return_inverse=True)
-                n = len(offsets) - 1
-                name += 1
-                lists = [ids.slice(at, n), keys.slice(at, n), pa.array(first.astype(np.int32)), pa.array(word.view(np.int64)), pa.array(codes.astype(np.int32))]
+                hashed.append(word_hashes(data, starts, ends))
+                counts.append(np.diff(first))
+                to = at + len(offsets) - 1
+                if sum(map(len, hashed)) < BATCH and to < batch.num_rows:
+                    continue
+                word, codes = np.unique(np.concatenate(hashed), return_inverse=True)
+                first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+                lists = [ids.slice(row, to - row), keys.slice(row, to - row), pa.array(first.astype(np.int32)), pa.array(word.view(np.int64)), pa.array(codes.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]], ["batch", "ids", "keys", "first", "word", "codes"])
+                name, row, hashed, counts = name + 1, to, [], []
 
     schema = "batch long, ids array<long>, keys array<long>, first array<int>, word array<long>, codes array<int>"
     held = scratch.save(rows.mapInArrow(read, schema), "batches")

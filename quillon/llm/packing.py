@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, buckets
-from .text import BLANK, LOWER, between, chunks, sums, words
+from .text import BLANK, LOWER, chunks, word_hashes, words
 
 #: Pieces that one task packs.
 GROUP = 20_000
@@ -69,7 +69,7 @@ class WordIds:
         starts, ends, first = words(data, offsets, stop)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        known, where, which = np.unique(between(sums(data), starts, ends), return_index=True, return_inverse=True)
+        known, where, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         hashes = known.tolist()
         if len(self.row) + len(hashes) > REMEMBERED:
             self.clear()

@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and INVERSE ** i for i up to n."""
-    size = 1 << max(16, int(n).bit_length())
+    size = max(CHUNK + 2, int(n) + 1)
     if size not in _powers:
         _powers.clear()
         both = []
@@ -55,6 +55,17 @@ def between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(((prefix[end] - prefix[start]) * powers(len(prefix))[1][start]) ^ ((end - start).astype(_U) << _U(40)))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = CHUNK) -> np.ndarray:
+    """A hash of each word, about limit bytes at once, however long the text is."""
+    out, a = np.empty(len(starts), _U), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + limit, "right")))
+        base = starts[a]
+        out[a:b] = between(sums(data[base : ends[b - 1]]), starts[a:b] - base, ends[a:b] - base)
+        a = b
+    return out
+
+
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with about limit bytes, null as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -92,7 +103,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     for _, data, offsets in chunks(column):
         data = LOWER[data]
         starts, ends, first = words(data, offsets)
-        h = between(sums(data), starts, ends) if len(starts) else np.zeros(0, _U)
+        h = word_hashes(data, starts, ends)
         n = max(0, len(h) - k + 1)
         s = np.zeros(n, _U)
         for i, c in enumerate(odd):
