@@ -1,16 +1,15 @@
-"""Repeated strings: prefix doubling over sampled positions, in Spark.
-
-A suffix array by doubling ranks every position by its first h bytes, then by the pair of ranks at offsets 0 and h.
-Only repeats of at least `least` bytes matter here, so the rounds start at h = least / 2, and positions that can't
-begin one leave as soon as their rank is unique:
-
-1. Any window of `least` bytes holds one of its h-byte strings whose hash is smallest; equal windows hold the same
-   one at the same place. Only these anchors (about one in h / 2 bytes) are ranked first; an anchor whose rank is
-   unique ends all windows that belong to it.
-2. Anchors with equal surroundings (all their windows) are repeats as a whole and are not looked at again; of
-   each kind of surroundings one stands for all.
-3. Where an anchor has several surroundings, their windows are ranked by the pair of ranks at offsets 0 and h.
-   A window whose pair isn't unique is a repeat.
+"""Repeated strings: distributed prefix doubling, over positions that are sampled so that no repeat is lost.
+
+A suffix array by doubling ranks positions by their first h bytes, then by pairs of ranks at growing offsets, until a
+position's rank is unique or h is past the threshold. Here a rank is a 64-bit name, Spark deals out and sorts the
+pairs, and a round ranks, instead of every position, one for each window of `least` bytes that may still be repeated:
+the one whose name is smallest. Equal windows hold the same one at the same place, so a window whose position has a
+unique rank isn't repeated, and leaves. The last round's length is that of the windows, which then stand for themselves.
+
+Positions with equal surroundings (all windows that they stand for) are repeats as a whole: their windows are settled at
+once, and of each kind of surroundings one goes on, as a partner for the windows of other kinds.
+
+The first round takes shorter windows, of 3/4 of `least`; their shared ranks mark documents with a common passage.
 """
 
 from __future__ import annotations
@@ -20,14 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import Scratch, join_checked, text_of
+from .common import Scratch, join_checked, join_spread, text_of
 from .text import between, chunks, mix, powers, sums
 
-PLACE = np.uint64((1 << 23) - 1)
+#: Places that are told apart within a stretch of bytes, in the low bits of the names.
+PLACE = np.uint64((1 << 21) - 1)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -39,120 +38,166 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, rank, surroundings) of all anchors of the rows; places count from the row's start.
+def anchors(data: np.ndarray, offsets: np.ndarray, window: int, length: int | None = None, step: int = 0, least: int | None = None, run: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(row, first, last, low, high, around, run): windows first to last of a row are stood for by one position.
 
-    PLACE bounds the places that are told apart: more bytes are taken in stretches that overlap by least - 1, so that
-    each window is in one of them. An anchor whose windows lie in two stretches is listed for each.
+    low and high are the position's names at 0 and at step, of length - step bytes each (step 0: one name of all length
+    bytes). first and last count from the row's start; around names the bytes of all windows of `least` bytes that begin
+    there (last is behind first - 1 only if there are any). run: numbers by place, 0 where no window is looked at; windows
+    of different numbers are kept apart. Bytes are taken in stretches that overlap, so that each window is in one.
     """
+    length, least = length or window // 2, max(window, least or window)
     room = int(PLACE) + 1
     if room < least:
         raise ValueError(f"PLACE has room for {room} bytes, fewer than the {least} of a window")
-    if len(data) <= room:
-        return _anchors(data, offsets, least)
+    stride = room - least + 1
     found = []
-    for at in range(0, len(data) - least + 1, room - least + 1):
+    for at in range(0, max(1, len(data) - window + 1), stride):
+        end = len(data) <= at + room
         part = data[at : at + room]
-        row, first, last, *rest = _anchors(part, np.clip(offsets - at, 0, len(part)), least)
+        row, first, last, *rest = _anchors(part, np.clip(offsets - at, 0, len(part)), offsets[1:] - at, window, length, step, least, None if run is None else run[at : at + room], len(part) if end else stride)
         moved = np.maximum(at - offsets[row], 0)
         found.append((row, first + moved, last + moved, *rest))
+        if end:
+            break
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """anchors() of at most PLACE + 1 bytes."""
-    h = least // 2
-    width = least - h + 1
+def _anchors(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray, window: int, length: int, step: int, least: int, run: np.ndarray | None, stop: int) -> tuple[np.ndarray, ...]:
+    """anchors() of one stretch, of windows that begin before stop. ends: of the rows, within the stretch or behind it."""
     none = np.zeros(0, np.int64)
-    if len(data) < least:
-        return none, none, none, none, none
+    if len(data) < window:
+        return (none,) * 7
     prefix = sums(data)
-    n = len(data) - h + 1
-    # the high bits of the rolling hash, then the place: the least is the leftmost of the smallest hashes
-    order = (((prefix[h:] - prefix[:n]) * powers(len(prefix))[1][:n]) & ~PLACE) | np.arange(n, dtype=np.uint64)
-    best = (sliding_min(order, width) & PLACE).astype(np.int64)
+    n = len(data) - length + 1
+    # the high bits of the rolling hash, then the place: the least is the leftmost of the smallest
+    order = (((prefix[length:] - prefix[:n]) * powers(len(prefix))[1][:n]) & ~PLACE) | np.arange(n, dtype=np.uint64)
+    best = (sliding_min(order, window - length + 1)[:stop] & PLACE).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(best)]
-    valid = np.arange(len(best)) + least <= offsets[1:][row]
+    runs = np.ones(len(best), np.int64) if run is None else run[: len(best)]
+    valid = (np.arange(len(best)) + window <= offsets[1:][row]) & (runs > 0)
     change = np.ones(len(best), bool)
-    change[1:] = (best[1:] != best[:-1]) | ~valid[:-1] | (row[1:] != row[:-1])
+    change[1:] = (best[1:] != best[:-1]) | ~valid[:-1] | (row[1:] != row[:-1]) | (runs[1:] != runs[:-1])
     first = np.flatnonzero(change & valid)
     if not len(first):
-        return none, none, none, none, none
-    stop = np.flatnonzero(np.append(change | ~valid, True))
-    last = stop[np.searchsorted(stop, first, "right")] - 1
+        return (none,) * 7
+    until = np.flatnonzero(np.append(change | ~valid, True))
+    last = until[np.searchsorted(until, first, "right")] - 1
+    last = np.maximum(np.minimum(last, ends[row[first]] - least), first - 1)
     place = best[first]
-    rank = between(prefix, place, place + h)
-    around = mix(between(prefix, first, last + least) + (place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    low = between(prefix, place, place + length - step)
+    high = between(prefix, place + step, place + length) if step else np.zeros(len(place), np.uint64)
+    far = np.where(last >= first, last + least, first)
+    around = mix(between(prefix, first, far) + (place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     base = offsets[row[first]]
-    return row[first], first - base, last - base, rank.view(np.int64), around.view(np.int64)
+    return row[first], first - base, last - base, low.view(np.int64), high.view(np.int64), around.view(np.int64), runs[first]
+
+
+def packed(first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """Both ends of a run of windows in one number."""
+    return pa.array(first.astype(np.int64) << 32 | (last + 1).astype(np.int64), pa.int64())
+
+
+def unpacked(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return runs >> 32, (runs & 0xFFFFFFFF) - 1
+
+
+FOUND = "_k long, run long, low long, high long, around long, alone boolean"
 
 
 def remove_repeats(docs: DataFrame, least: int = 400, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of docs.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_passage: a row for each row of docs.
 
     Every byte covered by a string of `least` UTF-8 bytes that also starts elsewhere, in this or another row, is
-    removed; n_spans counts the longest runs of removed bytes. Null text is empty. Ids may be null or repeated: a
-    row is known by its id and its text's hash, and equal rows are repeats of each other.
+    removed; n_spans counts the longest runs of removed bytes. has_passage is true of rows in which 3/4 of `least` bytes
+    (300, about 50 words) stand that also start elsewhere, and of no row in which half of these don't. Null text is empty.
+    Ids may be null or repeated: a row is known by its id and its text, and equal rows are repeats of each other. Texts of
+    any length are taken in stretches of bytes. An empty table gives an empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
-    text = text_of()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), text.alias("text"))
+    scratch = scratch or Scratch(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), text_of().alias("text"))
     docs = docs.withColumn("_k", F.xxhash64("_id", "text"))
+    passage = max(2, 3 * least // 4)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("_k")
-            for at, data, offsets in chunks(batch.column("text")):
-                row, first, last, rank, around = anchors(data, offsets, least)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row + at)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(rank, pa.int64()), pa.array(around, pa.int64())], ["_k", "first", "last", "rank", "around"])
-
-    found = scratch.save(docs.select("_k", "text").mapInArrow(find, "_k long, first int, last int, rank long, around long"), "anchors")
-    shared = found.groupBy("rank").agg(F.count("*").alias("_n")).where("_n > 1").select("rank")
-    live = scratch.save(found.join(shared, "rank"), "live")
-    kinds = live.groupBy("rank", "around").agg(F.count("*").alias("n"), F.min(F.struct("_k", "first", "last")).alias("one"))
-    kinds = scratch.save(kinds, "kinds")
-    scratch.drop("anchors")
-    several = kinds.groupBy("rank").agg(F.count("*").alias("_n")).where("_n > 1").select("rank")
-    whole = live.join(kinds.where("n > 1").select("rank", "around"), ["rank", "around"]).select("_k", "first", "last")
-    fine = kinds.join(several, "rank").select("one.*", (F.col("n") == 1).alias("alone"))
-    fine = scratch.save(fine.groupBy("_k").agg(F.collect_list(F.struct("first", "last", "alone")).alias("runs")), "fine")
-    # the texts that are read again: those with any live anchor
-    again = scratch.save(live.select("_k").distinct(), "again")
-    texts = scratch.save(join_checked(docs.select("_k", "text"), again, ["_k"]).dropDuplicates(["_k"]), "texts")
+    def rows(keys: pa.Array, at: int, found: tuple[np.ndarray, ...], alone: np.ndarray) -> pa.RecordBatch:
+        row, first, last, low, high, around, _ = found
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(row + at)), packed(first, last), pa.array(low), pa.array(high), pa.array(around), pa.array(alone)], [c.split()[0] for c in FOUND.split(", ")])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = least // 2
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, runs = batch.column("_k"), batch.column("runs")
             for at, data, offsets in chunks(batch.column("text")):
-                prefix = sums(data)
-                for i in range(len(offsets) - 1):
-                    for run in runs[at + i].as_py():
-                        s = np.arange(run["first"], run["last"] + 1)
-                        p = s + offsets[i]
-                        low, high = between(prefix, p, p + h), between(prefix, p + least - h, p + least)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), keys[at + i].as_py())), pa.array(s, pa.int32()), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(np.full(len(s), run["alone"]))], ["_k", "start", "low", "high", "alone"])
-
-    ranked = texts.join(fine, "_k").mapInArrow(windows, "_k long, start int, low long, high long, alone boolean")
-    twice = ranked.withColumn("_n", F.count("*").over(Window.partitionBy("low", "high"))).where("_n > 1 and alone")
-    spans = whole.unionByName(twice.select("_k", F.col("start").alias("first"), F.col("start").alias("last")))
-    spans = scratch.save(spans.groupBy("_k").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "spans")
+                found = anchors(data, offsets, passage, passage // 2, least=least)
+                yield rows(batch.column("_k"), at, found, np.ones(len(found[0]), bool))
+
+    def doubled(length: int, step: int):
+        """A round over the runs of windows that are left: pairs of ranks of length - step bytes, at 0 and at step."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                left = batch.column("runs")
+                for at, data, offsets in chunks(batch.column("text")):
+                    mark, alone = np.zeros(len(data), np.int32), [False]
+                    for i in range(len(offsets) - 1):
+                        first, last = unpacked(left[at + i].values.field("run").to_numpy())
+                        for a, b in zip((first + offsets[i]).tolist(), (last + offsets[i] + 1).tolist(), strict=True):
+                            mark[a:b] = len(alone)
+                            alone.append(True)
+                        alone[len(alone) - len(first) :] = left[at + i].values.field("alone").to_pylist()
+                    found = anchors(data, offsets, least, length, step, run=mark)
+                    yield rows(batch.column("_k"), at, found, np.array(alone)[found[6]])
+
+        return run
+
+    def settle(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(rows of shared rank, those that are repeats as a whole, a row for each kind where a rank has several)."""
+        rank = ["low", "high"]
+        shared = scratch.save(found.groupBy(*rank).agg(F.count("*").alias("n")).where("n > 1"), f"shared-{name}")
+        live = scratch.save(join_spread(found, shared, rank, "n").drop("n"), f"live-{name}")
+        kinds = live.where("(run & 4294967295) > shiftright(run, 32)").groupBy(*rank, "around")
+        kinds = scratch.save(kinds.agg(F.count("*").alias("n"), F.min("_k").alias("k"), F.min_by("run", "_k").alias("run"), F.min("alone").alias("alone")), f"kinds-{name}")
+        twice = scratch.save(kinds.where("n > 1").select(*rank, "around", "n"), f"twice-{name}")
+        whole = scratch.save(join_spread(live.where("alone"), twice, [*rank, "around"], "n").select("_k", "run"), f"whole-{name}")
+        several = scratch.save(kinds.groupBy(*rank).agg(F.count("*").alias("_n")).where("_n > 1"), f"several-{name}")
+        fine = join_spread(kinds, several, rank, "_n").select(F.col("k").alias("_k"), "run", (F.col("alone") & (F.col("n") == 1)).alias("alone"))
+        return live, whole, fine
+
+    def grouped(runs: DataFrame, *columns: str | Column) -> DataFrame:
+        return runs.groupBy("_k").agg(F.collect_list(F.struct(*columns)).alias("runs"))
+
+    found = scratch.save(docs.select("_k", "text").mapInArrow(begin, FOUND), "found-0")
+    live, spans, fine = settle(found, "0")
+    again = scratch.save(live.select("_k").distinct(), "again")
+    scratch.drop("found-0", "live-0")
+    texts = scratch.save(join_checked(docs.select("_k", "text"), again, ["_k"]), "texts")
+    length, turn = passage // 2, 0
+    while length < least:
+        turn += 1
+        step = min(length, least - length)
+        left = grouped(fine, "run", "alone")
+        found = scratch.save(texts.join(left, "_k").mapInArrow(doubled(length + step, step), FOUND), f"found-{turn}")
+        _, whole, fine = settle(found, str(turn))
+        spans = spans.unionByName(whole)
+        scratch.drop(f"found-{turn}", f"live-{turn}")
+        length += step
+    spans = scratch.save(grouped(spans, "run"), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            out = []
             for key, text, runs in zip(*(batch.column(c) for c in ("_k", "text", "runs")), strict=True):
                 data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                edge = np.zeros(len(data) + 1, np.int64)
-                np.add.at(edge, np.array([r["first"] for r in runs.as_py()], np.int64), 1)
-                np.add.at(edge, np.array([r["last"] for r in runs.as_py()], np.int64) + least, -1)
+                first, last = unpacked(runs.values.field("run").to_numpy())
+                edge = np.zeros(len(data) + 1, np.int32)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, last + least, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 starts = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
-                rows.append((key.as_py(), int(gone.sum()), starts, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+                out.append((key.as_py(), int(gone.sum()), starts, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["_k", "_removed", "_spans", "_sha"])
 
-    done = scratch.save(texts.join(spans, "_k").mapInArrow(cut, "_k long, _removed long, _spans long, _sha string"), "cut")
+    done = texts.join(spans, "_k").mapInArrow(cut, "_k long, _removed long, _spans long, _sha string").dropDuplicates(["_k"])
+    done = scratch.save(again.join(done, "_k", "left").withColumn("has_passage", F.lit(True)), "cut")
     slim = docs.select("doc_id", "_k", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("_all"))
-    return slim.join(done, "_k", "left").select("doc_id", "n_bytes", F.coalesce("_removed", F.lit(0)).alias("n_removed"), F.coalesce("_spans", F.lit(0)).alias("n_spans"), F.coalesce("_sha", "_all").alias("kept_sha256"))
+    out = slim.join(done, "_k", "left")
+    return out.select("doc_id", "n_bytes", F.coalesce("_removed", F.lit(0)).alias("n_removed"), F.coalesce("_spans", F.lit(0)).alias("n_spans"), F.coalesce("_sha", "_all").alias("kept_sha256"), F.coalesce("has_passage", F.lit(False)).alias("has_passage"))
