@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, prefix, source_key, text_of, words_of
+from .common import Scratch, join_spread, prefix, source_key, text_of, words_of
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -41,38 +41,41 @@ def mix(docs: DataFrame, scratch: Scratch | None = None, quality: Column | None
 
     Whole epochs of a source come first. What is left of its target is filled in the order of -ln(u) / quality,
     u from a hash of doc_id, as far as the running sum stays within it; documents behind the cut that fit the gap
-    follow in the same way, and the one document that comes nearest to the rest joins if it narrows it. quality is a positive column (default: rising with the size up to 200
-    words). Null text has size 0, null source is a source of its own, null doc_id hashes as empty. Equal rows
-    are told apart by their rank only, so reruns agree as sets of rows.
+    follow in the same way, and the one document that comes nearest to the rest joins if it narrows it. quality is a
+    positive column; without one, it is the share of distinct words among a document's words, and a quarter. Null text
+    has size 0, null source is a source of its own, null doc_id hashes as empty; very long texts are rows like others.
+    Equal rows are told apart by their rank only, so reruns agree as sets of rows. An empty table gives an empty result;
+    columns that aren't named in `columns` are not read, whatever their names.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    size = F.size(words_of(text_of())).cast("long")
+    words = words_of(text_of())
+    size = F.size(words).cast("long")
     unit = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + 0.5) / SPREAD
-    rows = docs.select(*[c for c in docs.columns if c in columns], source_key(F.col("source")).alias("skey"), size.alias("size"), unit.alias("_u"), *([] if quality is None else [quality.alias("_q")]))
-    if quality is None:
-        rows = rows.withColumn("_q", 0.25 + F.least(F.lit(1.0), F.col("size") / 200.0))
+    rows = docs.select(*[c for c in docs.columns if c in columns], source_key(F.col("source")).alias("skey"), size.alias("size"), unit.alias("_u"), (0.25 + F.size(F.array_distinct(words)) / F.greatest(size, F.lit(1)) if quality is None else quality).alias("_q"))
     rows = scratch.save(rows.withColumn("_e", -F.log("_u") / F.col("_q")), "sizes")
-    sizes = rows.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    sizes = rows.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"), F.avg("_q").alias("_mean"))
     goals = scratch.save(targets(sizes, weights, most), "targets")
     goals = goals.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goals = goals.withColumn("_budget", F.col("target") - F.col("_epochs") * F.col("source_size"))
     order = ["_e", *[c for c in columns if c in ("doc_id",)], "size"]
-    ranked = rows.join(goals, "skey").withColumns({"_unit": 1 - F.exp(-F.col("_e")), "_one": F.lit(1).cast("long")})
+    goals = scratch.save(goals, "goals")
+    ranked = join_spread(rows, goals, ["skey"], "n_docs").withColumns({"_unit": 1 - F.exp(-F.col("_e") * F.col("_mean")), "_one": F.lit(1).cast("long")})
     ranked = prefix(ranked, ["skey"], "_unit", "n_docs", order, {"_sum": "size", "_n": "_one"})
     ranked = scratch.save(ranked.withColumn("_in", F.col("_sum") <= F.col("_budget")).drop("_sum"), "filled1")
 
-    def gap(filled: DataFrame) -> DataFrame:
-        got = filled.groupBy("skey").agg(F.coalesce(F.sum(F.when(F.col("_in"), F.col("size"))), F.lit(0)).alias("_got"))
-        return filled.join(got, "skey").withColumn("_gap", F.col("_budget") - F.col("_got")).drop("_got")
+    def gap(filled: DataFrame, name: str) -> DataFrame:
+        got = filled.groupBy("skey").agg(F.coalesce(F.sum(F.when(F.col("_in"), F.col("size"))), F.lit(0)).alias("_got"), F.count("*").alias("_all"))
+        return join_spread(filled, scratch.save(got, name), ["skey"], "_all").withColumn("_gap", F.col("_budget") - F.col("_got")).drop("_got", "_all")
 
     # the document at the cut may be a long one: those behind it that still fit follow in the same order
-    ranked = gap(ranked).withColumn("_fits", F.when(~F.col("_in") & (F.col("size") <= F.col("_gap")), F.col("size")).otherwise(0))
+    ranked = gap(ranked, "got1").withColumn("_fits", F.when(~F.col("_in") & (F.col("size") <= F.col("_gap")), F.col("size")).otherwise(0))
     ranked = prefix(ranked, ["skey"], "_unit", "n_docs", order, {"_sum": "_fits"})
     ranked = ranked.withColumn("_in", F.col("_in") | ((F.col("_fits") > 0) & (F.col("_sum") <= F.col("_gap")))).drop("_sum", "_fits", "_gap")
-    out = gap(scratch.save(ranked, "filled2"))
+    out = gap(scratch.save(ranked, "filled2"), "got2")
     near = F.abs(F.col("size") - F.col("_gap"))
     best = out.where(~F.col("_in") & (near < F.col("_gap"))).groupBy("skey").agg(F.min(F.struct(near, F.col("_n"))).getField("_n").alias("_best"))
-    out = out.join(best, "skey", "left")
+    best = scratch.save(goals.select("skey", F.col("n_docs").alias("_all")).join(best, "skey", "left"), "best")
+    out = join_spread(out, best, ["skey"], "_all")
     copies = F.col("_epochs") + F.when(F.col("_in") | F.coalesce(F.col("_n") == F.col("_best"), F.lit(False)), 1).otherwise(0)
     out = out.withColumn("copies", F.least(copies, F.lit(most)).cast("long"))
     return out.select(*[c for c in docs.columns if c in columns], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
