@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prefix, source_key, text_of
+from .common import Scratch, join_spread, prefix, source_key, text_of
 
 
 def shard(docs: DataFrame, shards: int = 40, seed: int = 7, scratch: Scratch | None = None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -15,7 +15,8 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7, scratch: Scratch | N
     together by that fraction, and the sequence is cut into shards of N / shards rows, at most one apart, each with
     every source's share. Both ranks come from counts over ranges, so no task sees a whole source. Equal texts are
     rows like others and may part: a group may be larger than a shard. Null text is empty, a null source is a source
-    of its own; equal rows may take each other's places, so reruns agree as sets of rows.
+    of its own; equal rows may take each other's places, so reruns agree as sets of rows. Texts of any length are one row; an empty
+    table gives an empty result; columns that aren't named in `columns` are not read, whatever their names.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     text = text_of()
@@ -30,8 +31,8 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7, scratch: Scratch | N
     )
     rows = scratch.save(rows, "rows")
     total = rows.count()
-    counts = rows.groupBy("skey").agg(F.count("*").alias("_rows"))
-    inside = prefix(rows.join(counts, "skey"), ["skey"], "_u", "_rows", ["doc_id", "text_crc32", "size"], {"_rank": "_one"})
+    counts = scratch.save(rows.groupBy("skey").agg(F.count("*").alias("_rows")), "counts")
+    inside = prefix(join_spread(rows, counts, ["skey"], "_rows"), ["skey"], "_u", "_rows", ["doc_id", "text_crc32", "size"], {"_rank": "_one"})
     inside = scratch.save(inside.withColumn("_f", (F.col("_rank") - 0.5) / F.col("_rows")), "inside")
     placed = prefix(inside, [], "_f", total, ["skey"], {"_at": "_one"})
     at = F.col("_at") - 1
