@@ -16,36 +16,53 @@ BASE = {
 #: Parts that say little alone. kind: (pattern, kinds of which one must stand near, for each of the listed groups)
 WEAK = {
     "id": (r"""(?i:client_?id|account_?id|user_?name|login|user)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}|\bA[KS]IA[A-Z0-9]{8,15}(?![A-Z0-9])""", (("assign", "hex", "key"),)),
-    "key": (r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]{0,39}[0-9])(?=[a-z0-9+/_-]{0,39}[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}", (("access", "id", "host"),)),
+    "key": (r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}", (("access", "id", "host"),)),
     "host": (r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\x20\x09-\x0D"'<>]+|\b(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}""", (("access", "id"), ("assign", "hex", "key"))),
 }
 KINDS = (*BASE, *WEAK)
-#: Parts of one credential begin at most so many code points apart.
+#: Code points that may lie between the end of a part of a credential and the start of the next.
 SCOPE = 200
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
 def _found(text: Column, pattern: str, kind: int, least: int, value_only: bool) -> Column:
-    """Leftmost non-overlapping matches as (start, kind, end): what stands between the matches gives their places."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    """Leftmost non-overlapping matches as (start, kind, end): what stands between the matches gives their places.
 
-    def walk(gaps: Column, hits: Column, values: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(gaps, i))
-            end = start + F.length(F.get(hits, i))
-            span = F.struct(start.cast("int").alias("start"), F.lit(kind).alias("kind"), end.cast("int").alias("end"))
-            out = F.when(F.length(F.get(values, i)) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-            return F.struct(end.alias("at"), out.alias("out"))
+    The places are running sums of lengths, taken by blocks of about sqrt(n) matches, so no array is copied at each match.
+    """
+
+    def spans(gaps: Column, hits: Column, values: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: F.length(F.get(gaps, i)) + F.length(F.get(hits, i)))
+
+        def blocks(s: Column) -> Column:  # sums over blocks of about sqrt(n) lengths, then within each
+            wide = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(s))).cast("int"))
+            parts = F.transform(F.sequence(F.lit(1), F.size(s), wide), lambda a: F.slice(s, a, wide))
+            return let(F.struct(parts.alias("p"), _running(F.transform(parts, _sum)).alias("b")), inside)
+
+        def inside(x: Column) -> Column:
+            return F.flatten(F.transform(x["p"], lambda p, j: F.transform(_running(p), lambda e: e + F.when(j > 0, F.get(x["b"], j - 1)).otherwise(0))))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step, lambda a: a["out"])
+        span = lambda e, i: F.struct((e - F.length(F.get(hits, i))).cast("int").alias("start"), F.lit(kind).alias("kind"), e.cast("int").alias("end"), (F.length(F.get(values, i)) >= least).alias("ok"))
+        every = F.transform(let(steps, blocks), span)
+        return F.transform(F.filter(every, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if value_only else 0))
-    found = let(F.struct(F.split(text, pattern, -1).alias("g"), hits.alias("h"), values.alias("v")), lambda x: walk(x["g"], x["h"], x["v"]))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if value_only else None
+    parts = F.struct(F.split(text, pattern, -1).alias("g"), hits.alias("h"), *([values.alias("v")] if value_only else []))
+    found = let(parts, lambda x: spans(x["g"], x["h"], x["v"] if value_only else x["h"]))
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(SPAN))
 
 
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0), lambda a, e: a + e)
+
+
+def _running(x: Column) -> Column:
+    """Running sums of a short array: of its first i + 1 numbers at i."""
+    return F.transform(x, lambda e, i: _sum(F.slice(x, F.lit(1), i + 1)))
+
+
 def base_spans(text: Column) -> Column:
     """All base spans by start, then kind."""
     return F.array_sort(F.concat(*[_found(text, p, k, least, name == "assign") for k, (name, (p, least)) in enumerate(BASE.items())]))
@@ -58,18 +75,18 @@ def weak_spans(text: Column) -> Column:
 def link(parts: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFrame:
     """The weak rows of parts (keys, start, kind, end) near which complementary parts of their scope stand.
 
-    The interval join is an ordered one: for each part, the last part of each kind before it and the first after it
-    are looked up by a running window, so a document with n parts costs n log n and no pair is made. A document's
-    parts are cut into stretches of many scopes, each with the scope before and after it, so no task needs a whole
-    document's.
+    The interval join is an ordered one: of each kind, the furthest end of the parts that begin no later and the first
+    start of those that begin no earlier are running values, so a text with n parts costs n log n and no pair is made.
+    Parts are near if at most scope code points lie between the end of one and the start of the other, however long they are.
     """
-    wide = 64 * scope
-    home = F.floor(F.col("start") / wide)
-    reach = F.array_distinct(F.array(home, F.floor((F.col("start") - scope) / wide), F.floor((F.col("start") + scope) / wide)))
-    rows = parts.distinct().withColumn("_home", home).withColumn("_cut", F.explode(reach))
-    back = Window.partitionBy(*keys, "_cut").orderBy("start").rangeBetween(-scope, scope)
-    seen = {name: F.max((F.col("kind") == k).cast("int")).over(back) == 1 for k, name in enumerate(KINDS)}
-    rows = rows.withColumns({f"_near_{name}": near for name, near in seen.items()}).where("_home = _cut")
+    ahead = Window.partitionBy(*keys).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*keys).orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+    rows = parts.distinct()
+    of = lambda k, c: F.when(F.col("kind") == k, F.col(c))
+    rows = rows.withColumns({f"_end_{name}": F.max(of(k, "end")).over(ahead) for k, name in enumerate(KINDS)})
+    rows = rows.withColumns({f"_start_{name}": F.min(of(k, "start")).over(behind) for k, name in enumerate(KINDS)})
+    near = lambda name: F.coalesce(F.col(f"_end_{name}") >= F.col("start") - scope, F.lit(False)) | F.coalesce(F.col(f"_start_{name}") <= F.col("end") + scope, F.lit(False))
+    rows = rows.withColumns({f"_near_{name}": near(name) for name in KINDS})
     linked = F.lit(False)
     for name, (_, needs) in WEAK.items():
         whole = F.lit(True)
@@ -91,7 +108,8 @@ def scan(docs: DataFrame, scratch: Scratch | None = None, columns: tuple[str, ..
     """columns of docs with base and spans (arrays of start, kind, end in code points), a row for each row of docs.
 
     Weak parts are kept only if they take part in a credential and don't overlap a base span. Null text is empty;
-    null and repeated doc_ids are fine, since weak spans are joined by the text's hash and id together.
+    null and repeated doc_ids are fine, since weak spans are joined by the text's hash and id together. Patterns read
+    texts of any length as a whole; an empty table gives an empty result; other columns are not read.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     carry = [c for c in docs.columns if c in columns]
