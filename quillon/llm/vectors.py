@@ -1,8 +1,9 @@
 """Near-duplicate vectors: hierarchical navigable small-world graphs, one a shard, searched by every vector of the label.
 
 Vectors with equal label and components are one class. Classes of a label are dealt into shards; each shard's
-graph is built by itself and stored; blocks of queries then meet each shard's graph. A query's beam is widened
-until what it holds reaches below the threshold, and all beams of a task until an audit against brute force is met.
+graph is built by itself and stored; blocks of queries then meet each shard's graph. All beams of a task are widened
+until an audit of some queries against all vectors of the shard is met. A beam that is full of hits goes on along the
+graph, from hits to their neighbours, until it meets no more. What the audits found and missed is summed up and written.
 """
 
 from __future__ import annotations
@@ -15,17 +16,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, join_spread
 from .neardup import Forest
 
-#: Classes in a shard, and queries in a block.
-SHARD, QUERIES = 8192, 4096
+#: Classes in a shard, and queries in a block: a graph travels once for four times its size of queries.
+SHARD, QUERIES = 8192, 32768
 #: Neighbours of a node above and on the ground level; width of the beam while building and at first while searching.
 DEGREE, GROUND, BUILD, SEARCH = 12, 24, 48, 48
-#: Width from which on a query's beam is the whole shard.
-SCAN = 200
-#: Queries a task audits, and the recall that it must meet.
-AUDITED, RECALL = 64, 0.995
+#: How far below the threshold a full beam goes on from a node, for each time of the first width.
+SLACK = 0.02
+#: Queries a task audits, the recall that its beams must meet, and that below which there is no result.
+AUDITED, RECALL, LEAST = 256, 0.995, 0.9
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -139,43 +140,48 @@ class Graph:
         wide[:, 1:][(wide[:, 1:] == wide[:, :-1]) & (wide[:, 1:] >= 0)] = -1
         links[who] = spread(x, x[who], wide, s, degree)
 
+    def flood(self, query: np.ndarray, start: np.ndarray, threshold: float, slack: float) -> np.ndarray:
+        """Nodes at or over the threshold that the ground level reaches from start over nodes at most slack below it."""
+        seen = np.zeros(len(self.x), bool)
+        seen[start] = True
+        found, front = [], start
+        while len(front):
+            sims = self.x[front] @ query
+            found.append(front[sims >= threshold])
+            near = self.levels[0][front[sims >= threshold - slack]].ravel()
+            near = near[near >= 0]
+            front = np.unique(near[~seen[near]])
+            seen[front] = True
+        return np.concatenate(found) if found else start
+
     def within(self, queries: np.ndarray, threshold: float, width: int) -> list[np.ndarray]:
-        """Nodes at or over the threshold for each query, wider beams where the beam is full of them."""
-        out: list[np.ndarray] = [np.zeros(0, int)] * len(queries)
-        todo = np.arange(len(queries))
-        while len(todo):
-            if width > SCAN:  # a beam that must hold much of the shard is no better than reading it all
-                for i in range(0, len(todo), 512):
-                    hit = queries[todo[i : i + 512]] @ self.x.T >= threshold
-                    for q, row in zip(todo[i : i + 512], hit, strict=True):
-                        out[q] = np.flatnonzero(row)
-                break
-            at = np.full(len(todo), self.entry)
-            for lv in range(len(self.levels) - 1, 0, -1):
-                at = beam(self.x, self.levels[lv], queries[todo], at, 1)[0][:, 0]
-            nodes, sims = beam(self.x, self.levels[0], queries[todo], at, width)
-            full = (sims >= threshold).all(1) & (nodes.shape[1] < len(self.x))
-            for i in np.flatnonzero(~full):
-                out[todo[i]] = nodes[i][(sims[i] >= threshold) & (nodes[i] >= 0)]
-            todo = todo[full]
-            width *= 4
+        """Nodes at or over the threshold for each query; a beam that is full of them goes on over the graph."""
+        at = np.full(len(queries), self.entry)
+        for lv in range(len(self.levels) - 1, 0, -1):
+            at = beam(self.x, self.levels[lv], queries, at, 1)[0][:, 0]
+        nodes, sims = beam(self.x, self.levels[0], queries, at, width)
+        out = []
+        for q, node, s in zip(queries, nodes, sims, strict=True):
+            hit = node[(s >= threshold) & (node >= 0)]
+            out.append(self.flood(q, hit, threshold, SLACK * width / SEARCH) if len(hit) == nodes.shape[1] < len(self.x) else hit)
         return out
 
-    def search(self, queries: np.ndarray, threshold: float) -> list[np.ndarray]:
-        """within(), with beams doubled until an audit of some queries against all vectors is met; at the full width it is met."""
-        sample = np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int)
+    def search(self, queries: np.ndarray, threshold: float) -> tuple[list[np.ndarray], int, int]:
+        """within(), with beams doubled until an audit of some queries against all vectors is met or the beam is as wide as
+        the shard; and how many links the audited queries have, found and in truth."""
+        sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
         truth = queries[sample] @ self.x.T >= threshold
         width = SEARCH
-        while width < len(self.x):
+        while True:
             got = self.within(queries[sample], threshold, width)
             hits = sum(int(truth[i, g].sum()) for i, g in enumerate(got))
-            if hits >= RECALL * truth.sum():
+            if hits >= RECALL * truth.sum() or width >= len(self.x):
                 break
             width *= 2
         out: list[np.ndarray] = []
         for i in range(0, len(queries), 512):
             out += self.within(queries[i : i + 512], threshold, width)
-        return out
+        return out, hits, int(truth.sum())
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.93, scratch: Scratch | None = None, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
@@ -184,7 +190,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, scratch: Scratch | No
     Two vectors are linked if their labels are equal and not null, their lengths agree and their cosine, in double
     precision, is at or over the threshold. Vectors that are null, zero, or hold null or non-finite components link
     with nothing. Equal vectors are linked with each other and count one by one in n_links. A null vec_id is in no
-    component (component_id null, kept true).
+    component (component_id null, kept true). Rows of equal vec_id are vectors of their own, known by label and
+    components; rows that agree in all are equal vectors. An empty table gives an empty result. Other columns are not
+    read. A recall of the audits below LEAST is an error; their sums stay in the table `recall` of the scratch folder.
     """
     scratch = scratch or Scratch(rows.sparkSession)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
@@ -193,45 +201,55 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, scratch: Scratch | No
     rows = rows.withColumn("_h", F.md5(F.array_join("v", ","))).withColumn("dim", F.size("v"))
     slim = scratch.save(rows.select("vec_id", "label", "_ok", "_h"), "vectors")
     classes = rows.where("_ok").groupBy("label", "_h", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v"))
-    counts = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    classes = classes.join(counts, ["label", "dim"]).withColumns({"shard": F.pmod(F.xxhash64("rep"), "shards"), "block": F.pmod(F.xxhash64("rep", F.lit(1)), "blocks")})
+    classes = classes.withColumn("id", F.xxhash64("label", "_h", "dim"))
+    counts = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"), F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("_rows"))
     classes = scratch.save(classes, "classes")
+    counts = scratch.save(counts, "counts")
+    dealt = join_spread(classes, counts, ["label", "dim"], "_rows").drop("_rows")
+    classes = scratch.save(dealt.withColumns({"shard": F.pmod("id", "shards"), "block": F.pmod(F.xxhash64("id"), "blocks")}), "dealt")
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rep")
+        group = group.sort_values("id")
         raw = np.stack(group["v"].to_numpy())
-        data = pickle.dumps((Graph(unit(raw)), raw, group["rep"].to_numpy(), group["n"].to_numpy()))
+        data = pickle.dumps((Graph(unit(raw)), raw, group["id"].to_numpy(), group["n"].to_numpy()))
         return pd.DataFrame({"label": [group["label"].iloc[0]], "dim": [group["dim"].iloc[0]], "shard": [group["shard"].iloc[0]], "blocks": [group["blocks"].iloc[0]], "graph": [data]})
 
     graphs = scratch.save(classes.groupBy("label", "dim", "shard").applyInPandas(build, "label string, dim int, shard long, blocks int, graph binary"), "graphs")
     keys = ["label", "dim", "shard", "block"]
-    asked = classes.select("label", "dim", "block", "rep", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1)).alias("shard"))
+    asked = classes.select("label", "dim", "block", "id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1)).alias("shard"))
     offered = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
 
     def search(queries: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(graph):
-            return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-        index, raw, reps, counts = pickle.loads(graph["graph"].iloc[0])
-        raw_q, ids = np.stack(queries["v"].to_numpy()), queries["rep"].to_numpy()
-        found = index.search(unit(raw_q), threshold - 1e-5)
+            return pd.DataFrame({"kind": [], "a": [], "b": [], "n": []}).astype("int64")
+        index, raw, others, counts = pickle.loads(graph["graph"].iloc[0])
+        raw_q, ids = np.stack(queries["v"].to_numpy()), queries["id"].to_numpy()
+        found, hits, truth = index.search(unit(raw_q), threshold - 1e-5)
         place: dict[int, int] = {}
         at = lambda r: place.setdefault(int(r), len(place))
-        forest, edges, links = Forest(len(ids) + len(reps)), [], []
+        forest, edges, links = Forest(len(ids) + len(others)), [], []
         norms = np.linalg.norm(raw, axis=1)
         for i, near in enumerate(found):
-            near = near[reps[near] != ids[i]]
+            near = near[others[near] != ids[i]]
             cosine = raw[near] @ raw_q[i] / (norms[near] * np.linalg.norm(raw_q[i]))
             near = near[cosine >= threshold]
-            links.append((ids[i], -1, int(counts[near].sum())))
-            edges += [(ids[i], r, 0) for r in reps[near] if forest.join(at(ids[i]), at(r))]
-        return pd.DataFrame(links + edges, columns=["a", "b", "n"]).astype("int64")
+            links.append((0, ids[i], 0, int(counts[near].sum())))
+            edges += [(1, ids[i], r, 0) for r in others[near] if forest.join(at(ids[i]), at(r))]
+        return pd.DataFrame([*links, *edges, (2, hits, truth, 0)], columns=["kind", "a", "b", "n"]).astype("int64")
 
-    found = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(search, "a long, b long, n long")
+    found = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(search, "kind long, a long, b long, n long")
     found = scratch.save(found, "found")
-    roots = components(found.where("n = 0 and b >= 0 and a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "components")
-    linked = found.where("b < 0").groupBy("a").agg(F.sum("n").alias("far"))
-    named = classes.select("label", "_h", "rep", F.col("n").alias("_n")).join(linked, F.col("rep") == F.col("a"), "left").join(roots.withColumnRenamed("node", "_node"), F.col("rep") == F.col("_node"), "left")
-    named = named.select("label", "_h", F.lit(True).alias("_ok"), (F.coalesce("far", F.lit(0)) + F.col("_n") - 1).alias("_links"), F.coalesce("root", "rep").alias("_root"))
-    out = slim.join(named, ["label", "_h", "_ok"], "left")
-    label = F.when(F.col("vec_id").isNotNull(), F.coalesce("_root", "vec_id"))
-    return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), label.alias("component_id"), F.coalesce(F.col("vec_id") == label, F.lit(True)).alias("kept"))
+    audits = found.where("kind = 2").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("found"), F.coalesce(F.sum("b"), F.lit(0)).alias("links"))
+    audit = scratch.save(audits, "recall").first()
+    if audit["found"] < LEAST * audit["links"]:
+        raise RuntimeError(f"the graphs find {audit['found']} of {audit['links']} audited links, fewer than {LEAST}")
+    roots = components(found.where("kind = 1 and a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "components")
+    linked = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("far"))
+    named = classes.select("label", "_h", "id", "rep", F.col("n").alias("_n")).join(linked, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    named = scratch.save(named.withColumn("root", F.coalesce("root", "id")), "named")
+    least = scratch.save(named.groupBy("root").agg(F.min("rep").alias("_root"), F.count("*").alias("_rows")), "roots")
+    named = join_spread(named, least, ["root"], "_rows").select("label", "_h", (F.coalesce("far", F.lit(0)) + F.col("_n") - 1).alias("_links"), "_root", "_n")
+    known = join_spread(slim.where("_ok"), scratch.save(named, "links"), ["label", "_h"], "_n").select("vec_id", "_links", "_root")
+    out = known.unionByName(slim.where("not _ok").select("vec_id", F.lit(0).cast("long").alias("_links"), F.col("vec_id").alias("_root")))
+    label = F.when(F.col("vec_id").isNotNull(), F.col("_root"))
+    return out.select("vec_id", F.col("_links").cast("long").alias("n_links"), label.alias("component_id"), F.coalesce(F.col("vec_id") == label, F.lit(True)).alias("kept"))
