@@ -31,13 +31,14 @@ class WordIds:
 
     The vocabulary splits texts at blanks and between letters and signs, and is in lower case, so words are told
     apart by ASCII blanks, A-Z is lower-cased, and a final stop or comma behind an ASCII letter is a word of its own.
+    The strings of special tokens hold no blanks; they are found before letters are lower-cased, so words with their
+    opening signs keep their case.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.clear()
 
     def clear(self) -> None:
@@ -58,7 +59,7 @@ class WordIds:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and where each row's begin; one more at the end."""
-        data = LOWER[data]
+        raw, data = data, LOWER[data]
         stop = np.zeros(len(data) + 1, bool)
         if len(data):
             closes = np.append(BLANK[data[1:]], True)
@@ -69,6 +70,9 @@ class WordIds:
         starts, ends, first = words(data, offsets, stop)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        opening = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))  # <|
+        for w in np.unique(np.searchsorted(starts, opening, "right") - 1).tolist() if len(opening) else ():
+            data[starts[w] : ends[w]] = raw[starts[w] : ends[w]]
         known, where, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         hashes = known.tolist()
         if len(self.row) + len(hashes) > REMEMBERED:
