@@ -15,19 +15,30 @@ def held(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go. Null and empty texts are rejected; equal rows meet the same end."""
     return quality.quality_rules(held(docs), columns=("_doc",)).where("kept").select("_doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; of rows with equal id and text, one."""
+    """One document of each group stays, that of the least id; of rows with equal id and text, one.
+
+    Texts of one id are numbered, so that another text of the id of a duplicate is judged by itself. Rows without an
+    id and blank texts are no duplicates; of those with equal text (and id), one stays.
+    """
     scratch = Scratch(spark)
-    gone = neardup.near_duplicates(docs, scratch=scratch).where("not kept").select("doc_id").distinct()
-    return join_checked(docs, scratch.save(gone, "gone"), ["doc_id"], "left_anti").dropDuplicates(["doc_id", "text"])
+    keyed = held(docs).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_h"])
+    several = keyed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("_h").alias("_first")).where("_n > 1")
+    several = scratch.save(several.select("doc_id", "_first"), "several")
+    keyed = join_checked(keyed, several, ["doc_id"], "left")
+    # an id is as good as any other, as long as the order of ids holds where it is known: further texts of an id come last
+    own = F.when(F.col("_first").isNull() | (F.col("_first") == F.col("_h")), F.col("doc_id")).otherwise(F.lit(2**62) + F.shiftrightunsigned(F.xxhash64("doc_id", "_h"), 2))
+    keyed = scratch.save(keyed.select("_doc", "text", own.alias("doc_id")), "keyed")
+    gone = neardup.near_duplicates(keyed.select("doc_id", "text"), scratch=scratch).where("not kept").select("doc_id").distinct()
+    return join_checked(keyed, scratch.save(gone, "gone"), ["doc_id"], "left_anti").select("_doc.*")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows the text."""
+    """Secrets are replaced by a mark; n_chars follows the text. Every row stays; null texts stay null."""
     found = secrets.scan(held(docs), columns=("_doc",)).withColumn("_hit", F.size("spans") > 0)
     text = F.when(F.col("_hit"), secrets.redact(F.col("_doc.text"), F.col("spans"))).otherwise(F.col("_doc.text"))
     columns = {"text": text, "n_chars": F.when(F.col("_hit"), F.length(text).cast("long")).otherwise(F.col("_doc.n_chars"))} if "n_chars" in docs.columns else {"text": text}
@@ -35,16 +46,21 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
+    """Each document as often as the mixture takes it; the keys are scaled by the posterior of the quality rules.
+
+    Equal rows are one document, which stands for as many copies as all of them together were taken.
+    """
     scratch = Scratch(spark)
-    keyed = held(docs).withColumn("_k", F.xxhash64(*[F.col("_doc").getField(c) for c in docs.columns])) if not any(t.startswith("map") for _, t in docs.dtypes) else held(docs).withColumn("_k", F.xxhash64("doc_id", "text", "source"))
-    copies = mixing.mix(keyed, scratch, columns=("doc_id", "_k")).groupBy("_k").agg(F.sum("copies").alias("_n")).where("_n > 0")
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    judged = quality.quality_rules(held(docs), scratch, columns=("doc_id", "text", "source", "_doc"))
+    keyed = scratch.save(judged.select("_doc", "doc_id", "text", "source", "quality", F.xxhash64(*[F.col("_doc").getField(c) for c in plain]).alias("_k")), "judged")
+    copies = mixing.mix(keyed, scratch, quality=F.col("quality") + 0.01, columns=("doc_id", "_k")).groupBy("_k").agg(F.sum("copies").alias("_n")).where("_n > 0")
     out = keyed.select("_doc", "_k").dropDuplicates(["_k"]).join(scratch.save(copies, "copies"), "_k")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
+    """Pieces of documents in sequences of at most 2048 tokens. A null text is its closing id alone."""
     return packing.pack(docs)
 
 
@@ -56,7 +72,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Near-duplicates, EM and the tokenizer have no SQL; tests hold the stages against brute force.
+#: Near-duplicates, EM and the tokenizer have no SQL; tests/llm/test_pipeline_stages.py holds run() against brute force.
 ORACLE_SQL = None
 
 
