@@ -112,6 +112,78 @@ class SoftLogistic:
         return out
 
 
+class SoftLayers:
+    """One hidden layer of rectified units on soft labels, as an ablation of SoftLogistic: full passes with decoupled weight
+    decay, fixed in width and length before any test. Gradients are summed on the executors; the driver holds the weights."""
+
+    def __init__(self, names: tuple[str, ...], hidden: int = 32, epochs: int = 200, lr: float = 0.001, decay: float = 0.01, seed: int = 0):
+        self.names, self.hidden, self.epochs, self.lr, self.decay, self.seed = names, hidden, epochs, lr, decay, seed
+
+    def _draw(self) -> dict[str, np.ndarray]:
+        rng = np.random.default_rng(self.seed)
+        part = lambda fan, *shape: rng.uniform(-1, 1, shape) / math.sqrt(fan)
+        d, h = len(self.names), self.hidden
+        return {"w1": part(d, d, h), "b1": part(d, h), "w2": part(h, h), "b2": part(h, 1)}
+
+    def fit(self, df: DataFrame, y: str = "y") -> SoftLayers:
+        """Null or non-finite features and labels outside [0, 1] are errors."""
+        import pandas as pd
+
+        sound = [F.col(n).isNull() | F.isnan(n) | (F.abs(F.col(n)) == float("inf")) for n in self.names]
+        bad = ~F.coalesce(F.col(y).between(0, 1), F.lit(False))
+        for c in sound:
+            bad = bad | c
+        if not df.where(bad).isEmpty():
+            raise ContractError("invalid selector inputs")
+        self.mean, self.deviation = standardizer(df, self.names)
+        rows = df.select(*[((F.col(n) - m) / s).alias(f"x{i}") for i, (n, m, s) in enumerate(zip(self.names, self.mean, self.deviation, strict=True))], F.col(y).cast("double").alias("y")).persist()
+        n, d = rows.count(), len(self.names)
+        w = self._draw()
+        first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        for t in range(1, self.epochs + 1):
+
+            def slopes(parts, w=w):
+                total = {k: np.zeros_like(v) for k, v in w.items()}
+                for part in parts:
+                    x, want = part.iloc[:, :d].to_numpy(), part["y"].to_numpy()
+                    up = np.maximum(x @ w["w1"] + w["b1"], 0)
+                    e = 1 / (1 + np.exp(-(up @ w["w2"] + w["b2"][0]))) - want
+                    back = np.outer(e, w["w2"]) * (up > 0)
+                    for k, g in (("w1", x.T @ back), ("b1", back.sum(0)), ("w2", up.T @ e), ("b2", np.array([e.sum()]))):
+                        total[k] += g
+                yield pd.DataFrame([(k, i, float(v)) for k, g in total.items() for i, v in enumerate(g.ravel())], columns=["k", "i", "g"])
+
+            summed = rows.mapInPandas(slopes, "k string, i int, g double").groupBy("k", "i").agg(F.sum("g").alias("g")).collect()  # a row a weight
+            grads = {k: np.zeros(v.size) for k, v in w.items()}
+            for r in summed:
+                grads[r["k"]][r["i"]] = r["g"] / n
+            for k, v in w.items():
+                g = grads[k].reshape(v.shape)
+                first[k], second[k] = 0.9 * first[k] + 0.1 * g, 0.999 * second[k] + 0.001 * g * g
+                step = (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
+                w[k] = v * (1 - self.lr * self.decay) - self.lr * step
+        rows.unpersist()
+        self.weights = w
+        return self
+
+    def logits(self) -> Column:
+        x = [(F.col(n) - m) / s for n, m, s in zip(self.names, self.mean, self.deviation, strict=True)]
+        units = [F.greatest(sum((float(a) * v for a, v in zip(self.weights["w1"][:, j], x, strict=True)), F.lit(float(self.weights["b1"][j]))), F.lit(0.0)) for j in range(self.hidden)]
+        return sum((float(c) * u for c, u in zip(self.weights["w2"], units, strict=True)), F.lit(float(self.weights["b2"][0])))
+
+    def score(self) -> Column:
+        return sigmoid(self.logits())
+
+    def to_json(self) -> dict:
+        return {"kind": "soft_layers", "features": list(self.names), "hidden": self.hidden, "epochs": self.epochs, "lr": self.lr, "decay": self.decay, "seed": self.seed, "mean": self.mean, "deviation": self.deviation, "weights": {k: v.tolist() for k, v in self.weights.items()}}
+
+    @classmethod
+    def from_json(cls, d: dict) -> SoftLayers:
+        out = cls(tuple(d["features"]), d["hidden"], d["epochs"], d["lr"], d["decay"], d["seed"])
+        out.mean, out.deviation, out.weights = d["mean"], d["deviation"], {k: np.array(v) for k, v in d["weights"].items()}
+        return out
+
+
 def train_selectors(joined: DataFrame, y: str = "y") -> dict[str, SoftLogistic]:
     return {"generic": SoftLogistic(GENERIC).fit(joined, y), "pcsi": SoftLogistic(GENERIC + PROVENANCE).fit(joined, y)}
 
@@ -143,7 +215,7 @@ def ridge_cv(df: DataFrame, features: dict[str, tuple[str, ...]], y: str, folds:
     fold = balanced_folds(df.select("group_id"), folds)
     if len(fold) < 3:
         raise ContractError("at least 3 groups")
-    rows = df.join(F.broadcast(spark.createDataFrame(list(fold.items()), df.select("group_id").schema.add("fold", "int"))), "group_id").persist()
+    rows = df.join(F.broadcast(spark.createDataFrame(list(fold.items()), df.select("group_id").schema.add("fold", "integer"))), "group_id").persist()
     results = []
     for name, xs in features.items():
         cols = [*xs, y]

@@ -142,8 +142,8 @@ def support_status(factual: Column, evidential: Column, informative: Column) ->
     )
 
 
-def render(reviewed_rule: Column, reason: Column, score: Column, threshold: Column, qualifier: Column, field: Column, value: Column) -> Column:
-    """struct(status, reason, message)."""
+def render(reviewed_rule: Column, reason: Column, score: Column, threshold: Column, qualifier: Column, field: Column, value: Column, values: Column) -> Column:
+    """struct(status, reason, message). An answer whose value is none of the rule's values is an error."""
     good = eligible(reason)
     name = F.replace(field, F.lit("_"), F.lit(" "))
     # The wordings of answers.
@@ -154,10 +154,33 @@ def render(reviewed_rule: Column, reason: Column, score: Column, threshold: Colu
     )
     status = F.when(~reviewed_rule, "research_preview_only").when(~good | (score < threshold), "not_established").otherwise("answer")
     why = F.when(~reviewed_rule, "claim_schema_pending_domain_review").when(good & (score < threshold), "support_score_below_threshold").otherwise(reason)
+    said = F.when(F.coalesce(F.array_contains(values, value), F.lit(False)), said).otherwise(F.raise_error(F.lit("value outside the approved wording")).cast("string"))
     silence = F.lit("The available information does not establish this attribute. This is not a safety verdict.")
     return F.struct(status.alias("status"), why.alias("reason"), F.when(status == "answer", said).when(status == "not_established", silence).alias("message"))
 
 
+def fixture_ratings(candidates: DataFrame) -> DataFrame:
+    """Ratings of synthetic candidates (value, truth, eligible, informative), for tests of the software alone."""
+    factual = F.when(F.col("value") == F.col("truth"), "supported").otherwise("contradicted")
+    evidential = F.when(F.col("eligible"), "supported").otherwise("unknown")
+    return candidates.select("candidate_id", factual.alias("factual_status"), evidential.alias("evidential_status"), "informative", F.lit("SYNTHETIC_TEST_ONLY").alias("adjudication_id"))
+
+
+#: A serialised state: its fields and those of its sources.
+STATE = f"struct<record_id:string,item_id:string,alternatives:array<string>,sources:array<{SOURCE}>,predicted:string,unknown_mass:double,reference_only:boolean>"
+
+
+def strict_state(text: Column) -> Column:
+    """A typed state of a JSON object; an unknown field, of the state or of a source, and a value of another type are errors."""
+    known = F.array(*[F.lit(x) for x in ("record_id", "item_id", "alternatives", "sources", "predicted", "unknown_mass", "reference_only")])
+    known_source = F.array(*[F.lit(x) for x in ("source_id", "record_id", "item_id", "source_type", "facts", "observed_at", "available_at_inference", "reference_only", "verification_status", "conflict")])
+    outside = lambda keys, names: F.size(F.array_except(keys, names)) > 0
+    sources = F.from_json(F.get_json_object(text, "$.sources"), "array<map<string,string>>")
+    bad = outside(F.json_object_keys(text), known) | F.coalesce(F.exists(sources, lambda m: outside(F.map_keys(m), known_source)), F.lit(False))
+    state = F.from_json(text, STATE, {"mode": "FAILFAST"})
+    return F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit("unknown or hidden fields in a state")).cast(STATE)).otherwise(state)
+
+
 def baseline_action(policy: str, missing_premises: Column, seed: Column | None = None) -> Column:
     if policy == "fixed":
         return F.lit("ingredient_panel")

@@ -288,7 +288,7 @@ def field_completeness(spark, d):
 
 
 _DRAWS = """gr as (select group_id, row_number() over (order by group_id) - 1 as r from (select distinct group_id from predictions_v)), ng as (select count(*) as n from gr),
- dr as (select b, gr.group_id, count(*) as m from (select (i // n)::int as b, ('0x' || substr(md5((i // n)::varchar || ':' || (i % n)::varchar), 1, 8))::bigint % n as r from ng, unnest(range(40 * n)) t(i)) x join gr on gr.r = x.r group by all)"""
+ dr as (select b, gr.group_id, count(*) as m from (select (i // n)::int as b, ('0x' || substr(md5((i // n)::varchar || ':' || (i % n)::varchar), 1, 8))::bigint % n as r from ng, unnest(range(1000 * n)) t(i)) x join gr on gr.r = x.r group by all)"""
 
 
 @query("with " + V.PREDICTIONS + ", " + _DRAWS + """, f as (select record_id, group_id, z > 0 as a, mask = 1 as o, y from predictions_v where j = 0),
@@ -297,36 +297,14 @@ _DRAWS = """gr as (select group_id, row_number() over (order by group_id) - 1 as
  l as (unpivot r on columns(* exclude b) into name metric value v) select metric, round(max(v) filter (b < 0), 6) as estimate, round(quantile_cont(v, 0.025) filter (b >= 0), 6) as lo, round(quantile_cont(v, 0.975) filter (b >= 0), 6) as hi, count(v) filter (b >= 0) as finite from l group by metric""")
 def bootstrap_ci_fixed_draws(spark, d):
     rows = V.predictions(spark, d).where("j = 0").select("record_id", "group_id", (F.col("z") > 0).alias("accepted"), (F.col("mask") == 1).alias("observed"), F.col("y").alias("agreement"))
-    return rounded(resample.foundation_intervals(rows, 40, multiplicities=resample.hashed_draws(rows, 40)))
+    return rounded(resample.foundation_intervals(rows, 1000, multiplicities=resample.hashed_draws(rows, 1000)))
 
 
 @query("with " + V.PREDICTIONS + ", " + _DRAWS + """, s as (select b, least(floor(p * 15), 14) as bin, sum(m) as n, sum(m * p) as sp, sum(m * y) as sy, sum(m * (-y * ln(p) - (1 - y) * ln(1 - p))) as loss from predictions_v join dr using (group_id) where mask > 0 group by 1, 2)
  select b::bigint as b, round(sum(loss) / sum(n), 6) as log_loss, round(sum(abs(sp - sy)) / sum(n), 6) as ece from s group by b""")
 def calibration_bootstrap(spark, d):
     rows = V.predictions(spark, d)
-    return rounded(resample.calibration_bootstrap(rows, resample.hashed_draws(rows, 40)))
-
-
-@query()
-def paired_bootstrap(spark, d):
-    return rounded(resample.paired_bootstrap(V.candidates(spark, d), "B", "A", V.SHARES, 40, multiplicities=resample.hashed_draws(V.candidates(spark, d), 40)))
-
-
-@query()
-def temperature_fit(spark, d):
-    return rounded(spark.createDataFrame([(calibrate.fit_temperature(V.predictions(spark, d)),)], "temperature double"))
-
-
-@query()
-def sigmoid_fit(spark, d):
-    return rounded(calibrate.fit_sigmoid(V.predictions(spark, d)))
-
-
-@query()
-def soft_logistic(spark, d):
-    rows = V.read(spark, d, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)], F.when(F.col("label") < 3, 0.9).otherwise(0.1).alias("y"))
-    m = calibrate.SoftLogistic(("x0", "x1", "x2", "x3")).fit(rows)
-    return rounded(spark.createDataFrame(list(enumerate(m.weights.tolist())), "i int, w double"))
+    return rounded(resample.calibration_bootstrap(rows, resample.hashed_draws(rows, 1000)))
 
 
 @query("with recursive e as (select p_partkey as a, p_partkey // 3 as p from part where p_partkey > 0), r(asset_id, ancestor, distance) as (select a, p, 1 from e union all select r.asset_id, e.p, r.distance + 1 from r join e on e.a = r.ancestor) select asset_id, ancestor, distance::bigint as distance from r")
@@ -364,7 +342,7 @@ def rating_jobs(spark, d):
     return writers.rating_jobs(V.read(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"))).select("candidate_id", "job_id")
 
 
-@query("with " + V.ANNOTATIONS + """, i as (select distinct record_id, reviewer_id, item_id, cooking_style from annotations_v) select a.record_id, a.reviewer_id, a.item_id as item_a, b.item_id as item_b, b.cooking_style as swapped_a, a.cooking_style as swapped_b
+@query("with " + V.ANNOTATIONS + """, i as materialized (select distinct record_id, reviewer_id, item_id, cooking_style from annotations_v) select a.record_id, a.reviewer_id, a.item_id as item_a, b.item_id as item_b, b.cooking_style as swapped_a, a.cooking_style as swapped_b
  from i a join i b on a.record_id = b.record_id and a.reviewer_id = b.reviewer_id and a.item_id < b.item_id and a.cooking_style <> b.cooking_style""")
 def tuple_swaps(spark, d):
     return gate.tuple_swaps(V.annotations(spark, d).select("record_id", "reviewer_id", "item_id", "cooking_style").distinct())
@@ -381,9 +359,9 @@ def quantiles(spark, d):
     return rounded(V.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("policy")).agg(q[0].alias("p50"), q[1].alias("p95"), F.percentile("l_extendedprice", 0.25).alias("p25")))
 
 
-@query("with s as (select user_id || '_k' || (event_id % 4) as run_id, event_id % 3 as sig, event_id % 2 = 0 as done from events where event_id < 200) select case when sig is null then 'not_started' when done and sig <> 0 then 'complete_incompatible' when done then 'complete' else 'resumable' end as status, count(*) as n from s group by 1")
+@query("with s as (select user_id || '_k' || (event_id % 4) as run_id, event_id % 3 as sig, event_id % 2 = 0 as done from events) select case when sig is null then 'not_started' when done and sig <> 0 then 'complete_incompatible' when done then 'complete' else 'resumable' end as status, count(*) as n from s group by 1")
 def run_status(spark, d):
-    e = V.read(spark, d, "events").where("event_id < 200").select(F.col("event_id").alias("run_id"), F.lit(0).cast("long").alias("signature"))
+    e = V.read(spark, d, "events").select(F.col("event_id").alias("run_id"), F.lit(0).cast("long").alias("signature"))
     reg = e.select("run_id", (F.col("run_id") % 3).alias("signature"), (F.col("run_id") % 2 == 0).alias("complete"))
     return locks.run_status(e, reg).groupBy("status").agg(F.count("*").alias("n"))
 
@@ -405,3 +383,6 @@ def synthetic_fixture(spark, d):
 def oof_folds(spark, d):
     g = V.records(spark, d).select("group_id").distinct()
     return rounded(entities.oof_folds(g).groupBy("held_in").agg(F.count_distinct("group_id").alias("n_groups")))
+
+
+from . import more  # noqa: E402, F401  registers its queries

@@ -19,15 +19,26 @@ def read_typed_table(spark: SparkSession, path: str, schema: str | None = None)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def read_labelled(spark: SparkSession, root: str, sep: str, columns: list[str]) -> DataFrame:
-    """All *_labeled_data.csv below root, with source_file and row_number (0-based, by file)."""
+def read_labelled(spark: SparkSession, root: str, sep: str | None, columns: list[str]) -> DataFrame:
+    """All *_labeled_data.csv below root, with source_file and row_number (0-based, by file).
+
+    Without sep each file has its own: the one of , ; tab and | that its header holds most often. A record is a line.
+    """
     from pyspark.sql import Window
 
     schema = T.StructType([T.StructField(n, T.StringType()) for n in columns])
-    rows = spark.read.schema(schema).option("header", True).option("sep", sep).option("recursiveFileLookup", True).option("pathGlobFilter", "*_labeled_data.csv").csv(root)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_p"), F.monotonically_increasing_id().alias("_i"))
-    number = F.row_number().over(Window.partitionBy("_p").orderBy("_i")) - 1
-    return rows.select(*columns, F.element_at(F.split("_p", "/"), -1).alias("source_file"), number.alias("row_number")).na.fill("")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_labeled_data.csv").text(root)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("_p"), F.monotonically_increasing_id().alias("_i")).where(F.trim("value") != "")
+    place = Window.partitionBy("_p").orderBy("_i")
+    lines = lines.withColumn("row_number", F.row_number().over(place) - 2).withColumn("_head", F.first("value").over(place))
+    marks = [sep] if sep else [",", ";", "\t", "|"]
+    counted = F.array(*[F.struct(F.size(F.split("_head", f"\\Q{m}\\E")).alias("n"), F.lit(-i).alias("i")) for i, m in enumerate(marks)])
+    lines = lines.withColumn("_sep", -F.array_max(counted)["i"]).where("row_number >= 0")
+    parsed = F.lit(None).cast(schema)
+    for i, m in enumerate(marks):
+        parsed = F.when(F.col("_sep") == i, F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": m})).otherwise(parsed)
+    names = F.element_at(F.split("_p", "/"), -1)
+    return lines.select(parsed.alias("_r"), names.alias("source_file"), "row_number").select("_r.*", "source_file", "row_number").na.fill("")
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
