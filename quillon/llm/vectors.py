@@ -163,7 +163,9 @@ class Graph:
         out = []
         for q, node, s in zip(queries, nodes, sims, strict=True):
             hit = node[(s >= threshold) & (node >= 0)]
-            out.append(self.flood(q, hit, threshold, SLACK * width / SEARCH) if len(hit) == nodes.shape[1] < len(self.x) else hit)
+            more = len(hit) == nodes.shape[1] < len(self.x)
+            hit = np.unique(hit)  # a node may have been met over two links at once
+            out.append(self.flood(q, hit, threshold, SLACK * width / SEARCH) if more else hit)
         return out
 
     def search(self, queries: np.ndarray, threshold: float) -> tuple[list[np.ndarray], int, int]:
@@ -228,10 +230,10 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, scratch: Scratch | No
         place: dict[int, int] = {}
         at = lambda r: place.setdefault(int(r), len(place))
         forest, edges, links = Forest(len(ids) + len(others)), [], []
-        norms = np.linalg.norm(raw, axis=1)
+        norms, own = (np.sqrt((a * a).sum(1)) for a in (raw, raw_q))
         for i, near in enumerate(found):
             near = near[others[near] != ids[i]]
-            cosine = raw[near] @ raw_q[i] / (norms[near] * np.linalg.norm(raw_q[i]))
+            cosine = (raw[near] * raw_q[i]).sum(1) / (norms[near] * own[i])  # the same from both ends of a pair, in any order
             near = near[cosine >= threshold]
             links.append((0, ids[i], 0, int(counts[near].sum())))
             edges += [(1, ids[i], r, 0) for r in others[near] if forest.join(at(ids[i]), at(r))]
