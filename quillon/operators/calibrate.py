@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.scalars import sigmoid, softplus
 from .contracts import ACTIONS, ContractError
@@ -236,10 +237,42 @@ def ridge_cv(df: DataFrame, features: dict[str, tuple[str, ...]], y: str, folds:
     return spark.createDataFrame(results, "model string, mae double, n long")
 
 
-def linear_head(long: DataFrame, features: tuple[str, ...], l2: float = 0.01) -> dict[str, SoftLogistic]:
-    """A soft logistic for each label over precomputed features; long: label, y, mask and the features. Labels are a vocabulary."""
-    names = [r[0] for r in long.select("label").distinct().collect()]
-    return {k: SoftLogistic(features, l2).fit(long.where((F.col("label") == k) & (F.col("mask") > 0))) for k in names}
+def linear_head(long: DataFrame, features: tuple[str, ...], l2: float = 0.01, rounds: int = 30) -> dict[str, SoftLogistic]:
+    """A soft logistic for each label over precomputed features; long: label, y, mask and the features. Labels are a vocabulary.
+
+    Newton steps of all labels together: a round is one aggregation by label, whatever the number of labels. Labels without
+    an unmasked row get no head.
+    """
+    spark, d = long.sparkSession, len(features)
+    rows = long.where(F.col("mask") > 0).select("label", F.col("y").cast("double").alias("y"), *[F.col(n).cast("double").alias(f"x{i}") for i, n in enumerate(features)]).persist()
+    moments = rows.groupBy("label").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)], *[F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(d)]).collect()
+    heads = {}
+    for r in moments:
+        heads[r["label"]] = head = SoftLogistic(features, l2)
+        head.mean, head.deviation, head.weights = [r[f"m{i}"] for i in range(d)], [max(r[f"s{i}"], 1e-6) for i in range(d)], np.zeros(d + 1)
+    going = set(heads)
+    at = lambda name, i: F.col(name)[i]
+    x = [*[(F.col(f"x{i}") - at("_m", i)) / at("_s", i) for i in range(d)], F.lit(1.0)]
+    p = sigmoid(sum((at("_w", i) * v for i, v in enumerate(x)), F.lit(0.0)))
+    slopes = [F.avg((p - F.col("y")) * a).alias(f"g{i}") for i, a in enumerate(x)]
+    bends = [F.avg(p * (1 - p) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(d + 1) for j in range(i, d + 1)]
+    numbers = ArrayType(DoubleType())
+    shape = long.select("label").schema.add("_m", numbers).add("_s", numbers).add("_w", numbers)
+    free = np.array([*[l2] * d, 0.0])
+    for _ in range(rounds):
+        if not going:
+            break
+        now = spark.createDataFrame([(k, heads[k].mean, heads[k].deviation, heads[k].weights.tolist()) for k in going], shape)  # the vocabulary
+        for r in rows.join(F.broadcast(now), "label").groupBy("label").agg(*slopes, *bends).collect():
+            head = heads[r["label"]]
+            g = np.array([r[f"g{i}"] for i in range(d + 1)]) + free * head.weights
+            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(d + 1)] for i in range(d + 1)]) + np.diag(free + 1e-12)
+            step = np.linalg.solve(h, g)
+            head.weights = head.weights - step
+            if abs(step).max() < 1e-10:
+                going.discard(r["label"])
+    rows.unpersist()
+    return heads
 
 
 class GainPolicy:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dhash_bands, group_id, hamming
 from .contracts import SPLITS, ContractError, require_none, require_unique, unmatched
+from .ranges import numbered
 
 # Keys that tie records together.
 KEYS = ("collection_group_id", "participant_id", "household_pseudonym", "session_id", "batch_id", "focal_product_family_id", "sha256")
@@ -17,19 +19,26 @@ KEYS = ("collection_group_id", "participant_id", "household_pseudonym", "session
 def near_hashes(df: DataFrame, distance: int = 3, key: str = "record_id", dhash: str = "dhash") -> DataFrame:
     """All pairs (record_a < record_b) of 64-bit hex hashes at Hamming distance <= distance, exactly.
 
-    distance + 1 bands: two hashes that differ in at most `distance` bits agree in one band at least, so an equi-join on
-    bands finds every pair; no product of the table with itself.
+    distance + 3 bands: two hashes that differ in at most `distance` bits agree in three bands at least, so an equi-join
+    on every choice of three finds every pair. At distance 3 that is 20 keys of about 32 bits a hash: chance matches grow
+    with n^2 / 2^32, where four single bands of 16 bits would grow with n^2 / 2^16. Equal hashes are one hash until the
+    end, so a hash that many records share meets the others once.
     """
-    cuts = [round(i * 64 / (distance + 1)) for i in range(distance + 2)]
-    bits = F.concat(*[F.lpad(F.conv(F.substring(dhash, 1 + 4 * i, 4), 16, 2), 16, "0") for i in range(4)])
-    quarter = dhash_bands(F.col(dhash))
-    rows = df.select(F.col(key).alias("r"), *[q.alias(f"q{i}") for i, q in enumerate(quarter)], bits.alias("bits"))
-    band = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("bits", a + 1, b - a).alias("s")) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
-    rows = rows.withColumn("band", F.explode(band)).select("r", "q0", "q1", "q2", "q3", F.col("band.i").alias("i"), F.col("band.s").alias("s"))
-    other = rows.select(F.col("r").alias("r2"), *[F.col(f"q{i}").alias(f"p{i}") for i in range(4)], "i", "s")
-    gap = hamming([F.col(f"q{i}") for i in range(4)], [F.col(f"p{i}") for i in range(4)])
-    pairs = rows.join(other, ["i", "s"]).where(F.col("r") < F.col("r2")).where(gap <= distance)
-    return pairs.select(F.col("r").alias("record_a"), F.col("r2").alias("record_b"), gap.cast("int").alias("hamming")).distinct()
+    cuts = [round(i * 64 / (distance + 3)) for i in range(distance + 4)]
+    records = df.select(F.col(key).alias("r"), F.col(dhash).alias("h")).where("h is not null")
+    bits = F.concat(*[F.lpad(F.conv(F.substring("h", 1 + 4 * i, 4), 16, 2), 16, "0") for i in range(4)])
+    quarter = dhash_bands(F.col("h"))
+    rows = records.select("h").distinct().select("h", *[q.alias(f"q{i}") for i, q in enumerate(quarter)], bits.alias("bits"))
+    band = [F.substring("bits", a + 1, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    choices = [F.struct(F.lit(n).alias("i"), F.concat(*[band[i] for i in three]).alias("s")) for n, three in enumerate(combinations(range(len(band)), 3))]
+    rows = rows.withColumn("band", F.explode(F.array(*choices))).select("h", "q0", "q1", "q2", "q3", F.col("band.i").alias("i"), F.col("band.s").alias("s"))
+    other = rows.select(F.col("h").alias("h2"), *[F.col(f"q{i}").alias(f"p{i}") for i in range(4)], "i", "s")
+    gap = hamming([F.col(f"q{i}") for i in range(4)], [F.col(f"p{i}") for i in range(4)]).cast("int")
+    near = rows.join(other, ["i", "s"]).where("h < h2").select("h", "h2", gap.alias("hamming")).where(F.col("hamming") <= distance).distinct()
+    far = records.select(F.col("r").alias("r2"), F.col("h").alias("h2"))
+    across = records.join(near, "h").join(far, "h2").select(F.least("r", "r2").alias("record_a"), F.greatest("r", "r2").alias("record_b"), "hamming")
+    same = records.join(far.withColumnRenamed("h2", "h"), "h").where("r < r2").select(F.col("r").alias("record_a"), F.col("r2").alias("record_b"), F.lit(0).alias("hamming"))
+    return across.where("record_a < record_b").unionByName(same).distinct()
 
 
 def propose_near_duplicates(df: DataFrame, distance: int = 3) -> DataFrame:
@@ -101,12 +110,12 @@ def grouped_split(records: DataFrame, fractions: dict[str, float] = SPLITS, seed
     groups = records.select("group_id").distinct()
     sizes = split_sizes(groups.count(), fractions)
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("group_id").cast("string"))) if order is None else order
-    rank = F.row_number().over(Window.orderBy(order, "group_id"))
     split, until = F.lit(None).cast("string"), 0
     for name, n in sizes.items():
         until += n
-        split = F.coalesce(split, F.when(F.col("_rank") <= until, F.lit(name)))
-    return records.join(groups.withColumn("_rank", rank).select("group_id", split.alias("split")), "group_id")
+        split = F.coalesce(split, F.when(F.col("_rank") < until, F.lit(name)))
+    ranked = numbered(groups.withColumn("_key", order), ["_key", "group_id"], "_rank")
+    return records.join(ranked.select("group_id", split.alias("split")), "group_id")
 
 
 def leaks(df: DataFrame, key: str, within: str = "split") -> DataFrame:
@@ -134,14 +143,16 @@ def oof_folds(groups: DataFrame, folds: int = 4, seed: int = 0, inner: float = 0
     """(group_id, fold, early_stop): the first n mod folds folds have one group more; of each fold's training groups a
     half-even rounded share stops early, so the pair (group, fold) has a row for each fold that trains on the group."""
     n = groups.distinct().count()
-    ordered = groups.distinct().withColumn("_r", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("group_id").cast("string"))), "group_id")) - 1)
+    keyed = groups.distinct().withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col("group_id").cast("string"))))
+    ordered = numbered(keyed, ["_key", "group_id"])
     big, size = n % folds, n // folds
     fold = F.when(F.col("_r") < big * (size + 1), F.floor(F.col("_r") / (size + 1))).otherwise(big + F.floor((F.col("_r") - big * (size + 1)) / max(size, 1))).cast("int")
     held = ordered.select("group_id", fold.alias("fold"))
     train = held.withColumn("trains", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))))
-    rank = F.row_number().over(Window.partitionBy("trains").orderBy(F.md5(F.concat(F.lit(f"{seed}:inner:"), F.col("trains").cast("string"), F.lit(":"), F.col("group_id").cast("string"))), "group_id"))
-    total = F.count("*").over(Window.partitionBy("trains"))
-    return train.select("group_id", F.col("fold").alias("held_in"), F.col("trains").alias("fold"), (rank <= F.bround(total * inner, 0)).alias("early_stop"))
+    train = train.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:inner:"), F.col("trains").cast("string"), F.lit(":"), F.col("group_id").cast("string"))))
+    totals = train.groupBy("trains").agg(F.count("*").alias("_total"))  # a row a fold
+    train = numbered(train, ["_key", "group_id"], "_rank", ["trains"]).join(F.broadcast(totals), "trains")
+    return train.select("group_id", F.col("fold").alias("held_in"), F.col("trains").alias("fold"), (F.col("_rank") < F.bround(F.col("_total") * inner, 0)).alias("early_stop"))
 
 
 def validate_oof(ledger: DataFrame) -> DataFrame:

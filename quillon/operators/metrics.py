@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .contracts import MIXTURE, STATUSES, ContractError, require_none, require_unique
+from .ranges import before, numbered, ranged
 
 
 def share_of(domain: Column, mixture: dict[str, float]) -> Column:
@@ -117,12 +118,24 @@ def attach_outcomes(predictions: DataFrame, ratings: DataFrame) -> DataFrame:
 
 
 def holm(df: DataFrame, p: str = "p_value", by: Sequence[str] = ()) -> DataFrame:
-    """df with adjusted: running maximum of (n - rank) p, at most 1. Values outside [0, 1] are an error."""
+    """df with adjusted: running maximum of (n - rank) p, at most 1. Values outside [0, 1] are an error.
+
+    Of tied values the first has the largest product, so distinct values with their counts are all that is sorted.
+    """
     require_none(df.where(~F.coalesce(F.col(p).between(0, 1) & ~F.isnan(p), F.lit(False))).select(p), "invalid p-value")
-    order = Window.partitionBy(*by).orderBy(p)
-    n = F.count("*").over(Window.partitionBy(*by))
-    rows = df.withColumn("_s", (n - F.row_number().over(order) + 1) * F.col(p))
-    return rows.withColumn("adjusted", F.least(F.max("_s").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))).drop("_s")
+    steps = ranged(df.groupBy(*by, F.col(p).alias("_p")).agg(F.count("*").alias("_n")), "_p")
+    cells = steps.groupBy(*by, "_range").agg(F.sum("_n").alias("_m"))
+    cells = cells.select(*by, "_range", F.sum("_m").over(Window.partitionBy(*by).orderBy(F.desc("_range"))).alias("_left"))  # those from this range on
+    match = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in [*by, "_range"]]
+    inside = Window.partitionBy(*by, "_range").orderBy("_p")
+    steps = steps.alias("a").join(cells.alias("b"), match("a", "b")).select("a.*", "_left")
+    steps = steps.withColumn("_s", (F.col("_left") - F.sum("_n").over(inside) + F.col("_n")) * F.col("_p"))
+    most = steps.groupBy(*by, "_range").agg(F.max("_s").alias("_most"))
+    most = most.select(*by, "_range", F.max("_most").over(before(by)).alias("_most"))
+    steps = steps.withColumn("_s", F.max("_s").over(inside)).alias("a").join(most.alias("b"), match("a", "b"))
+    steps = steps.select("a.*", F.least(F.greatest("_s", "_most"), F.lit(1.0)).alias("_adjusted"))
+    keys = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by] + [F.col(f"d.{p}") == F.col("s._p")]
+    return df.alias("d").join(steps.alias("s"), keys).select("d.*", F.col("s._adjusted").alias("adjusted"))
 
 
 def conformal_threshold(df: DataFrame, alpha: float = 0.1) -> DataFrame:
@@ -133,8 +146,8 @@ def conformal_threshold(df: DataFrame, alpha: float = 0.1) -> DataFrame:
     if not n:
         raise ContractError("no calibration groups")
     k = -int(-(n + 1) * (1 - alpha) // 1)
-    ranked = most.withColumn("_r", F.row_number().over(Window.orderBy("s", "group_id")))
-    return ranked.agg(F.max(F.when(F.col("_r") == k, F.col("s"))).alias("q"), F.lit(n).cast("long").alias("n_groups"), F.lit(k).cast("long").alias("rank"))
+    ranked = numbered(most, ["s", "group_id"])
+    return ranked.agg(F.max(F.when(F.col("_r") == k - 1, F.col("s"))).alias("q"), F.lit(n).cast("long").alias("n_groups"), F.lit(k).cast("long").alias("rank"))
 
 
 def prediction_sets(df: DataFrame, q: Column) -> DataFrame:

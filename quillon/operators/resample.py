@@ -3,34 +3,29 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .contracts import MIXTURE, ContractError, require_none
 from .metrics import share_of
+from .ranges import numbered
 
 
-def draws(spark: SparkSession, groups: list, replicates: int, seed: int = 0) -> DataFrame:
-    """(b, group_id, m): how often each replicate draws each group. The generator runs on the driver over the group
-    list, which a study keeps to some thousands; executors see only the counts."""
-    rng = np.random.default_rng(seed)
-    names = np.array(sorted(groups))
-    rows = []
-    for b in range(replicates):
-        drawn, m = np.unique(rng.choice(names, len(names), replace=True), return_counts=True)
-        rows += [(b, g, int(k)) for g, k in zip(drawn.tolist(), m, strict=True)]
-    kind = "string" if isinstance(groups[0], str) else "long"
-    return spark.createDataFrame(rows, f"b int, group_id {kind}, m int")
+def drawn(n: Column, *what: Column) -> Column:
+    """A number from 0 to n - 1 from md5 of what, joined by colons."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", *what)), 1, 8), 16, 10).cast("long"), n)
 
 
-def hashed_draws(groups: DataFrame, replicates: int) -> DataFrame:
-    """The same from a hash: draw i of replicate b takes the group whose rank is that of md5(b:i); SQL can repeat it."""
-    from pyspark.sql import Window
+def hashed_draws(groups: DataFrame, replicates: int, seed: int | None = None) -> DataFrame:
+    """(b, group_id, m): how often each replicate draws each group, from a hash, on the executors.
 
-    ranked = groups.select("group_id").distinct().withColumn("_r", F.row_number().over(Window.orderBy("group_id")) - 1)
+    Draw i of replicate b takes the group whose rank is that of md5(b:i), with a seed md5(seed:b:i); SQL can repeat it.
+    """
+    ranked = numbered(groups.select("group_id").distinct(), ["group_id"])
     n = ranked.count()
-    spark = groups.sparkSession
-    picks = spark.range(replicates * n).select((F.col("id") / n).cast("int").alias("b"), F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", (F.col("id") / n).cast("int"), F.col("id") % n)), 1, 8), 16, 10).cast("long"), F.lit(n)).alias("_r"))
+    b, i = F.floor(F.col("id") / n).cast("int"), F.col("id") % n
+    salt = [] if seed is None else [F.lit(str(seed))]
+    picks = groups.sparkSession.range(replicates * n).select(b.alias("b"), drawn(F.lit(n), *salt, b, i).alias("_r"))
     return picks.groupBy("b", "_r").agg(F.count("*").cast("int").alias("m")).join(ranked, "_r").select("b", "group_id", "m")
 
 
@@ -75,7 +70,7 @@ def paired_bootstrap(df: DataFrame, a: str = "M7", b: str = "M3", mixture: dict[
     validate_paired(df, a, b)
     sums = group_sums(df.where(F.col("method").isin(a, b))).persist()
     if multiplicities is None:
-        multiplicities = draws(df.sparkSession, [r[0] for r in sums.select("group_id").distinct().collect()], replicates, seed)
+        multiplicities = hashed_draws(sums, replicates, seed)
     whole = sums.select("group_id").distinct().select(F.lit(-1).alias("b"), "group_id", F.lit(1).alias("m"))
     diff = paired_differences(replicate_rates(sums, multiplicities.unionByName(whole), mixture), a, b)
     rep = F.col("b") >= 0
@@ -103,7 +98,7 @@ def foundation_intervals(df: DataFrame, replicates: int = 1000, seed: int = 0, m
         raise ContractError("at least 20 replicates")
     groups = foundation_groups(df).persist()
     if multiplicities is None:
-        multiplicities = draws(df.sparkSession, [r[0] for r in groups.select("group_id").collect()], replicates, seed)
+        multiplicities = hashed_draws(groups, replicates, seed)
     whole = groups.select(F.lit(-1).alias("b"), "group_id", F.lit(1).alias("m"))
     mean = {p: F.sum(F.col("m") * F.col(p)) / F.sum("m") for p in PARTS}
     rows = groups.join(multiplicities.unionByName(whole), "group_id").groupBy("b").agg(mean["answer"].alias("answer_coverage_all_records"), mean["assessable"].alias("assessable_answer_coverage"), (mean["disagreement"] / F.nullif(mean["assessable"], F.lit(0.0))).alias("panel_disagreement_among_assessable_answers"), mean["unassessable"].alias("unassessable_answer_coverage"))
@@ -140,19 +135,18 @@ def two_arms(means: DataFrame, metric: str, replicates: int = 1000, seed: int =
     arms = sorted(r[0] for r in means.select("arm").distinct().limit(3).collect())
     if len(arms) != 2:
         raise ContractError("exactly two arms")
-    rng, spark, rows = np.random.default_rng(seed), means.sparkSession, []
-    for sign, arm in ((1, arms[1]), (-1, arms[0])):
-        n = means.where(F.col("arm") == arm).count()
-        if n < 3:
-            raise ContractError("at least 3 participants an arm")
-        for b in range(replicates):
-            who, m = np.unique(rng.integers(0, n, n), return_counts=True)
-            rows += [(b, arm, int(i), sign * int(k) / n) for i, k in zip(who, m, strict=True)]
-    from pyspark.sql import Window
-
-    table = spark.createDataFrame(rows, "b int, arm string, i int, w double")
-    ranked = means.withColumn("i", F.row_number().over(Window.partitionBy("arm").orderBy("participant_id")) - 1)
-    reps = ranked.join(table, ["arm", "i"]).groupBy("b").agg(F.sum(F.col("w") * F.col(metric)).alias("d"))
+    sizes = {r["arm"]: r["n"] for r in means.groupBy("arm").agg(F.count("*").alias("n")).collect()}  # two rows
+    if min(sizes.values()) < 3:
+        raise ContractError("at least 3 participants an arm")
+    picks = None
+    for sign, arm in ((1.0, arms[1]), (-1.0, arms[0])):
+        n = sizes[arm]
+        b, i = F.floor(F.col("id") / n).cast("int"), F.col("id") % n
+        part = means.sparkSession.range(replicates * n).select(b.alias("b"), F.lit(arm).alias("arm"), drawn(F.lit(n), F.lit(str(seed)), F.lit(arm), b, i).alias("_r"), F.lit(sign / n).alias("w"))
+        picks = part if picks is None else picks.unionByName(part)
+    table = picks.groupBy("b", "arm", "_r").agg(F.sum("w").alias("w"))
+    ranked = numbered(means, ["participant_id"], by=["arm"])
+    reps = ranked.join(table, ["arm", "_r"]).groupBy("b").agg(F.sum(F.col("w") * F.col(metric)).alias("d"))
     q = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))
     point = means.agg((F.avg(F.when(F.col("arm") == arms[1], F.col(metric))) - F.avg(F.when(F.col("arm") == arms[0], F.col(metric)))).alias("difference"))
     return point.crossJoin(reps.agg(q[0].alias("lo"), q[1].alias("hi"))).withColumn("contrast", F.lit(f"{arms[1]}-{arms[0]}"))  # one row each

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
+
 
 def finite(df: DataFrame) -> DataFrame:
     """NaN and infinities of double and float columns to null."""
@@ -29,8 +31,8 @@ def rating_jobs(candidates: DataFrame, seed: int = 0) -> DataFrame:
     """Candidates without scores, in a seeded order, with job ids and empty review columns."""
     # What a rater must not see.
     hidden = ("candidate_confidence", "score", "generic", "pcsi", "joint_confidence", "entropy", "eligible", "gate_reason", "accepted", "method")
-    order = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("candidate_id").cast("string"))), "candidate_id")) - 1
-    out = candidates.drop(*hidden).withColumn("job_id", F.format_string("J%06d", order))
+    keyed = candidates.drop(*hidden).withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col("candidate_id").cast("string"))))
+    out = numbered(keyed, ["_key", "candidate_id"]).withColumn("job_id", F.format_string("J%06d", "_r")).drop("_key", "_r")
     return out.withColumns({c: F.lit("") for c in ("factual_status", "evidential_status", "reviewer_note")})
 
 
