@@ -20,13 +20,13 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7, scratch: Scratch | N
     """
     scratch = scratch or Scratch(docs.sparkSession)
     text = text_of()
-    hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(text))
+    hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(text)))
     rows = docs.select(
         *[c for c in docs.columns if c in columns],
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
         source_key(F.col("source")).alias("skey"),
-        (F.shiftrightunsigned(hashed, 11) / float(2**53)).alias("_u"),
+        (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") / float(2**52)).alias("_u"),
         F.lit(1).cast("long").alias("_one"),
     )
     rows = scratch.save(rows, "rows")
