@@ -25,16 +25,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts of one id are numbered, so that another text of the id of a duplicate is judged by itself. Rows without an
     id and blank texts are no duplicates; of those with equal text (and id), one stays.
     """
-    scratch = Scratch(spark)
+    scratch, own_tables = Scratch(spark), Scratch(spark)
     keyed = held(docs).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_h"])
     several = keyed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("_h").alias("_first")).where("_n > 1")
     several = scratch.save(several.select("doc_id", "_first"), "several")
     keyed = join_checked(keyed, several, ["doc_id"], "left")
     # an id is as good as any other, as long as the order of ids holds where it is known: further texts of an id come last
     own = F.when(F.col("_first").isNull() | (F.col("_first") == F.col("_h")), F.col("doc_id")).otherwise(F.lit(2**62) + F.shiftrightunsigned(F.xxhash64("doc_id", "_h"), 2))
-    keyed = scratch.save(keyed.select("_doc", "text", own.alias("doc_id")), "keyed")
-    gone = neardup.near_duplicates(keyed.select("doc_id", "text"), scratch=scratch).where("not kept").select("doc_id").distinct()
-    return join_checked(keyed, scratch.save(gone, "gone"), ["doc_id"], "left_anti").select("_doc.*")
+    keyed = scratch.save(keyed.select("_doc", own.alias("doc_id")), "keyed")
+    judged = neardup.near_duplicates(keyed.select("doc_id", F.col("_doc.text").alias("text")), scratch=own_tables)
+    gone = scratch.save(judged.where("not kept").select("doc_id").distinct(), "gone")
+    own_tables.close()
+    return join_checked(keyed, gone, ["doc_id"], "left_anti").select("_doc.*")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +52,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Equal rows are one document, which stands for as many copies as all of them together were taken.
     """
-    scratch = Scratch(spark)
+    scratch, own_tables = Scratch(spark), Scratch(spark)
     plain = [c for c, kind in docs.dtypes if "map<" not in kind]
-    judged = quality.quality_rules(held(docs), scratch, columns=("doc_id", "text", "source", "_doc"))
-    keyed = scratch.save(judged.select("_doc", "doc_id", "text", "source", "quality", F.xxhash64(*[F.col("_doc").getField(c) for c in plain]).alias("_k")), "judged")
-    copies = mixing.mix(keyed, scratch, quality=F.col("quality") + 0.01, columns=("doc_id", "_k")).groupBy("_k").agg(F.sum("copies").alias("_n")).where("_n > 0")
-    out = keyed.select("_doc", "_k").dropDuplicates(["_k"]).join(scratch.save(copies, "copies"), "_k")
+    judged = quality.quality_rules(held(docs), scratch, columns=("doc_id", "source", "_doc"))  # written once, with one copy of the rows
+    keyed = judged.select("_doc", "doc_id", F.col("_doc.text").alias("text"), "source", "quality", F.xxhash64(*[F.col("_doc").getField(c) for c in plain]).alias("_k"))
+    copies = mixing.mix(keyed, own_tables, quality=F.col("quality") + 0.01, columns=("doc_id", "_k")).groupBy("_k").agg(F.sum("copies").alias("_n")).where("_n > 0")
+    copies = scratch.save(copies, "copies")
+    own_tables.close()
+    out = keyed.select("_doc", "_k").dropDuplicates(["_k"]).join(copies, "_k")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_doc.*")
 
 
