@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dhash_bands, group_id, hamming
 from .contracts import SPLITS, ContractError, require_none, require_unique, unmatched
-from .ranges import numbered
+from .ranges import checkpointed, numbered
 
 # Keys that tie records together.
 KEYS = ("collection_group_id", "participant_id", "household_pseudonym", "session_id", "batch_id", "focal_product_family_id", "sha256")
@@ -47,18 +47,8 @@ def propose_near_duplicates(df: DataFrame, distance: int = 3) -> DataFrame:
 
 def min_labels(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root) for undirected edges (u, v): hook to the least neighbour, jump, contract, until no edge is left."""
-    spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.sparkContext.master.startswith("local"):
-            raise ContractError("spark.checkpoint.dir must name a folder that all executors share")
-        if not shared:
-            import tempfile
-
-            shared = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext.setCheckpointDir(shared)
     edges = edges.where("u <> v").select("u", "v")
-    cur = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
+    cur = checkpointed(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     nodes = cur.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     for _ in range(rounds):
         if cur.isEmpty():

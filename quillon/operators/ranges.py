@@ -1,4 +1,4 @@
-"""Order over a whole table without a task that sorts all of it."""
+"""Order over a whole table without a task that sorts all of it: Spark's range partitions are the mechanism."""
 
 from __future__ import annotations
 
@@ -7,27 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The order is cut into SIDE * SIDE ranges, at keys from a sample of SAMPLED a range.
-SIDE, SAMPLED = 32, 20
+from .contracts import ContractError
 
+#: Rows of a key table up to which it is broadcast; above, both sides are shuffled.
+SMALL = 200_000
 
-def ranged(df: DataFrame, first: str) -> DataFrame:
-    """df with _range, which never falls as the column `first` rises; nulls come first.
 
-    The cuts come from a sample of bounded size, the keys of least hash, and are found in two steps of SIDE comparisons.
-    They only deal the rows out: what is computed over ranges doesn't depend on them. Equal keys share a range.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written below spark.checkpoint.dir, so that its rows, their partitions and their order are settled and no lineage is left.
+
+    Where the setting is absent, a temporary folder stands in on one machine (tests); on a cluster that is an error.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ContractError("spark.checkpoint.dir must name a folder that all executors share")
+        if not shared:
+            import tempfile
+
+            shared = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        spark.sparkContext.setCheckpointDir(shared)
+    return df.checkpoint()
+
+
+def with_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """df joined to a settled table of a row a key, which is broadcast only if its rows, counted, are few."""
+    return df.join(F.broadcast(small) if small.count() <= SMALL else small, list(keys), how)
+
+
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """df with _range, which never falls as the columns `order` rise (nulls first); rows with equal columns share a range.
+
+    The ranges are Spark's: cut at sampled keys, as many as there are shuffle partitions, small ones put together.
     """
-    known = df.select(F.col(first).alias("k")).where("k is not null")
-    picked = known.orderBy(F.xxhash64("k"), "k").limit(SIDE * SIDE * SAMPLED)
-    cuts = [r["k"] for r in picked.orderBy("k").collect()][SAMPLED::SAMPLED]
-    if not cuts:
-        return df.withColumn("_range", F.lit(0))
-    up_to = lambda keys: F.size(F.filter(keys, lambda c: c <= F.col(first)))
-    blocks = [F.array(*[F.lit(c) for c in cuts[i : i + SIDE]]) for i in range(0, len(cuts), SIDE)]
-    coarse = up_to(F.array(*[F.lit(c) for c in cuts[::SIDE]]))
-    fine = (F.col("_block") - 1) * SIDE + up_to(F.get(F.array(*blocks), F.col("_block") - 1))
-    df = df.withColumn("_block", coarse)
-    return df.withColumn("_range", F.when(F.col(first).isNull(), F.lit(-1)).when(F.col("_block") == 0, F.lit(0)).otherwise(fine)).drop("_block")
+    return checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
 
 
 def before(by: Sequence[str]):
@@ -38,12 +52,18 @@ def before(by: Sequence[str]):
 def numbered(df: DataFrame, order: Sequence[str], name: str = "_r", by: Sequence[str] = ()) -> DataFrame:
     """df with name: the row's number from 0 in the order of the columns `order`, within each value of by (never null).
 
-    Rows are numbered inside their range, and the counts of the ranges before are added. The first column should be
-    nearly unique, since equal keys share a range. An empty table stays empty.
+    Rows are dealt by ranges of (by, order), sorted in their range, and numbered where they lie; a row's place in the
+    table is its place in the range and the rows of the ranges before, and the least place of a value of by is taken
+    off. A value of by that holds most of the rows is cut like any other stretch of keys, so no task gets all of it;
+    only rows that agree in all of by and order must share a range. An empty table stays empty.
     """
-    df = ranged(df, order[0])
-    counts = df.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    counts = counts.select(*by, "_range", F.coalesce(F.sum("_n").over(before(by)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by, "_range").orderBy(*order)
-    rows = df.withColumn(name, F.row_number().over(inside) - 1).join(counts, [*by, "_range"])
-    return rows.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+    key = [*by, *order]
+    rows = checkpointed(df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_m", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"_range": F.shiftright("_m", 33), name: F.col("_m").bitwiseAND(F.lit(2**33 - 1))}).drop("_m")
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a partition
+    rows = rows.join(F.broadcast(counts.select("_range", F.coalesce(F.sum("_n").over(before([])), F.lit(0)).alias("_before"))), "_range")
+    rows = rows.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+    if by:
+        first = checkpointed(rows.groupBy(*by).agg(F.min(name).alias("_first")))
+        rows = with_small(rows, first, by).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
+    return rows.select(*df.columns, name)

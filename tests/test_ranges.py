@@ -24,10 +24,22 @@ def test_numbered(spark, n, kind):
     assert {r["i"]: r["at"] for r in ranges.numbered(df, ["k", "i"], "at", ["g"]).collect()} == inner
 
 
-def test_no_task_sorts_the_whole_table(spark):
-    df = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("k"))
-    sizes = [r["count"] for r in ranges.ranged(df, "k").groupBy("_range").count().collect()]
-    assert len(sizes) > 100 and max(sizes) < 500
+def test_no_task_holds_much_of_the_table(spark):
+    """One value of `by` has most rows, and half of the keys begin alike; the ranges are even all the same."""
+    df = spark.range(5000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(F.lit(99)).alias("g"), F.concat(F.when(F.col("id") % 2 == 0, F.lit("same")).otherwise(F.lit("")), F.md5(F.col("id").cast("string"))).alias("k"))
+    conf = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {c: spark.conf.get(c) for c in conf}
+    for c, v in conf.items():
+        spark.conf.set(c, v)
+    try:
+        sizes = [r["count"] for r in ranges.ranged(df, "g", "k").groupBy("_range").count().collect()]
+        got = {(r["g"], r["k"]): r["_r"] for r in ranges.numbered(df, ["k"], by=["g"]).collect()}
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert len(sizes) == 20 and max(sizes) <= 2 * 5000 / 20
+    keys = sorted(got)
+    assert all(got[k] == i - next(j for j, x in enumerate(keys) if x[0] == k[0]) for i, k in list(enumerate(keys))[::97])
 
 
 @pytest.mark.parametrize("by", [(), ("g",)])
