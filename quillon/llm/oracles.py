@@ -129,4 +129,77 @@ placed as (select *, row_number() over (order by f, skey) - 1 as place, count(*)
 select doc_id, size, text_crc32::bigint as text_crc32, 'rows' as law, (place * 40 // n)::int as shard, (place - ((place * 40 // n) * n + 39) // 40)::bigint as slot, null::int as grown_shard from placed
 """
 
-ORACLES = {"op1_near_dedup": NEAR_DEDUP, "op2_embedding_dedup": EMBEDDING_DEDUP, "op4_mixing": MIXING, "op6_lm_scoring": BACKOFF, "op9_sharding": SHARDING}
+#: Nodes are lists of (role, text); crc32 of the decimal id by the table of 256 entries.
+TRIE = f"""
+with recursive steps(i, c, k) as (select i, i, 0 from range(256) t(i) union all select i, {_step}, k + 1 from steps where k < 8),
+crc_table as (select list(c order by i) as t from steps where k = 8),
+original as (
+    select conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as turns
+    from conversations where conv_id is not null group by conv_id
+),
+named as (
+    select original.*, conv_id - conv_id % 20 as base,
+        (xor(list_reduce([('0x' || x)::bigint for x in regexp_extract_all(hex(encode(conv_id::varchar)), '..')], lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::bigint), 4294967295) % 4)::int as h
+    from original, crc_table
+),
+paths as materialized (
+    select a.conv_id, (case when a.h = 0 then [] else coalesce(b.turns[1:a.h], []) end) || a.turns[a.h + 1:] as turns from named a left join original b on b.conv_id = a.base
+),
+prefixes as (select conv_id, turns, unnest(range(len(turns) + 1)) as depth from paths),
+nodes as materialized (
+    select case when depth = 0 then [] else turns[1:depth] end as node, depth, min(conv_id) as conv_id, count(*) as n_convs,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where depth = len(turns)), '')) as ends_sha256
+    from prefixes group by all
+),
+counted as materialized (
+    select n.*, case when n.depth > 1 then n.node[1:n.depth - 1] when n.depth = 1 then [] end as parent, count(c.depth) as n_children from nodes n
+    left join nodes c on c.depth = n.depth + 1 and (n.depth = 0 or c.node[1:n.depth] = n.node) group by all
+),
+summed as (
+    select case when up = 0 then [] else node[1:up] end as node, up as depth, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum(case when depth > 0 then (n_convs - 1) * len({words("node[depth].text")}) else 0 end) as saved_tokens
+    from (select *, unnest(range(depth + 1)) as up from counted) group by all
+)
+select c.conv_id, c.depth::bigint as depth, p.conv_id as parent_conv_id, c.n_convs, c.n_children, n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, c.ends_sha256
+from counted c join summed s on s.depth = c.depth and s.node = c.node left join nodes p on p.depth = c.depth - 1 and p.node = c.parent
+"""
+
+FILTER_AUDIT = f"""
+with texts as materialized (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+cut as (select *, {words("t")} as w, coalesce(min(doc_id) over (partition by t) < doc_id, false) as later from texts),
+judged as (
+    select doc_id, part, [x for x in [
+        case when len(w) < 200 then 'A' end, case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' end,
+        case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) then 'C' end,
+        case when regexp_matches(t, '[#$%&*|]') then 'D' end, case when later then 'E' end] if x is not null] as fails from cut
+),
+marks as (select doc_id, max(coalesce((quality = 1)::int, 0)) as good, max(coalesce((toxic = 1)::int, 0)) as toxic from labels group by doc_id),
+masks as materialized (select part, fails, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from judged left join marks using (doc_id) group by all),
+letters(l) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (
+    select a.l || b.l || c.l || d.l || e.l as filter_order from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+),
+steps as (select filter_order, step, filter_order[step] as f, [x for x in string_split(filter_order[1:step - 1], '') if x <> ''] as gone from orders, range(1, 6) r(step)),
+audited as (
+    select part, filter_order, step, f, sum(case when not list_contains(fails, f) and not list_has_any(fails, gone) then n else 0 end) as kept,
+        sum(case when list_contains(fails, f) and not list_has_any(fails, gone) then n else 0 end) as removed, sum(case when list_contains(fails, f) and list_has_any(fails, gone) then n else 0 end) as redundant,
+        sum(case when fails = [f] then n else 0 end) as unique_fails, sum(case when list_contains(fails, f) and not list_has_any(fails, gone) then good else 0 end) as good_lost,
+        sum(case when list_contains(fails, f) and not list_has_any(fails, gone) then toxic else 0 end) as toxic_lost
+    from masks, steps group by all
+)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+    toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, f))::bigint as shapley from audited
+"""
+
+SEARCH = """
+with vectors as materialized (
+    select row_number() over () as r, vec_id, [floor(256 * x::double) for x in embedding] as v from embeddings
+    where vec_id is not null and embedding is not null and coalesce(list_bool_and([x is not null and isfinite(x) for x in embedding]), true)
+),
+scored as (
+    select q.r as query, q.vec_id as query_id, c.vec_id, case when len(q.v) = 0 then 0 else list_inner_product(q.v, c.v) end::bigint as score from vectors q join vectors c on q.r <> c.r where q.vec_id % 50 = 0
+),
+ranked as (select *, row_number() over (partition by query order by score desc, vec_id) as rank from scored)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5
+"""
+
+ORACLES = {"op1_near_dedup": NEAR_DEDUP, "op2_embedding_dedup": EMBEDDING_DEDUP, "op4_mixing": MIXING, "op6_lm_scoring": BACKOFF, "op9_sharding": SHARDING, "op11_prefix_trie": TRIE, "op12_filter_audit": FILTER_AUDIT, "op13_topk_search": SEARCH}

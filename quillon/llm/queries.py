@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, lm, mixing, neardup, packing, quality, repeats, secrets, shards, vectors
+from . import audit, classifier, lm, mixing, neardup, packing, quality, repeats, search, secrets, shards, trie, vectors
 from .common import table
 from .oracles import ORACLES
 
@@ -55,9 +55,21 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_embedding_dedup, op3_quality_classifier, op4_mixing, op5_quality_rules, op6_lm_scoring, op7_secret_scan, op8_packing, op9_sharding, op10_repeats)
+    for f in (op1_near_dedup, op2_embedding_dedup, op3_quality_classifier, op4_mixing, op5_quality_rules, op6_lm_scoring, op7_secret_scan, op8_packing, op9_sharding, op10_repeats, op11_prefix_trie, op12_filter_audit, op13_topk_search)
 }
