@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, buckets
-from .text import BLANK, LOWER, chunks, word_hashes, words
+from .text import BLANK, LOWER, chunks, distinct_words, words
 
 #: Pieces that one task packs.
 GROUP = 20_000
@@ -27,7 +27,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordIds:
-    """ids of whole texts from the ids of their words, each word asked of the tokenizer once.
+    """ids of whole texts from the ids of their words, each word asked of the tokenizer once; words are known by their bytes.
 
     The vocabulary splits texts at blanks and between letters and signs, and is in lower case, so words are told
     apart by ASCII blanks, A-Z is lower-cased, and a final stop or comma behind an ASCII letter is a word of its own.
@@ -42,18 +42,18 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
+        self.row: dict[bytes, int] = {}
         self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self, hashes: list[int], words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         flat, counts = [self.flat], []
         for i in range(0, len(words), 1000):  # long texts make the tokenizer slower
-            part = words[i : i + 1000]
+            part = [w.decode() for w in words[i : i + 1000]]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             flat.append(np.array(found.ids, np.uint32))
             at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
             counts.append(np.diff(np.searchsorted(at, np.cumsum([0, *(len(w) + 1 for w in part)]))))
-        self.row.update(zip(hashes, range(len(self.row), len(self.row) + len(words)), strict=True))
+        self.row.update(zip(words, range(len(self.row), len(self.row) + len(words)), strict=True))
         self.flat = np.concatenate(flat)
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(counts))])
 
@@ -73,15 +73,15 @@ class WordIds:
         opening = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))  # <|
         for w in np.unique(np.searchsorted(starts, opening, "right") - 1).tolist() if len(opening) else ():
             data[starts[w] : ends[w]] = raw[starts[w] : ends[w]]
-        known, where, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        hashes = known.tolist()
-        if len(self.row) + len(hashes) > REMEMBERED:
+        where, which = distinct_words(data, starts, ends)
+        text = data.tobytes()
+        found = [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        if len(self.row) + len(found) > REMEMBERED:
             self.clear()
-        new = [i for i, h in enumerate(hashes) if h not in self.row]
+        new = [w for w in found if w not in self.row]
         if new:
-            cut = where[new]
-            self.learn([hashes[i] for i in new], [data[a:b].tobytes().decode() for a, b in zip(starts[cut].tolist(), ends[cut].tolist(), strict=True)])
-        rows = np.fromiter(map(self.row.__getitem__, hashes), np.int64, len(hashes))[which]
+            self.learn(new)
+        rows = np.fromiter(map(self.row.__getitem__, found), np.int64, len(found))[which]
         count = self.start[rows + 1] - self.start[rows]
         until = np.concatenate([[0], np.cumsum(count)])
         place = np.repeat(self.start[rows] - until[:-1], count) + np.arange(until[-1])

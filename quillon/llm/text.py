@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,9 @@ _rng = np.random.Generator(np.random.PCG64(20240607))
 VALUES = _rng.integers(1, 2**64, 256, dtype=_U)
 BASE = _U(0x9E3779B97F4A7C15 | 5)
 INVERSE = _U(pow(int(BASE), -1, 2**64))
+#: Words of more bytes are hashed one by one. The masks of a lane's first bytes.
+SHORT = 64
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -55,17 +59,60 @@ def between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(((prefix[end] - prefix[start]) * powers(len(prefix))[1][start]) ^ ((end - start).astype(_U) << _U(40)))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = CHUNK) -> np.ndarray:
-    """A hash of each word, about limit bytes at once, however long the text is."""
-    out, a = np.empty(len(starts), _U), 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + limit, "right")))
-        base = starts[a]
-        out[a:b] = between(sums(data[base : ends[b - 1]]), starts[a:b] - base, ends[a:b] - base)
-        a = b
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word: eight bytes at a time go through a mixer that is one to one, long words through BLAKE2.
+
+    No arithmetic relation between words carries over to their hashes, so two words agree by chance alone (2 ** -64).
+    """
+    length = ends - starts
+    out = mix(length.astype(_U) * BASE + _U(1))
+    eight, live = lanes(data), np.flatnonzero(length <= SHORT)
+    for j in range(0, SHORT, 8):
+        lane = eight[starts[live] + j] & _FIRST[np.minimum(length[live] - j, 8)]
+        out[live] = mix(out[live] ^ lane) * BASE
+        live = live[length[live] > j + 8]
+        if not len(live):
+            break
+    for i in np.flatnonzero(length > SHORT).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an occurrence of each distinct word, which of these each word is). Hashes group the words, bytes decide."""
+    _, where, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    if same_words(data, starts, ends, where[which]):
+        return where, which
+    seen: dict[bytes, int] = {}
+    raw = data.tobytes()
+    which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return np.unique(which, return_index=True)[1], which
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each word has the bytes of the word that other names."""
+    length, eight = ends - starts, lanes(data)
+    if (length != length[other]).any():
+        return False
+    live = np.flatnonzero((other != np.arange(len(other))) & (length <= SHORT))
+    for j in range(0, SHORT, 8):
+        keep = _FIRST[np.minimum(length[live] - j, 8)]
+        if ((eight[starts[live] + j] ^ eight[starts[other[live]] + j]) & keep).any():
+            return False
+        live = live[length[live] > j + 8]
+        if not len(live):
+            break
+    long = np.flatnonzero((other != np.arange(len(other))) & (length > SHORT))
+    return all(np.array_equal(data[starts[i] : ends[i]], data[starts[o] : ends[o]]) for i, o in zip(long.tolist(), other[long].tolist(), strict=True))
+
+
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with about limit bytes, null as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
