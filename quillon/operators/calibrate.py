@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.scalars import sigmoid, softplus
 from .contracts import ACTIONS, ContractError
+from .ranges import checkpointed, with_small
 
 GENERIC = ("candidate_confidence", "joint_marginal_gap", "entropy", "specificity")
 PROVENANCE = ("n_sources", "has_documentary", "source_age_days", "missing_premises", "source_conflicts", "unknown_mass")
@@ -209,14 +210,14 @@ def base_rate_bias(prevalence: DataFrame, eps: float = 1e-4) -> DataFrame:
 
 
 def ridge_cv(df: DataFrame, features: dict[str, tuple[str, ...]], y: str, folds: int = 5, alpha: float = 1.0) -> DataFrame:
-    """(model, mae, n) of ridge regressions out of group folds, from sums of products by fold."""
+    """(model, mae, n) of ridge regressions out of group folds, from sums of products by fold: a row a fold reaches the driver."""
     from .entities import balanced_folds
 
     spark = df.sparkSession
-    fold = balanced_folds(df.select("group_id"), folds)
-    if len(fold) < 3:
+    fold = checkpointed(balanced_folds(df.select("group_id"), folds).select("group_id", "fold"))
+    if fold.limit(3).count() < 3:
         raise ContractError("at least 3 groups")
-    rows = df.join(F.broadcast(spark.createDataFrame(list(fold.items()), df.select("group_id").schema.add("fold", "integer"))), "group_id").persist()
+    rows = with_small(df, fold, ["group_id"]).persist()
     results = []
     for name, xs in features.items():
         cols = [*xs, y]

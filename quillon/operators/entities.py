@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dhash_bands, group_id, hamming
 from .contracts import SPLITS, ContractError, require_none, require_unique, unmatched
-from .ranges import checkpointed, numbered
+from .ranges import SMALL, checkpointed, numbered
 
 # Keys that tie records together.
 KEYS = ("collection_group_id", "participant_id", "household_pseudonym", "session_id", "batch_id", "focal_product_family_id", "sha256")
@@ -154,17 +154,45 @@ def validate_oof(ledger: DataFrame) -> DataFrame:
     return ledger
 
 
-def balanced_folds(groups: DataFrame, folds: int = 5) -> dict:
-    """Greedy group k-fold: the largest group first, each into the lightest fold. The table has a row a group."""
-    rows = groups.groupBy("group_id").count().orderBy(F.desc("count"), "group_id").collect()
-    weight, out = [0] * min(folds, max(1, len(rows))), {}
-    for r in rows:
-        f = weight.index(min(weight))
-        out[r["group_id"]] = f
-        weight[f] += r["count"]
+def dealt(sizes: Sequence[tuple[int, int]], folds: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """(size, [(first group, folds in turn)]) of the greedy deal, for sizes with their numbers of groups, largest first.
+
+    Groups of one size s go, one after another, to the lightest fold, so fold f gets its i-th of them when w_f + i s is the
+    next number in order. In each stretch of s numbers, every fold that has been reached occurs once, in the order of
+    w_f mod s. So the deal is a few repeated patterns, one more each time that a heavier fold is reached.
+    """
+    weight, out = [0] * folds, []
+    for size, count in sizes:
+        level, rest = [w // size for w in weight], [w % size for w in weight]
+        stretches, done = [], 0
+        steps = sorted(set(level))
+        for here, beyond in zip(steps, [*steps[1:], None], strict=True):
+            turn = sorted((f for f in range(folds) if level[f] <= here), key=lambda f: (rest[f], f))
+            take = count - done if beyond is None else min(count - done, (beyond - here) * len(turn))
+            if take:
+                stretches.append((done, turn))
+                for i, f in enumerate(turn):
+                    weight[f] += size * (take // len(turn) + (i < take % len(turn)))
+                done += take
+        out.append((size, stretches))
     return out
 
 
+def balanced_folds(rows: DataFrame, folds: int = 5) -> DataFrame:
+    """(group_id, n, fold): greedy group k-fold, the largest group first (of equal ones the least id), each into the lightest fold.
+
+    Only the histogram of sizes reaches the driver, a row a distinct size (fewer than sqrt(2 * rows)); a group then finds
+    its fold from its number among the groups of its size. With fewer groups than folds there are as many folds as groups.
+    """
+    groups = checkpointed(rows.where("group_id is not null").groupBy("group_id").agg(F.count("*").alias("n")))
+    sizes = [(r["n"], r["k"]) for r in groups.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()]
+    turns = dealt(sizes, max(1, min(folds, sum(k for _, k in sizes))))
+    table = rows.sparkSession.createDataFrame(turns, "n long, _turns array<struct<first:long,turn:array<int>>>")
+    at = F.element_at(F.filter("_turns", lambda t: t["first"] <= F.col("_j")), -1)
+    ranked = numbered(groups, ["group_id"], "_j", ["n"]).join(F.broadcast(table) if len(turns) <= SMALL else table, "n").withColumn("_at", at)
+    return ranked.select("group_id", "n", F.get("_at.turn", ((F.col("_j") - F.col("_at.first")) % F.size("_at.turn")).cast("int")).alias("fold"))
+
+
 def lineage(spark: SparkSession, assets: DataFrame, purpose: str = "research", depth: int = 64) -> DataFrame:
     """(asset_id, ancestor, distance) of a DAG of assets with parent_asset_ids and permitted_<purpose>_use.
 

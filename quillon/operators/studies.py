@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import lenient_bool, number_or_null
 from .contracts import ContractError, require_none, require_unique, unmatched
 from .entities import leaks
+from .quantiles import exact_quantiles
 
 
 def pilot_quality(records: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -15,7 +16,8 @@ def pilot_quality(records: DataFrame, reviews: DataFrame) -> DataFrame:
     cells = reviews.groupBy("record_id", "attribute").agg(F.count_distinct("reviewer_id").alias("r"), F.count_distinct("value").alias("v"))
     a = cells.agg(F.min("r").alias("minimum_reviewers_per_attribute"), F.avg(F.when(F.col("v") > 1, 1.0).otherwise(0.0)).alias("disagreement_fraction"))
     m = number_or_null(F.col("minutes"))
-    b = reviews.agg(F.sum(m).alias("total_review_minutes"), F.percentile(m, 0.5).alias("median_review_minutes"))
+    middle = exact_quantiles(reviews.select(m.alias("m")), "m", [0.5]).select(F.col("q")[0].alias("median_review_minutes"))
+    b = reviews.agg(F.sum(m).alias("total_review_minutes")).crossJoin(middle)
     c = records.agg(F.count("*").alias("records"), F.count_distinct("collection_group_id").alias("groups"))
     return a.crossJoin(b).crossJoin(c)  # one row each
 
@@ -54,5 +56,5 @@ def clarification_summary(replayed: DataFrame) -> DataFrame:
 
 
 def latency(df: DataFrame, column: str = "ms") -> DataFrame:
-    q = F.percentile(column, F.array(F.lit(0.5), F.lit(0.95)))
-    return df.agg(q[0].alias("p50"), q[1].alias("p95"))
+    q = F.col("q")
+    return exact_quantiles(df, column, [0.5, 0.95]).select(q[0].alias("p50"), q[1].alias("p95"))

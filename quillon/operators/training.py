@@ -1,9 +1,110 @@
-"""What a training run leaves behind: how long it ran until it stopped early."""
+"""Training of linear heads: a grid of learning rates fitted together, each stopped early, and how long runs lasted."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+from ..functions.scalars import sigmoid, softplus
+from .contracts import ContractError, require_none
+
+# AdamW's decay rates of its two moments, and its floor.
+MOMENTS, FLOOR = (0.9, 0.999), 1e-8
+
+
+class Heads:
+    """One linear head for each label and learning rate, trained on all rows at once (AdamW) and stopped early.
+
+    Rows are (split, label, y, mask, features): soft targets y in [0, 1], masked entries don't count. The loss is the mean
+    cross-entropy of all unmasked entries. A pass is one aggregation by (rate, label): tasks add up gradients of their own
+    rows, and what reaches the driver is a row a head, whatever the number of records. The weights of all heads travel to
+    the tasks; labels are a vocabulary. A rate whose validation loss has not fallen by more than `tolerance` for `patience`
+    epochs stops, and keeps the weights of its best epoch; the others go on.
+    """
+
+    def __init__(self, features: Sequence[str], rates: Sequence[float], epochs: int = 100, patience: int = 10, decay: float = 1e-4, tolerance: float = 1e-8, start_at_base_rate: bool = True):
+        self.features, self.rates = tuple(features), tuple(rates)
+        self.epochs, self.patience, self.decay, self.tolerance, self.start_at_base_rate = epochs, patience, decay, tolerance, start_at_base_rate
+        self.history: list[tuple[float, int, float, float]] = []  # rate, epoch, training loss before it, validation loss after it
+        self.weights: dict[float, dict] = {}
+
+    def _inputs(self, mean: Column, deviation: Column) -> list[Column]:
+        return [*[(F.col(f"x{i}") - mean[i]) / deviation[i] for i in range(len(self.features))], F.lit(1.0)]
+
+    def fit(self, rows: DataFrame) -> Heads:
+        d, spark = len(self.features), rows.sparkSession
+        require_none(rows.where("mask > 0").where(~F.coalesce(F.col("y").between(0, 1) & ~F.isnan(F.col("y").cast("double")), F.lit(False))).select("label"), "targets must lie in [0, 1]")
+        rows = rows.where("mask > 0").select((F.col("split") == "train").alias("_t"), "label", F.col("y").cast("double").alias("y"), *[F.col(n).cast("double").alias(f"x{i}") for i, n in enumerate(self.features)]).persist()
+        moments = rows.groupBy("label").agg(F.count_if("_t").alias("n"), F.count_if(~F.col("_t")).alias("v"), F.avg(F.when(F.col("_t"), F.col("y"))).alias("p"), *[f(F.when(F.col("_t"), F.col(f"x{i}"))).alias(f"{k}{i}") for i in range(d) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).orderBy("label").collect()
+        moments = [r for r in moments if r["n"]]
+        n, held = sum(r["n"] for r in moments), sum(r["v"] for r in moments)
+        if not n or not held:
+            raise ContractError("training and validation need unmasked entries")
+        labels = [r["label"] for r in moments]
+        self.mean = np.array([[r[f"m{i}"] for i in range(d)] for r in moments]).reshape(-1, d)
+        self.deviation = np.maximum(np.array([[r[f"s{i}"] for i in range(d)] for r in moments]).reshape(-1, d), 1e-6)
+        first = np.zeros((len(labels), d + 1))
+        if self.start_at_base_rate:
+            p = np.clip([r["p"] for r in moments], 1e-4, 1 - 1e-4)
+            first[:, -1] = np.log(p / (1 - p))
+        numbers = ArrayType(DoubleType())
+        shape = rows.select("label").schema.add("rate", DoubleType()).add("_m", numbers).add("_s", numbers).add("_w", numbers)
+        x = self._inputs(F.col("_m"), F.col("_s"))
+        z = sum((F.col("_w")[i] * v for i, v in enumerate(x)), F.lit(0.0))
+        loss, slope = softplus(z) - F.col("y") * z, sigmoid(z) - F.col("y")
+        sums = [F.sum(F.when(F.col("_t"), loss)).alias("train"), F.sum(F.when(~F.col("_t"), loss)).alias("held"), *[F.sum(F.when(F.col("_t"), slope * v)).alias(f"g{i}") for i, v in enumerate(x)]]
+        w = {r: first.copy() for r in self.rates}
+        seen = {r: (np.zeros_like(first), np.zeros_like(first)) for r in self.rates}
+        best = {r: (np.inf, first.copy(), -1) for r in self.rates}
+        going, place, before = set(self.rates), {k: i for i, k in enumerate(labels)}, {}
+        for epoch in range(self.epochs + 1):  # a pass scores what the epoch before has made
+            now = spark.createDataFrame([(k, float(r), self.mean[i].tolist(), self.deviation[i].tolist(), w[r][i].tolist()) for r in sorted(going) for i, k in enumerate(labels)], shape)
+            got = rows.join(F.broadcast(now), "label").groupBy("rate", "label").agg(*sums).collect()
+            for r in sorted(going):
+                mine = [g for g in got if g["rate"] == r]
+                grad = np.zeros_like(first)
+                for g in mine:
+                    grad[place[g["label"]]] = [g[f"g{i}"] or 0.0 for i in range(d + 1)]
+                train, valid = (sum(g[c] or 0.0 for g in mine) / m for c, m in (("train", n), ("held", held)))
+                if epoch:
+                    self.history.append((r, epoch - 1, before[r], valid))
+                    if valid < best[r][0] - self.tolerance:
+                        best[r] = (valid, w[r].copy(), epoch - 1)
+                    elif epoch - 1 - best[r][2] >= self.patience:
+                        going.discard(r)
+                        continue
+                before[r] = train
+                a, b = seen[r] = tuple(k * old + (1 - k) * new for k, old, new in zip(MOMENTS, seen[r], (grad / n, (grad / n) ** 2), strict=True))
+                step = (a / (1 - MOMENTS[0] ** (epoch + 1))) / (np.sqrt(b / (1 - MOMENTS[1] ** (epoch + 1))) + FLOOR)
+                w[r] = w[r] * (1 - r * self.decay) - r * step
+            if not going:
+                break
+        rows.unpersist()
+        self.best = {r: (loss_, at) for r, (loss_, _, at) in best.items()}
+        self.weights = {r: {k: best[r][1][i] for i, k in enumerate(labels)} for r in self.rates}
+        self.labels = labels
+        return self
+
+    def runs(self, rows: DataFrame) -> DataFrame:
+        """(rate, epochs, best_epoch, loss) of the grid, from the history of the fit."""
+        history = rows.sparkSession.createDataFrame(self.history, "rate double, epoch int, train_loss double, validation_loss double")
+        return run_lengths(history, self.patience, self.tolerance, "rate").select("rate", "epochs", "best_epoch", F.col("best_loss").alias("loss"))
+
+    def chosen(self) -> float:
+        """The rate of least validation loss, the smallest of equal ones."""
+        return min(self.rates, key=lambda r: (self.best[r][0], r))
+
+    def predict(self, rows: DataFrame, rate: float | None = None) -> DataFrame:
+        """rows with p, by the heads of a rate (the chosen one if none is named); labels without a head have none."""
+        d, w = len(self.features), self.weights[self.chosen() if rate is None else rate]
+        numbers = ArrayType(DoubleType())
+        table = rows.sparkSession.createDataFrame([(k, self.mean[i].tolist(), self.deviation[i].tolist(), w[k].tolist()) for i, k in enumerate(self.labels)], rows.select("label").schema.add("_m", numbers).add("_s", numbers).add("_w", numbers))
+        z = sum((F.col("_w")[i] * (F.col(n).cast("double") - F.col("_m")[i]) / F.col("_s")[i] for i, n in enumerate(self.features)), F.col("_w")[d])
+        return rows.join(F.broadcast(table), "label", "left").withColumn("p", sigmoid(z)).drop("_m", "_s", "_w")
 
 
 def run_lengths(history: DataFrame, patience: int = 5, tolerance: float = 1e-8, by: str = "run_id") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import calibrate, contracts, entities, gate, locks, metrics, resample, studies, targets
+from ..operators.quantiles import exact_quantiles
 from ..sources import readers, writers
 from . import views as V
 
@@ -342,8 +343,9 @@ def rating_jobs(spark, d):
     return writers.rating_jobs(V.read(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"))).select("candidate_id", "job_id")
 
 
-@query("with " + V.ANNOTATIONS + """, i as materialized (select distinct record_id, reviewer_id, item_id, cooking_style from annotations_v) select a.record_id, a.reviewer_id, a.item_id as item_a, b.item_id as item_b, b.cooking_style as swapped_a, a.cooking_style as swapped_b
- from i a join i b on a.record_id = b.record_id and a.reviewer_id = b.reviewer_id and a.item_id < b.item_id and a.cooking_style <> b.cooking_style""")
+@query("with " + V.ANNOTATIONS + """, i as (select record_id, reviewer_id, list(distinct struct_pack(item := item_id, style := cooking_style)) as own from annotations_v group by record_id, reviewer_id),
+ a as (select record_id, reviewer_id, own, unnest(own) as x from i where len(own) > 1), b as (select record_id, reviewer_id, x, unnest(own) as y from a)
+ select record_id, reviewer_id, x.item as item_a, y.item as item_b, y.style as swapped_a, x.style as swapped_b from b where x.item < y.item and x.style <> y.style""")
 def tuple_swaps(spark, d):
     return gate.tuple_swaps(V.annotations(spark, d).select("record_id", "reviewer_id", "item_id", "cooking_style").distinct())
 
@@ -355,15 +357,19 @@ def draft_rules(spark, d):
 
 @query("select l_returnflag as policy, round(quantile_cont(l_quantity, 0.5), 6) as p50, round(quantile_cont(l_quantity, 0.95), 6) as p95, round(quantile_cont(l_extendedprice, 0.25), 6) as p25 from lineitem group by 1")
 def quantiles(spark, d):
-    q = F.percentile("l_quantity", F.array(F.lit(0.5), F.lit(0.95)))
-    return rounded(V.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("policy")).agg(q[0].alias("p50"), q[1].alias("p95"), F.percentile("l_extendedprice", 0.25).alias("p25")))
+    rows = V.read(spark, d, "lineitem").withColumnRenamed("l_returnflag", "policy")
+    at = lambda column, shares: exact_quantiles(rows, column, shares, ["policy"])
+    low = at("l_extendedprice", [0.25]).select("policy", F.col("q")[0].alias("p25"))
+    return rounded(at("l_quantity", [0.5, 0.95]).join(low, "policy").select("policy", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "p25"))
 
 
-@query("with s as (select user_id || '_k' || (event_id % 4) as run_id, event_id % 3 as sig, event_id % 2 = 0 as done from events) select case when sig is null then 'not_started' when done and sig <> 0 then 'complete_incompatible' when done then 'complete' else 'resumable' end as status, count(*) as n from s group by 1")
+@query("""with s as (select o_orderkey, e.event_id is not null as known, o_orderkey % 3 as sig, e.event_id % 2 = 0 as done from orders left join events e on e.event_id = o_orderkey)
+ select case when not known then 'not_started' when done and sig <> 0 then 'complete_incompatible' when done then 'complete' else 'resumable' end as status, count(*) as n from s group by 1""")
 def run_status(spark, d):
-    e = V.read(spark, d, "events").select(F.col("event_id").alias("run_id"), F.lit(0).cast("long").alias("signature"))
-    reg = e.select("run_id", (F.col("run_id") % 3).alias("signature"), (F.col("run_id") % 2 == 0).alias("complete"))
-    return locks.run_status(e, reg).groupBy("status").agg(F.count("*").alias("n"))
+    """A run for each order against a registry of the events that bear its number."""
+    grid = V.read(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.lit(0).cast("long").alias("signature"))
+    reg = V.read(spark, d, "events").select(F.col("event_id").alias("run_id"), (F.col("event_id") % 3).alias("signature"), (F.col("event_id") % 2 == 0).alias("complete"))
+    return locks.run_status(grid, reg).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("with s as (select event_id % 3 as sig, event_id % 2 = 0 as done from events) select case when sig is null then 'not_started' when done and sig <> 0 then 'complete_incompatible' when done then 'complete' else 'resumable' end as status, count(*) as n from s group by 1")
@@ -385,4 +391,4 @@ def oof_folds(spark, d):
     return rounded(entities.oof_folds(g).groupBy("held_in").agg(F.count_distinct("group_id").alias("n_groups")))
 
 
-from . import more  # noqa: E402, F401  registers its queries
+from . import files, more  # noqa: E402, F401  register their queries

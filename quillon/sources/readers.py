@@ -20,25 +20,42 @@ def read_typed_table(spark: SparkSession, path: str, schema: str | None = None)
 
 
 def read_labelled(spark: SparkSession, root: str, sep: str | None, columns: list[str]) -> DataFrame:
-    """All *_labeled_data.csv below root, with source_file and row_number (0-based, by file).
+    """The columns of all *_labeled_data.csv below root, with source_file and row_number (0-based, by file).
 
-    Without sep each file has its own: the one of , ; tab and | that its header holds most often. A record is a line.
+    Without sep each file has its own: the one of , ; tab and | that its header holds most often. Columns are found by
+    their names in each file's header, others are left out, and a missing one is an error. Quoted fields may hold separators,
+    quotes and line ends. A file is read by one task, in its order; only headers reach the driver, a row a file.
     """
-    from pyspark.sql import Window
+    from ..operators.contracts import ContractError
 
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in columns])
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_labeled_data.csv").text(root)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("_p"), F.monotonically_increasing_id().alias("_i")).where(F.trim("value") != "")
-    place = Window.partitionBy("_p").orderBy("_i")
-    lines = lines.withColumn("row_number", F.row_number().over(place) - 2).withColumn("_head", F.first("value").over(place))
     marks = [sep] if sep else [",", ";", "\t", "|"]
-    counted = F.array(*[F.struct(F.size(F.split("_head", f"\\Q{m}\\E")).alias("n"), F.lit(-i).alias("i")) for i, m in enumerate(marks)])
-    lines = lines.withColumn("_sep", -F.array_max(counted)["i"]).where("row_number >= 0")
-    parsed = F.lit(None).cast(schema)
-    for i, m in enumerate(marks):
-        parsed = F.when(F.col("_sep") == i, F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": m})).otherwise(parsed)
-    names = F.element_at(F.split("_p", "/"), -1)
-    return lines.select(parsed.alias("_r"), names.alias("source_file"), "row_number").select("_r.*", "source_file", "row_number").na.fill("")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_labeled_data.csv").text(root)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("p"), F.monotonically_increasing_id().alias("i")).where(F.trim("value") != "")
+    heads = [(r["p"], r["head"]) for r in lines.groupBy("p").agg(F.min_by("value", "i").alias("head")).collect()]
+    if not heads:
+        return spark.createDataFrame([], T.StructType([*[T.StructField(n, T.StringType()) for n in [*columns, "source_file"]], T.StructField("row_number", T.LongType())]))
+    alike: dict[tuple[str, str], list[str]] = {}
+    for path, head in sorted(heads):
+        alike.setdefault((max(marks, key=lambda m: (head.count(m), -marks.index(m))), head), []).append(path)
+    out = None
+    for (mark, head), paths in alike.items():
+        names = [n.strip().strip('"') for n in head.lstrip("\ufeff").split(mark)]
+        if missing := sorted(set(columns) - set(names)):
+            raise ContractError(f"{paths[0]} lacks {missing}")
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        rows = spark.read.schema(schema).options(header=True, sep=mark, multiLine=True, escape='"').csv([plain_path(p) for p in paths])
+        rows = rows.select(*columns, F.col("_metadata.file_path").alias("_p"), F.monotonically_increasing_id().alias("_i"))
+        first = rows.groupBy("_p").agg(F.min("_i").alias("_first"))  # a row a file; a file's rows follow each other
+        rows = rows.join(F.broadcast(first), "_p").select(*columns, F.url_decode(F.element_at(F.split("_p", "/"), -1)).alias("source_file"), (F.col("_i") - F.col("_first")).alias("row_number"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.na.fill("")
+
+
+def plain_path(path: str) -> str:
+    """The plain path of a file from its address as Spark states it."""
+    from urllib.parse import unquote
+
+    return unquote(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -93,14 +110,6 @@ def map_ingredients(ingredients: DataFrame, crosswalk: DataFrame) -> DataFrame:
     return join_checked(ingredients, crosswalk.where("length(target) > 0").select("ingredient_name", "target"), ["ingredient_name"]).withColumn("mapped", F.col("target").isNotNull())
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """(image_name, image_path, sha256, bytes); a repeated base name is an error. Pixel hashes need an image library and are left out."""
-    from ..operators.contracts import require_unique
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return require_unique(files.select(F.element_at(F.split("path", "/"), -1).alias("image_name"), F.col("path").alias("image_path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")), ["image_name"], "images")
-
-
 def cached_products(cache: DataFrame, barcodes: DataFrame) -> DataFrame:
     """Cached snapshots by barcode; fetching is not the engine's."""
     from ..functions.scalars import is_barcode
