@@ -148,8 +148,9 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, scratch: Scratch |
         grams = held.mapInArrow(listed(turn), "batch long, g long, c int")
         parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         grams = grams.repartition(parts, "g")  # the count table and the join read this one exchange
+        # keys are hashes, so counts fall evenly over the partitions, and a table of them in memory spares sorting all n-grams
         counts = grams.groupBy("g").agg(F.sum("c").alias("n"), F.count("batch").alias("_in")).where("_in > 1").select("g", "n")
-        shared = scratch.save(grams.join(counts, "g").select("batch", "g", (F.col("n") - F.col("c")).alias("others")), f"shared{turn}")
+        shared = scratch.save(grams.join(counts.hint("shuffle_hash"), "g").select("batch", "g", (F.col("n") - F.col("c")).alias("others")), f"shared{turn}")
         found = shared if found is None else found.unionByName(shared)
 
     def score(batch: pa.Table, counts: pa.Table) -> pa.Table:
