@@ -38,6 +38,25 @@ def gram(kind: np.uint64, *parts: np.ndarray) -> np.ndarray:
     return h
 
 
+def listed_grams(word: np.ndarray, codes: np.ndarray, first: np.ndarray, keys: np.ndarray, turn: int, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the grams of some documents that belong to a slice, each once; only pairs of the slice are sorted."""
+    belongs = lambda h: (h >> _U(40)) % _U(slices) == turn
+    full = np.flatnonzero(np.diff(first))
+    before = np.empty(len(codes), np.int64)
+    before[1:] = codes[:-1]
+    before[first[full]] = len(word)
+    named, width = np.append(word, _U(0)), len(word) + 1
+    mine = belongs((named[before] * _ODD) ^ named[codes])
+    pairs, pair_n = np.unique(before[mine] * width + codes[mine], return_counts=True)
+    here = belongs(word)
+    ends = np.bincount(codes[first[1:][full] - 1], minlength=len(word))
+    ended = np.flatnonzero((ends > 0) & here)
+    key, same = np.unique(keys[belongs(keys)], return_counts=True)
+    parts = [gram(WORD, word[here]), gram(END, word[ended]), gram(DOCUMENT, key), gram(PAIR, named[pairs // width], named[pairs % width])]
+    counts = [np.bincount(codes, minlength=len(word))[here], ends[ended], same, pair_n]
+    return np.concatenate(parts), np.concatenate(counts).astype(np.int64)
+
+
 class Batch:
     """The grams of some documents: local words are numbered, and so are local pairs of them."""
 
@@ -128,17 +147,16 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, scratch: Scratch |
     size = size.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("o"), F.lit(0)).alias("o")).first()
     total, opened = size["n"], size["o"]
 
-    def batch_of(table: pa.RecordBatch, i: int) -> Batch:
+    def arrays(table: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
         get = lambda c: table.column(c)[i].values.to_numpy(zero_copy_only=False)
-        return Batch(get("word").view(_U), get("codes").astype(np.int64), get("first").astype(np.int64), get("keys").view(_U))
+        return get("word").view(_U), get("codes").astype(np.int64), get("first").astype(np.int64), get("keys").view(_U)
 
     def listed(turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in batches:
                 for i in range(table.num_rows):
-                    g, c = batch_of(table, i).grams()
-                    mine = (g >> _U(40)) % _U(slices) == turn
-                    g, c = g[mine].view(np.int64), c[mine]
+                    g, c = listed_grams(*arrays(table, i), turn, slices)
+                    g = g.view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), table.column("batch")[i].as_py())), pa.array(g), pa.array(c.astype(np.int32))], ["batch", "g", "c"])
 
         return run
@@ -157,7 +175,7 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, scratch: Scratch |
         out: list[list] = [[], [], []]
         for table in batch.to_batches():
             for i in range(table.num_rows):
-                b = batch_of(table, i)
+                b = Batch(*arrays(table, i))
                 g, n = counts.column("g").to_numpy().view(_U), counts.column("others").to_numpy()
                 order = np.argsort(g)
                 s = b.scores(g[order], n[order], total, opened, backoff)

@@ -69,3 +69,14 @@ def test_repeats(spark):
                 gone |= {p + k for p in places for k in range(400)}
         brute[i] = len(gone)
     assert got == brute
+
+
+def test_slices_hold_each_gram_of_a_batch_once():
+    rng = np.random.default_rng(2)
+    word = np.unique(rng.integers(0, 2**63, 40).astype(np.uint64))
+    first = np.array([0, 0, 50, 51, 400])
+    codes, keys = rng.integers(0, len(word), 400), rng.integers(0, 3, 4).astype(np.uint64) << np.uint64(38)
+    g, c = lm.Batch(word, codes, first, keys).grams()
+    slices = [lm.listed_grams(word, codes, first, keys, t, 4) for t in range(4)]
+    assert sorted(zip(g.tolist(), c.tolist(), strict=True)) == sorted(x for a, b in slices for x in zip(a.tolist(), b.tolist(), strict=True))
+    assert max(len(a) for a, _ in slices) < 0.4 * len(g)
