@@ -22,14 +22,16 @@ PSEUDO = ((0.01, 100.0), (0.3, 0.7))
 DOCS = (9.0, 1.0)
 #: name: (good if, bad if); a document between the two gets no vote. Ratios are to the words of the document.
 RULES = {
-    "length": ("n_words >= 50", "n_words < 20"),
     "symbols": ("n_symbols < 0.02 * n_words", "n_symbols > 0.1 * n_words"),
-    "word_size": ("word_chars between 2.5 * n_words and 9 * n_words", "word_chars < 1.5 * n_words or word_chars > 14 * n_words"),
-    "repeats": ("n_repeat_words <= 0.2 * n_words", "n_repeat_words > 0.4 * n_words"),
-    "lines": ("n_dup_lines <= 0.1 * n_lines", "n_dup_lines > 0.6 * n_lines"),
-    "capitals": ("n_upper < 0.2 * word_chars", "n_upper > 0.4 * word_chars"),
-    "shouts": ("n_shouts < 0.05 * n_words", "n_shouts > 0.2 * n_words"),
+    "bare_words": ("n_bare <= 0.05 * n_words", "n_bare > 0.2 * n_words"),
     "small_words": ("n_small >= 0.12 * n_words", "n_small < 0.04 * n_words"),
+    "variety": ("n_distinct >= 0.6 * n_words", "n_distinct < 0.5 * n_words"),
+    "repeats": ("n_repeat_words <= 0.05 * n_words", "n_repeat_words > 0.2 * n_words"),
+    "lines": ("n_dup_lines = 0", "n_dup_lines > 0.1 * n_lines"),
+    "line_ends": ("n_ended >= 0.8 * n_lines", "n_ended < 0.5 * n_lines"),
+    "long_lines": ("word_chars <= 500 * n_lines", "word_chars > 1000 * n_lines"),
+    "digits": ("n_digits <= 0.005 * word_chars", "n_digits > 0.02 * word_chars"),
+    "addresses": ("n_addresses = 0", "n_addresses > 0.004 * n_words"),
 }
 
 
@@ -77,13 +79,16 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         _covered(_windows(F.col("_w"))).cast("long").alias("n_repeat_words"),
-        lacking(r"\p{Lu}+").alias("n_upper"),
-        lacking("!+").alias("n_shouts"),
+        lacking("[0-9]+").alias("n_digits"),
+        F.regexp_count("_t", F.lit(r"https?://|www\.|@[A-Za-z]")).cast("long").alias("n_addresses"),
+        F.regexp_count("_t", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]++(?![^\x20\x09-\x0D])")).cast("long").alias("n_bare"),
+        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
+        F.size(F.filter("_l", lambda x: x.rlike(r"[.!?:;)\]\"'\u2019\u201d\u2026\u3002][\x20\x09-\x0D]*$"))).cast("long").alias("n_ended"),
         F.aggregate("_w", F.lit(0), lambda n, w: n + F.when(F.length(w) <= 3, 1).otherwise(0)).cast("long").alias("n_small"),
     )
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_shouts", "n_small")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_digits", "n_addresses", "n_bare", "n_distinct", "n_ended", "n_small")
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
@@ -152,8 +157,8 @@ def judge(measured: DataFrame, threshold: float = 0.6) -> DataFrame:
 def quality_rules(docs: DataFrame, scratch: Scratch | None = None, columns: tuple[str, ...] = ("doc_id",), threshold: float = 0.6) -> DataFrame:
     """columns of docs with the measures, base_failed, quality and kept, a row for each row of docs.
 
-    Null texts count as empty and, like texts of under 50 words, fail. Repeated rows get equal verdicts. An empty
-    table gives an empty result. Columns that carry a measure's name are an error.
+    Null texts count as empty and, like texts of under 50 words, fail. Repeated rows get equal verdicts. Texts of any
+    length are read whole, a row at a time. An empty table gives an empty result. Columns that carry a measure's name are an error.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     carry = [c for c in docs.columns if c in columns or c == "text"]
