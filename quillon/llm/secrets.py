@@ -13,12 +13,18 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 20),
     "hex": (r"[0-9a-f]{24,}", 24),
 }
-#: Parts that say little alone. kind: (pattern, kinds of which one must stand near, for each of the listed groups)
+#: Parts that say little alone. kind: (pattern, kinds of which one must stand near, for each of the listed groups). An address
+#: that holds user, password and host has all parts in itself, so it needs none.
 WEAK = {
-    "id": (r"""(?i:client_?id|account_?id|user_?name|login|user)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}|\bA[KS]IA[A-Z0-9]{8,15}(?![A-Z0-9])""", (("assign", "hex", "key"),)),
-    "key": (r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}", (("access", "id", "host"),)),
-    "host": (r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\x20\x09-\x0D"'<>]+|\b(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}""", (("access", "id"), ("assign", "hex", "key"))),
+    "id": (r"""(?i:client_?id|tenant_?id|account_?id|subscription_?id|project_?id|user_?name|login|user)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}|\bA[KS]IA[A-Z0-9]{8,15}(?![A-Z0-9])""", (("assign", "hex", "key"),)),
+    "key": (r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}", (("access", "id", "host", "mail"),)),
+    "host": (r"""\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\x20\x09-\x0D"'<>]+|\b(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}""", (("access", "id", "mail"), ("assign", "hex", "key"))),
+    "mail": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+", (("assign", "hex", "key"),)),
+    "address": (r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.]*[0-9])(?::[0-9]{1,5})?", (("access", "id", "mail"), ("assign", "hex", "key"))),
+    "dsn": (r"""\b[a-z][a-z0-9+.-]*+://[^\x20\x09-\x0D/:@"'<>]++:[^\x20\x09-\x0D/@"'<>]++@[^\x20\x09-\x0D"'<>]++""", ()),
 }
+#: What a text must hold for a kind's pattern to be tried at all.
+MARKS = {"access": "AKIA", "mail": "@", "dsn": "://"}
 KINDS = (*BASE, *WEAK)
 #: Code points that may lie between the end of a part of a credential and the start of the next.
 SCOPE = 200
@@ -51,7 +57,8 @@ def _found(text: Column, pattern: str, kind: int, least: int, value_only: bool)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if value_only else None
     parts = F.struct(F.split(text, pattern, -1).alias("g"), hits.alias("h"), *([values.alias("v")] if value_only else []))
     found = let(parts, lambda x: spans(x["g"], x["h"], x["v"] if value_only else x["h"]))
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(SPAN))
+    tried = F.contains(text, F.lit(MARKS[KINDS[kind]])) if KINDS[kind] in MARKS else F.lit(True)
+    return F.when(tried & F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(SPAN))
 
 
 def _sum(x: Column) -> Column:
@@ -135,14 +142,32 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(BASE)], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def _highest(x: Column) -> Column:
+    """Running maxima of an array, by blocks of about sqrt(n) numbers."""
+
+    def over(s: Column) -> Column:
+        here = lambda p, j: F.transform(p, lambda e, i: F.greatest(F.array_max(F.slice(p, F.lit(1), i + 1)), F.when(j > 0, F.array_max(F.slice(s["t"], F.lit(1), j))).otherwise(0)))
+        return F.flatten(F.transform(s["p"], here))
+
+    wide = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), wide), lambda a: F.slice(x, a, wide))
+    return let(parts, lambda p: let(F.struct(p.alias("p"), F.transform(p, lambda e: F.coalesce(F.array_max(e), F.lit(0))).alias("t")), over))
+
+
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with each span, overlapping ones united, replaced by mark."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with each span (by start), overlapping ones united, replaced by mark.
+
+    The text is cut in UTF-32, where a place is four times its number, so each piece is reached at once; pieces are put
+    together once. Null stays null.
+    """
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
+    def pieces(x: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(x["far"], i - 1)).otherwise(0)
+        gap = lambda a, b: F.decode(F.substring(x["u"], 4 * a + 1, F.greatest(4 * (b - a), F.lit(0))), "UTF-32")
+        cut = F.transform(x["s"], lambda s, i: F.when(s["start"] < before(i), F.lit("")).otherwise(F.concat(gap(before(i), s["start"]), F.lit(mark))))
+        end = F.element_at(x["far"], -1)
+        return F.concat(F.array_join(cut, ""), F.decode(F.substring(x["u"], 4 * end + 1, F.octet_length(x["u"])), "UTF-32"))
 
-    done = F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
+    ends = F.transform(spans, lambda s: s["end"])
+    done = let(F.struct(F.encode(text, "UTF-32").alias("u"), spans.alias("s"), _highest(ends).alias("far")), pieces)
     return F.when(F.size(spans) > 0, done).otherwise(text)
