@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import before, numbered, ranged
 from .common import Scratch, join_spread, prefix, source_key, text_of, words_of
 
 #: Weights of the sources in code-point order, repeating.
@@ -19,21 +20,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     """(skey, source_size, n_docs) with target: shares by weight, none above most times its size, the excess reshared.
 
     The level at which the shares come to rest is found in one pass: sources are taken by the level at which they
-    fill up, and the first level that the next source can still bear is the one. The table has a row a source.
+    fill up, and the first level that the next source can still bear is the one. The table has a row a source; it is
+    numbered and summed by ranges, so that sources as many as hosts are no single task.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("_rank"), F.lit(len(weights))) + 1).cast("int"))
-    df = sizes.withColumn("_rank", F.row_number().over(Window.orderBy("skey")) - 1).withColumn("_w", w)
-    df = df.withColumn("_full", most * F.col("source_size") / F.col("_w"))
-    by = Window.orderBy("_full", "skey")
-    above = by.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(everything) - most * F.coalesce(F.sum("source_size").over(above), F.lit(0))
-    df = df.withColumn("_level", left / F.sum("_w").over(rest))
-    first = F.min(F.when(F.col("_level") <= F.col("_full"), F.struct("_full", "skey", "_level"))).over(everything)
-    df = df.withColumn("_stop", first["_level"])
-    level = F.least(F.col("_full"), F.col("_stop"))
-    return df.withColumn("target", F.when(F.col("_full") <= F.col("_stop"), (most * F.col("source_size")).cast("double")).otherwise(level * F.col("_w"))).drop("_rank", "_w", "_full", "_level", "_stop")
+    df = numbered(sizes, ["skey"], "_rank").withColumn("_w", w).withColumn("_full", most * F.col("source_size") / F.col("_w"))
+    df = ranged(df, "_full", "skey")
+    cells = df.groupBy("_range").agg(F.sum("source_size").alias("_s"), F.sum("_w").alias("_v"))  # a row a partition
+    everything = before([]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = [F.coalesce(F.sum(c).over(before([])), F.lit(0)).alias(f"_before{c}") for c in ("_s", "_v")] + [F.sum(c).over(everything).alias(f"_all{c}") for c in ("_s", "_v")]
+    df = df.join(F.broadcast(cells.select("_range", *sums)), "_range")
+    above = Window.partitionBy("_range").orderBy("_full", "skey").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c, sum_: F.col(f"_before{sum_}") + F.coalesce(F.sum(c).over(above), F.lit(0))
+    df = df.withColumn("_level", (F.col("_all_s") - most * upto("source_size", "_s")) / (F.col("_all_v") - upto("_w", "_v")))
+    stop = df.where(F.col("_level") <= F.col("_full")).agg(F.min(F.struct("_full", "skey", "_level"))["_level"]).first()[0]
+    full = F.col("_full") <= F.lit(stop) if stop is not None else F.lit(True)
+    target = F.when(full, (most * F.col("source_size")).cast("double")).otherwise(F.least(F.col("_full"), F.lit(stop)) * F.col("_w"))
+    return df.select(*sizes.columns, target.alias("target"))
 
 
 def mix(docs: DataFrame, scratch: Scratch | None = None, quality: Column | None = None, columns: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
