@@ -129,7 +129,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, scratch: S
     are one shingle, and a null or blank text has none and is linked with nothing. Documents are linked if their
     sets' intersection is threshold percent of their union or more. component_id is the least doc_id that links
     reach. Rows with equal ids and texts are one document; rows with a null id take part in no component
-    (component_id null, kept true). Other columns are not read.
+    (component_id null, kept true). Texts of any length are read whole, about 2 MiB of texts at a time, a longer one by itself.
+    An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)

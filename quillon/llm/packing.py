@@ -243,8 +243,9 @@ def pack(docs: DataFrame, limit: int = 2048, path: str | None = None, scratch: S
 
     Pieces of full length are sequences of their own. The others are dealt evenly into groups of about `group`
     pieces, whatever their ids, and each group is packed by itself, so a task's memory is bounded and at most a few
-    bins a group stay underfull. Null text is empty: id 0 alone. Repeated rows are packed each for itself. An empty
-    table gives an empty result.
+    bins a group stay underfull. Null text is empty: id 0 alone. Repeated rows are packed each for itself. Texts of any
+    length are read whole, about 4 MiB of texts at a time, a longer one by itself, and cut into full pieces. An empty table
+    gives an empty result. Other columns are not read.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     cut = scratch.save(pieces(docs, limit, path or vocabulary()), "pieces")

@@ -193,7 +193,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, scratch: Scratch | No
     precision, is at or over the threshold. Vectors that are null, zero, or hold null or non-finite components link
     with nothing. Equal vectors are linked with each other and count one by one in n_links. A null vec_id is in no
     component (component_id null, kept true). Rows of equal vec_id are vectors of their own, known by label and
-    components; rows that agree in all are equal vectors. An empty table gives an empty result. Other columns are not
+    components; rows that agree in all are equal vectors. Vectors may have any number of components. An empty table gives an empty result. Other columns are not
     read. A recall of the audits below LEAST is an error; their sums stay in the table `recall` of the scratch folder.
     """
     scratch = scratch or Scratch(rows.sparkSession)

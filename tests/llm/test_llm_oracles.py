@@ -30,6 +30,10 @@ def planted(tmp_path_factory):
         vectors += [list(v + rng.normal(size=8) * s) for s in rng.choice([0, 0.1, 0.2, 0.4], 4)]
     labels = [None if i % 17 == 0 else i // 5 % 4 for i in range(len(vectors))]
     pd.DataFrame({"vec_id": range(len(vectors)), "embedding": vectors, "label": pd.array(labels, "Int32")}).to_parquet(folder / "embeddings.parquet")
+    marks = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(0, len(texts) + 9, 2)] + [(4, 0, 1)]
+    pd.DataFrame(marks, columns=["doc_id", "quality", "toxic"]).to_parquet(folder / "labels.parquet")
+    turns = [(c, None if t == 0 and c % 4 == 0 else t, None if t % 5 == 4 else "user", [None, "", "a b", "c"][int(rng.integers(0, 4 if t > 1 else 2))]) for c in [*range(0, 60), 81, 400, -3] for t in range(int(rng.integers(1, 8)))]
+    pd.DataFrame(turns + turns[:9], columns=["conv_id", "turn", "role", "text"]).astype({"turn": "Int64"}).to_parquet(folder / "conversations.parquet")
     return str(folder)
 
 
