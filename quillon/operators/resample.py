@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .contracts import MIXTURE, ContractError, require_none
 from .metrics import share_of
-from .ranges import numbered
+from .ranges import checkpointed, numbered, with_small
 
 
 def drawn(n: Column, *what: Column) -> Column:
@@ -29,6 +32,58 @@ def hashed_draws(groups: DataFrame, replicates: int, seed: int | None = None) ->
     return picks.groupBy("b", "_r").agg(F.count("*").cast("int").alias("m")).join(ranked, "_r").select("b", "group_id", "m")
 
 
+#: Groups whose counts one task draws at once, for all replicates.
+DRAWN = 1024
+
+
+def range_counts(n: int, which: int, replicates: int, seed: int, width: int = DRAWN) -> np.ndarray:
+    """(replicates, groups of the range): how often each replicate of n draws takes each group of range `which`.
+
+    n draws are split over halves of the ranges by binomials, and again, until a range is left: each split is drawn from
+    a generator named by the seed and the half, so every task that descends to its range sees the same numbers, and the counts of all
+    ranges together are multinomial, as n draws with replacement are.
+    """
+    low, high = 0, -(-n // width)
+    count = np.full(replicates, n, np.int64)
+    size = lambda a, b: min(n, b * width) - a * width
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = np.random.default_rng([seed, low, high]).binomial(count, size(low, middle) / size(low, high))
+        low, high, count = (low, middle, left) if which < middle else (middle, high, count - left)
+    k = size(low, high)
+    return np.random.default_rng([seed, low, high, 1]).multinomial(count, np.full(k, 1 / k))
+
+
+def bootstrap_sums(df: DataFrame, by: Sequence[str], columns: Sequence[str], replicates: int = 1000, seed: int = 0, width: int = DRAWN) -> DataFrame:
+    """(b, *by, *columns): sums of the columns of rows (group_id, by, columns) over groups drawn with replacement.
+
+    Groups are numbered in their order and `width` of them at a time meet in a task, which multiplies their counts with
+    their sums and returns a row a value of by, with an array over the replicates. So rows grow with the groups, not
+    with groups times replicates, and no table of draws is made. A row b, by is missing if no group of it was drawn
+    in any replicate; sums of columns are 0 where it was drawn in others. Reruns agree.
+    """
+    by, columns = list(by), list(columns)
+    ids = checkpointed(numbered(df.select("group_id").distinct(), ["group_id"]))
+    n = ids.count()
+    rows = with_small(df.select("group_id", *by, *[F.col(c).cast("double").alias(c) for c in columns]), ids, ["group_id"]).withColumn("_range", F.floor(F.col("_r") / width))
+    arrays = [f"{c} array<double>" for c in columns]
+    keys = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema] if by else []
+
+    def drawn_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        which = int(pdf["_range"].iloc[0])
+        counts = range_counts(n, which, replicates, seed, width).astype(np.float64)
+        out = []
+        for key, part in pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]:
+            at = part["_r"].to_numpy() - which * width
+            sums = counts[:, at] @ part[columns].to_numpy(np.float64)
+            out.append((*key, *[sums[:, i].tolist() for i in range(len(columns))]))
+        return pd.DataFrame(out, columns=[*by, *columns])
+
+    found = rows.groupBy("_range").applyInPandas(drawn_sums, ", ".join([*keys, *arrays]))
+    zipped = F.posexplode(F.arrays_zip(*columns)).alias("b", "_x")
+    return found.select(*by, zipped).select(F.col("b").cast("int").alias("b"), *by, *[F.col("_x")[c].alias(c) for c in columns]).groupBy("b", *by).agg(*[F.sum(c).alias(c) for c in columns])
+
+
 def group_sums(df: DataFrame) -> DataFrame:
     """By method, seed, domain and group: records, answers and unsupported answers, all that a replicate needs."""
     answered = F.col("accepted") & F.col("informative")
@@ -52,7 +107,12 @@ def validate_paired(df: DataFrame, a: str, b: str) -> list:
 def replicate_rates(sums: DataFrame, multiplicities: DataFrame, mixture: dict[str, float] = MIXTURE) -> DataFrame:
     """(b, method, seed, coverage, unsupported_rate): null rates without answers, no row if a domain has lost all groups."""
     at = sums.join(multiplicities, "group_id")
-    dom = at.groupBy("b", "method", "seed", "domain").agg(F.sum(F.col("m") * F.col("a") / F.col("n")).alias("a"), F.sum(F.col("m") * F.col("u") / F.col("n")).alias("u"), F.sum("m").alias("m"))
+    return rates_of(at.groupBy("b", "method", "seed", "domain").agg(F.sum(F.col("m") * F.col("a") / F.col("n")).alias("a"), F.sum(F.col("m") * F.col("u") / F.col("n")).alias("u"), F.sum("m").alias("m")), mixture)
+
+
+def rates_of(dom: DataFrame, mixture: dict[str, float]) -> DataFrame:
+    """Rates by replicate, method and seed from the sums by domain; a domain of which no group was drawn counts as lost."""
+    dom = dom.where("m > 0")
     share = share_of(F.col("domain"), mixture)
     out = dom.groupBy("b", "method", "seed").agg(F.sum(share * F.col("a") / F.col("m")).alias("coverage"), F.sum(share * F.col("u") / F.col("m")).alias("_u"), F.count("*").alias("_d"))
     return out.where(F.col("_d") == len(mixture)).select("b", "method", "seed", "coverage", (F.col("_u") / F.nullif(F.col("coverage"), F.lit(0.0))).alias("unsupported_rate"))
@@ -69,10 +129,13 @@ def paired_bootstrap(df: DataFrame, a: str = "M7", b: str = "M3", mixture: dict[
     """One row: point differences, 95 % intervals (null with too few valid replicates), success."""
     validate_paired(df, a, b)
     sums = group_sums(df.where(F.col("method").isin(a, b))).persist()
-    if multiplicities is None:
-        multiplicities = hashed_draws(sums, replicates, seed)
     whole = sums.select("group_id").distinct().select(F.lit(-1).alias("b"), "group_id", F.lit(1).alias("m"))
-    diff = paired_differences(replicate_rates(sums, multiplicities.unionByName(whole), mixture), a, b)
+    if multiplicities is None:
+        shares = sums.select("group_id", "method", "seed", "domain", (F.col("a") / F.col("n")).alias("a"), (F.col("u") / F.col("n")).alias("u"), F.lit(1.0).alias("m"))
+        rates = rates_of(bootstrap_sums(shares, ["method", "seed", "domain"], ["a", "u", "m"], replicates, seed), mixture).unionByName(replicate_rates(sums, whole, mixture))
+    else:
+        rates = replicate_rates(sums, multiplicities.unionByName(whole), mixture)
+    diff = paired_differences(rates, a, b)
     rep = F.col("b") >= 0
     cut = lambda c: F.percentile(F.when(rep, F.col(c)), F.array(F.lit(0.025), F.lit(0.975)))
     one = diff.agg(F.max(F.when(~rep, F.col("risk"))).alias("risk_difference"), F.max(F.when(~rep, F.col("coverage"))).alias("coverage_difference"), F.count_if(rep).alias("valid"), cut("risk").alias("r"), cut("coverage").alias("c"))
@@ -97,11 +160,12 @@ def foundation_intervals(df: DataFrame, replicates: int = 1000, seed: int = 0, m
     if replicates < 20:
         raise ContractError("at least 20 replicates")
     groups = foundation_groups(df).persist()
-    if multiplicities is None:
-        multiplicities = hashed_draws(groups, replicates, seed)
     whole = groups.select(F.lit(-1).alias("b"), "group_id", F.lit(1).alias("m"))
-    mean = {p: F.sum(F.col("m") * F.col(p)) / F.sum("m") for p in PARTS}
-    rows = groups.join(multiplicities.unionByName(whole), "group_id").groupBy("b").agg(mean["answer"].alias("answer_coverage_all_records"), mean["assessable"].alias("assessable_answer_coverage"), (mean["disagreement"] / F.nullif(mean["assessable"], F.lit(0.0))).alias("panel_disagreement_among_assessable_answers"), mean["unassessable"].alias("unassessable_answer_coverage"))
+    drawn_ = groups.join(whole if multiplicities is None else multiplicities.unionByName(whole), "group_id").groupBy("b").agg(*[F.sum(F.col("m") * F.col(p)).alias(p) for p in PARTS], F.sum("m").cast("double").alias("m"))
+    if multiplicities is None:
+        drawn_ = drawn_.unionByName(bootstrap_sums(groups.withColumn("m", F.lit(1.0)), [], [*PARTS, "m"], replicates, seed))
+    mean = {p: F.col(p) / F.col("m") for p in PARTS}
+    rows = drawn_.select("b", mean["answer"].alias("answer_coverage_all_records"), mean["assessable"].alias("assessable_answer_coverage"), (mean["disagreement"] / F.nullif(mean["assessable"], F.lit(0.0))).alias("panel_disagreement_among_assessable_answers"), mean["unassessable"].alias("unassessable_answer_coverage"))
     names = rows.columns[1:]
     long = rows.select("b", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in names])).alias("s")).select("b", "s.*")
     n_groups = groups.count()
@@ -110,12 +174,15 @@ def foundation_intervals(df: DataFrame, replicates: int = 1000, seed: int = 0, m
     return out.select("metric", "estimate", F.when(enough, F.col("q")[0]).alias("lo"), F.when(enough, F.col("q")[1]).alias("hi"), "finite")
 
 
-def calibration_bootstrap(long: DataFrame, multiplicities: DataFrame, bins: int = 15) -> DataFrame:
+def calibration_bootstrap(long: DataFrame, multiplicities: DataFrame | None = None, bins: int = 15, replicates: int = 1000, seed: int = 0) -> DataFrame:
     """(b, log_loss, ece) by replicate from sums by group and bin; no row is copied."""
     from .targets import calibration_bins
 
-    sums = calibration_bins(long, bins, ["group_id"]).join(multiplicities, "group_id")
-    cells = sums.groupBy("b", "bin").agg(*[F.sum(F.col("m") * F.col(c)).alias(c) for c in ("n", "sum_p", "sum_y", "loss")])
+    sums, columns = calibration_bins(long, bins, ["group_id"]), ("n", "sum_p", "sum_y", "loss")
+    if multiplicities is None:
+        cells = bootstrap_sums(sums, ["bin"], columns, replicates, seed)
+    else:
+        cells = sums.join(multiplicities, "group_id").groupBy("b", "bin").agg(*[F.sum(F.col("m") * F.col(c)).alias(c) for c in columns])
     return cells.groupBy("b").agg((F.sum("loss") / F.sum("n")).alias("log_loss"), (F.sum(F.abs(F.col("sum_p") - F.col("sum_y"))) / F.sum("n")).alias("ece"))
 
 

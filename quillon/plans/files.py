@@ -253,3 +253,64 @@ def soft_weights(spark, d):
     rows = V.read(spark, d, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)], F.when(F.col("label") < 3, 0.9).otherwise(0.1).alias("y"))
     weights = calibrate.SoftLogistic(("x0", "x1", "x2", "x3")).fit(rows).weights
     return spark.createDataFrame([(i, round(float(w), 4)) for i, w in enumerate(weights)], "i long, weight double")
+
+
+def _gradient_steps(names: tuple[str, ...], steps: int = 500, rate: float = 1.5) -> str:
+    """SQL that comes to the weights of a soft-label logistic regression over r (the names, y): columns i and weight."""
+    w = [f"w{i}" for i in range(len(names) + 1)]
+    z = " + ".join([*[f"w{i} * s{i}" for i in range(len(names))], w[-1]])
+    stretched = ", ".join(f"(({n}) - avg({n}) over ()) / greatest(stddev_pop({n}) over (), 1e-6) as s{i}" for i, n in enumerate(names))
+    moves = ", ".join([*[f"w{i} - {rate} * (avg(g * s{i}) + 0.01::double * w{i})" for i in range(len(names))], f"{w[-1]} - {rate} * avg(g)"])
+    return f"""s as materialized (select {stretched}, y from r),
+ walk(it, {", ".join(w)}) as (select 0, {", ".join(["0::double"] * len(w))} union all
+   select it + 1, {moves} from (select walk.*, s.*, 1 / (1 + exp(-({z}))) - y as g from walk, s where it < {steps}) group by it, {", ".join(w)})
+ select unnest(range({len(w)})) as i, round(unnest([{", ".join(w)}]), 3) as weight from walk where it = {steps}"""
+
+
+_SELECTOR = """r as (select o_orderkey % 97 / 97::double as candidate_confidence, o_orderkey % 31 / 31::double as joint_marginal_gap, o_totalprice / 100000::double as entropy, (o_custkey % 3)::double as specificity,
+ (case when o_orderkey % 97 > 40 then 0.8::double else 0.3::double end) as y from orders)"""
+
+
+def _selector_rows(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return V.read(spark, d, "orders").select(
+        (k % 97 / F.lit(97.0)).alias("candidate_confidence"), (k % 31 / F.lit(31.0)).alias("joint_marginal_gap"), (F.col("o_totalprice") / 100000.0).alias("entropy"), (F.col("o_custkey") % 3).cast("double").alias("specificity"),
+        F.when(k % 97 > 40, 0.8).otherwise(0.3).alias("y"), *[F.lit(0.0).alias(c) for c in calibrate.PROVENANCE[1:]], (k % 5).cast("double").alias("n_sources"),
+    )
+
+
+@query(f"with recursive {_SELECTOR}, " + _gradient_steps(("candidate_confidence", "joint_marginal_gap", "entropy", "specificity")))
+def selector_weights(spark, d):
+    """The weights of the selector over the generic features, with soft labels; SQL comes to them by gradient steps."""
+    model = calibrate.train_selectors(_selector_rows(spark, d))["generic"]
+    return spark.createDataFrame([(i, round(float(w), 3)) for i, w in enumerate(model.weights)], "i long, weight double")
+
+
+@query("""with recursive p as materialized (select ln(q) - ln(1 - q) as z, y from (select least(greatest(o_orderkey % 97 / 97::double, 1e-7), 1 - 1e-7) as q, (o_orderkey * 7 % 5 < 3)::int::double as y from orders)),
+ walk(it, a, b) as (select 0, 1::double, 0::double union all
+   select it + 1, least(20, greatest(0.01::double, a - (ga * (bb + 0.01::double) - gb * ab) / ((aa + 0.01::double) * (bb + 0.01::double) - ab * ab))),
+     least(20, greatest(-20, b - (gb * (aa + 0.01::double) - ga * ab) / ((aa + 0.01::double) * (bb + 0.01::double) - ab * ab)))
+   from (select it, a, b, avg(e * z) + 0.01::double * (a - 1) as ga, avg(e) + 0.01::double * b as gb, avg(v * z * z) as aa, avg(v * z) as ab, avg(v) as bb
+     from (select it, a, b, z, q - y as e, q * (1 - q) as v from (select walk.*, z, y, 1 / (1 + exp(-(a * z + b))) as q from walk, p where it < 30)) group by it, a, b))
+ select unnest(['generic', 'pcsi', 'joint_confidence']) as score, round(a, 4) as a, round(b, 4) as b from walk where it = 30""")
+def support_calibrators(spark, d):
+    """Sigmoid calibrators of three scores, fitted on calibration rows only; here the three are the same score."""
+    k = F.col("o_orderkey")
+    rows = V.read(spark, d, "orders").select(F.lit("calibration").alias("split"), (k * 7 % 5 < 3).cast("int").alias("y"), *[(k % 97 / F.lit(97.0)).alias(c) for c in ("generic", "pcsi", "joint_confidence")])
+    fits = calibrate.fit_support_calibrators(rows)
+    return spark.createDataFrame([(c, round(f["sigmoid"]["a"], 4), round(f["sigmoid"]["b"], 4)) for c, f in fits.items()], "score string, a double, b double")
+
+
+@query("""select case when o_orderkey % 4 = 0 then 'barcode_lookup' when o_orderkey % 4 = 1 then 'ingredient_panel' when o_orderkey % 4 = 2 then 'preparation_detail' else 'no_action' end as action_id, count(*) as n from orders group by 1""")
+def gain_policy(spark, d):
+    """Trees learn each action's gain from episodes in which it is 1 or -1 by the state alone, and the best action above 0 is taken."""
+    features = [*calibrate.GENERIC, *calibrate.PROVENANCE]
+    k = F.col("o_orderkey")
+    states = V.read(spark, d, "orders").select(k, *[((k + i) % 7 / F.lit(7.0)).alias(c) for i, c in enumerate(features) if c != "n_sources"], (k % 4).cast("double").alias("n_sources"))
+    gains = {"barcode_lookup": 0, "ingredient_panel": 1, "component_identity": 9, "preparation_detail": 2}
+    rows = states.withColumn("action_id", F.explode(F.array(*[F.lit(a) for a in gains])))
+    right = F.lit(False)
+    for a, n in gains.items():
+        right = right | ((F.col("action_id") == a) & (F.col("n_sources") == n))
+    episodes = rows.withColumns({"split": F.lit("fit"), "supported_gain": F.when(right, 1.0).otherwise(0.0), "unsupported_gain": F.when(right, 0.0).otherwise(1.0), "cost_units": F.lit(0.0)})
+    return calibrate.GainPolicy(rounds=3).fit(episodes).choose(states).groupBy("action_id").agg(F.count("*").alias("n"))
