@@ -9,13 +9,18 @@ from quillon.llm import mixing, neardup, packing, quality, secrets
 from quillon.llm.common import Scratch, join_checked
 
 
+#: Two hashes of a row, which name it together.
+KEYS = ("_k", "_k2")
+
+
 def held(docs: DataFrame) -> DataFrame:
     """What the operators read, and beside it the whole row as one column, so that no name can clash."""
     return docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_doc"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go. Null and empty texts are rejected; equal rows meet the same end."""
+    """Documents that the rules reject go. Null and empty texts are rejected; equal rows meet the same end. Texts of any length
+    are judged whole; an empty table stays empty."""
     return quality.quality_rules(held(docs), columns=("_doc",)).where("kept").select("_doc.*")
 
 
@@ -23,10 +28,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group stays, that of the least id; of rows with equal id and text, one.
 
     Texts of one id are numbered, so that another text of the id of a duplicate is judged by itself. Rows without an
-    id and blank texts are no duplicates; of those with equal text (and id), one stays.
+    id and blank texts are no duplicates; of those with equal text (and id), one stays. Texts are told apart by hashes of
+    128 bits and read whole, whatever their length; an empty table stays empty.
     """
     scratch, own_tables = Scratch(spark), Scratch(spark)
-    keyed = held(docs).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_h"])
+    keyed = held(docs).withColumn("_h", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_h"])
     several = keyed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("_h").alias("_first")).where("_n > 1")
     several = scratch.save(several.select("doc_id", "_first"), "several")
     keyed = join_checked(keyed, several, ["doc_id"], "left")
@@ -40,7 +46,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows the text. Every row stays; null texts stay null."""
+    """Secrets are replaced by a mark; n_chars follows the text. Every row stays; null texts stay null. Texts are read and
+    rewritten whole; an empty table stays empty."""
     found = secrets.scan(held(docs), columns=("_doc",)).withColumn("_hit", F.size("spans") > 0)
     text = F.when(F.col("_hit"), secrets.redact(F.col("_doc.text"), F.col("spans"))).otherwise(F.col("_doc.text"))
     columns = {"text": text, "n_chars": F.when(F.col("_hit"), F.length(text).cast("long")).otherwise(F.col("_doc.n_chars"))} if "n_chars" in docs.columns else {"text": text}
@@ -50,21 +57,23 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it; the keys are scaled by the posterior of the quality rules.
 
-    Equal rows are one document, which stands for as many copies as all of them together were taken.
+    Equal rows (by hashes of 128 bits) are one document, which stands for as many copies as all of them together were taken.
+    Texts of any length are one row; an empty table stays empty.
     """
     scratch, own_tables = Scratch(spark), Scratch(spark)
     plain = [c for c, kind in docs.dtypes if "map<" not in kind]
     judged = quality.quality_rules(held(docs), scratch, columns=("doc_id", "source", "_doc"))  # written once, with one copy of the rows
-    keyed = judged.select("_doc", "doc_id", F.col("_doc.text").alias("text"), "source", "quality", F.xxhash64(*[F.col("_doc").getField(c) for c in plain]).alias("_k"))
-    copies = mixing.mix(keyed, own_tables, quality=F.col("quality") + 0.01, columns=("doc_id", "_k")).groupBy("_k").agg(F.sum("copies").alias("_n")).where("_n > 0")
+    keyed = judged.select("_doc", "doc_id", F.col("_doc.text").alias("text"), "source", "quality", *[F.xxhash64(F.lit(salt), *[F.col("_doc").getField(c) for c in plain]).alias(k) for salt, k in enumerate(KEYS)])
+    copies = mixing.mix(keyed, own_tables, quality=F.col("quality") + 0.01, columns=("doc_id", *KEYS)).groupBy(*KEYS).agg(F.sum("copies").alias("_n")).where("_n > 0")
     copies = scratch.save(copies, "copies")
     own_tables.close()
-    out = keyed.select("_doc", "_k").dropDuplicates(["_k"]).join(copies, "_k")
+    out = keyed.select("_doc", *KEYS).dropDuplicates(list(KEYS)).join(copies, list(KEYS))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens. A null text is its closing id alone."""
+    """Pieces of documents in sequences of at most 2048 tokens. A null text is its closing id alone; texts of any length are
+    cut into pieces; an empty table has none."""
     return packing.pack(docs)
 
 
