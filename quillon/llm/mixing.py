@@ -39,20 +39,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return df.select(*sizes.columns, target.alias("target"))
 
 
-def mix(docs: DataFrame, scratch: Scratch | None = None, quality: Column | None = None, columns: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+def mix(docs: DataFrame, scratch: Scratch | None = None, quality: Column | None = None, columns: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, most: int = MOST, size: Column | None = None) -> DataFrame:
     """columns of docs with size, source_size, target, copies and taken, a row for each row of docs.
 
     Whole epochs of a source come first. What is left of its target is filled in the order of -ln(u) / quality,
     u from a hash of doc_id, as far as the running sum stays within it; documents behind the cut that fit the gap
     follow in the same way, and the one document that comes nearest to the rest joins if it narrows it. quality is a
-    positive column; without one, it is the share of distinct words among a document's words, and a quarter. Null text
+    positive column; without one, it is the share of distinct words among a document's words, and a quarter. size is the
+    number of words; with both given, no text is read. Null text
     has size 0, null source is a source of its own, null doc_id hashes as empty; very long texts are rows like others.
     Equal rows are told apart by their rank only, so reruns agree as sets of rows. An empty table gives an empty result;
     columns that aren't named in `columns` are not read, whatever their names.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    words = words_of(text_of())
-    size = F.size(words).cast("long")
+    words = words_of(text_of()) if size is None or quality is None else None
+    size = F.size(words).cast("long") if size is None else size
     unit = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + 0.5) / SPREAD
     rows = docs.select(*[c for c in docs.columns if c in columns], source_key(F.col("source")).alias("skey"), size.alias("size"), unit.alias("_u"), (0.25 + F.size(F.array_distinct(words)) / F.greatest(size, F.lit(1)) if quality is None else quality).alias("_q"))
     rows = scratch.save(rows.withColumn("_e", -F.log("_u") / F.col("_q")), "sizes")
