@@ -32,17 +32,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     128 bits and read whole, whatever their length; an empty table stays empty.
     """
     scratch, own_tables = Scratch(spark), Scratch(spark)
-    keyed = held(docs).withColumn("_h", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_h"])
-    several = keyed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("_h").alias("_first")).where("_n > 1")
+    text = F.coalesce("text", F.lit(""))
+    rows = held(docs).withColumns({"_h": F.md5(text), "_row": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), text))})
+    names = scratch.save(rows.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("_h").alias("_h"), F.count("*").alias("_n")), "names")  # no texts
+    several = names.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("_h").alias("_first")).where("_n > 1")
     several = scratch.save(several.select("doc_id", "_first"), "several")
-    keyed = join_checked(keyed, several, ["doc_id"], "left")
+    rows = join_checked(rows, several, ["doc_id"], "left")
     # an id is as good as any other, as long as the order of ids holds where it is known: further texts of an id come last
     own = F.when(F.col("_first").isNull() | (F.col("_first") == F.col("_h")), F.col("doc_id")).otherwise(F.lit(2**62) + F.shiftrightunsigned(F.xxhash64("doc_id", "_h"), 2))
-    keyed = scratch.save(keyed.select("_doc", own.alias("doc_id")), "keyed")
-    judged = neardup.near_duplicates(keyed.select("doc_id", F.col("_doc.text").alias("text")), scratch=own_tables)
-    gone = scratch.save(judged.where("not kept").select("doc_id").distinct(), "gone")
+    rows = rows.withColumn("_own", own)
+    judged = neardup.near_duplicates(rows.select(F.col("_own").alias("doc_id"), "text"), scratch=own_tables)
+    gone = scratch.save(judged.where("not kept").select(F.col("doc_id").alias("_own")).distinct(), "gone")
     own_tables.close()
-    return join_checked(keyed, gone, ["doc_id"], "left_anti").select("_doc.*")
+    rows = join_checked(rows, gone, ["_own"], "left_anti").select("_row", "_doc")
+    repeated = scratch.save(names.where("_n > 1").select("_row"), "repeated")
+    once = join_checked(rows, repeated, ["_row"], "left_anti").unionByName(join_checked(rows, repeated, ["_row"], "left_semi").dropDuplicates(["_row"]))
+    return once.select("_doc.*")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +67,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     scratch, own_tables = Scratch(spark), Scratch(spark)
     plain = [c for c, kind in docs.dtypes if "map<" not in kind]
-    judged = quality.quality_rules(held(docs), scratch, columns=("doc_id", "source", "_doc"))  # written once, with one copy of the rows
-    keyed = judged.select("_doc", "doc_id", F.col("_doc.text").alias("text"), "source", "quality", *[F.xxhash64(F.lit(salt), *[F.col("_doc").getField(c) for c in plain]).alias(k) for salt, k in enumerate(KEYS)])
-    copies = mixing.mix(keyed, own_tables, quality=F.col("quality") + 0.01, columns=("doc_id", *KEYS)).groupBy(*KEYS).agg(F.sum("copies").alias("_n")).where("_n > 0")
-    copies = scratch.save(copies, "copies")
+    rows = held(docs).withColumns({k: F.xxhash64(F.lit(salt), *[F.col("_doc").getField(c) for c in plain]) for salt, k in enumerate(KEYS)})
+    judged = quality.quality_rules(rows, scratch, columns=("doc_id", "source", *KEYS))  # written without texts
+    taken = mixing.mix(judged, own_tables, quality=F.col("quality") + 0.01, columns=("doc_id", *KEYS), size=F.col("n_words"))
+    copies = scratch.save(taken.groupBy(*KEYS).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows")).where("_n > 0"), "copies")
     own_tables.close()
-    out = keyed.select("_doc", *KEYS).dropDuplicates(list(KEYS)).join(copies, list(KEYS))
+    rows = rows.select("_doc", *KEYS)
+    repeated = scratch.save(copies.where("_rows > 1"), "repeated")
+    out = rows.join(copies.where("_rows = 1"), list(KEYS)).unionByName(join_checked(rows, repeated, list(KEYS)).dropDuplicates(list(KEYS)))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_doc.*")
 
 
