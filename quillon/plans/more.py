@@ -45,7 +45,7 @@ def typed_texts(spark, d):
 
 @query("with " + V.PREDICTIONS + ", q as (select record_id, least(greatest(p, 1e-8), 1 - 1e-8) as q from predictions_v) select record_id, round(avg(-(q * ln(q) + (1 - q) * ln(1 - q))), 6) as entropy from q group by 1")
 def mean_entropies(spark, d):
-    p = F.transform(F.slice("embedding", 1, 10), lambda x: 1 / (1 + F.exp(-4 * x.cast("double"))))
+    p = F.transform("embedding", lambda x: 1 / (1 + F.exp(-4 * x.cast("double"))))
     return rounded(V.read(spark, d, "embeddings").select(F.col("vec_id").alias("record_id"), S.mean_entropy(p).alias("entropy")))
 
 

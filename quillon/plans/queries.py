@@ -113,7 +113,7 @@ def top1_endorsement(spark, d):
 
 @query("with " + V.PREDICTIONS + ", b as (select *, row_number() over (partition by record_id order by p desc, j) as r from predictions_v) select record_id, r::bigint as rank, j::bigint as j, round(p, 6) as p from b where r <= 3")
 def topk_labels(spark, d):
-    p = F.transform(F.slice("embedding", 1, 10), lambda x: 1 / (1 + F.exp(-4 * x.cast("double"))))
+    p = F.transform("embedding", lambda x: 1 / (1 + F.exp(-4 * x.cast("double"))))
     rows = V.read(spark, d, "embeddings").select(F.col("vec_id").alias("record_id"), F.posexplode(S.top_k(p, 3)).alias("i", "s"))
     return rounded(rows.select("record_id", (F.col("i") + 1).alias("rank"), F.col("s.j").alias("j"), F.col("s.p").alias("p")))
 
@@ -151,17 +151,17 @@ def holm_adjusted(spark, d):
     return rounded(metrics.holm(rows, by=["p_brand"]).select("id", "p_value", "adjusted"))
 
 
-_CONFORMAL = V.PREDICTIONS + """, g as (select group_id, max(case when y = 1 then 1 - p else p end) as s from predictions_v where j = 0 group by 1), q as (select max(case when r = ceil((n + 1) * 0.9::double) then s end) as q, max(n) as n_groups from (select *, row_number() over (order by s, group_id) as r, count(*) over () as n from g))"""
+_CONFORMAL = V.PREDICTIONS + """, g as (select group_id, max(case when y = 1 then 1 - p else p end) as s from predictions_v group by 1), q as (select max(case when r = ceil((n + 1) * 0.9::double) then s end) as q, max(n) as n_groups from (select *, row_number() over (order by s, group_id) as r, count(*) over () as n from g))"""
 
 
 @query("with " + _CONFORMAL + " select round(q, 6) as q, n_groups from q")
 def conformal_threshold(spark, d):
-    return rounded(metrics.conformal_threshold(V.predictions(spark, d).where("j = 0")).select("q", "n_groups"))
+    return rounded(metrics.conformal_threshold(V.predictions(spark, d)).select("q", "n_groups"))
 
 
-@query("with " + _CONFORMAL + " select p <= coalesce(q, 'inf'::double) as include_unsupported, 1 - p <= coalesce(q, 'inf'::double) as include_supported, count(*) as n from predictions_v, q where j = 0 group by all")
+@query("with " + _CONFORMAL + " select p <= coalesce(q, 'inf'::double) as include_unsupported, 1 - p <= coalesce(q, 'inf'::double) as include_supported, count(*) as n from predictions_v, q group by all")
 def prediction_sets(spark, d):
-    rows = V.predictions(spark, d).where("j = 0")
+    rows = V.predictions(spark, d)
     q = metrics.conformal_threshold(rows).first()["q"]
     return metrics.prediction_sets(rows, F.lit(q).cast("double")).groupBy("include_unsupported", "include_supported").agg(F.count("*").alias("n"))
 
@@ -292,12 +292,12 @@ _DRAWS = """gr as (select group_id, row_number() over (order by group_id) - 1 as
  dr as (select b, gr.group_id, count(*) as m from (select (i // n)::int as b, ('0x' || substr(md5((i // n)::varchar || ':' || (i % n)::varchar), 1, 8))::bigint % n as r from ng, unnest(range(1000 * n)) t(i)) x join gr on gr.r = x.r group by all)"""
 
 
-@query("with " + V.PREDICTIONS + ", " + _DRAWS + """, f as (select record_id, group_id, z > 0 as a, mask = 1 as o, y from predictions_v where j = 0),
+@query("with " + V.PREDICTIONS + ", " + _DRAWS + """, f as (select record_id, group_id, z > 0 as a, mask = 1 as o, y from predictions_v),
  g as (select group_id, avg(a::int) as answer, avg((a and o)::int) as assessable, avg(case when a and o then 1 - y else 0 end) as disagreement, avg((a and not o)::int) as unassessable from f group by 1),
  w as (select * from dr union all select -1, group_id, 1 from g), r as (select b, sum(m * answer) / sum(m) as answer_coverage_all_records, sum(m * assessable) / sum(m) as assessable_answer_coverage, sum(m * disagreement) / nullif(sum(m * assessable), 0) as panel_disagreement_among_assessable_answers, sum(m * unassessable) / sum(m) as unassessable_answer_coverage from w join g using (group_id) group by b),
  l as (unpivot r on columns(* exclude b) into name metric value v) select metric, round(max(v) filter (b < 0), 6) as estimate, round(quantile_cont(v, 0.025) filter (b >= 0), 6) as lo, round(quantile_cont(v, 0.975) filter (b >= 0), 6) as hi, count(v) filter (b >= 0) as finite from l group by metric""")
 def bootstrap_ci_fixed_draws(spark, d):
-    rows = V.predictions(spark, d).where("j = 0").select("record_id", "group_id", (F.col("z") > 0).alias("accepted"), (F.col("mask") == 1).alias("observed"), F.col("y").alias("agreement"))
+    rows = V.predictions(spark, d).select("record_id", "group_id", (F.col("z") > 0).alias("accepted"), (F.col("mask") == 1).alias("observed"), F.col("y").alias("agreement"))
     return rounded(resample.foundation_intervals(rows, 1000, multiplicities=resample.hashed_draws(rows, 1000)))
 
 

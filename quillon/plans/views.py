@@ -58,8 +58,8 @@ panel_v as (select record_id, reviewer_id, bool_and(complete) as ok from labelle
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Long: the first ten components of each vector as logits of ten labels."""
-    rows = read(spark, d, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 10)).alias("j", "x"))
+    """Long: the components of each vector as logits of as many labels."""
+    rows = read(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("j", "x"))
     z = 4 * F.col("x").cast("double")
     return rows.select(
         F.col("vec_id").alias("record_id"), (F.col("vec_id") % 37).alias("group_id"), "j", F.concat(F.lit("l"), "j").alias("label"), z.alias("z"), (1 / (1 + F.exp(-z))).alias("p"),
@@ -69,7 +69,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
 
 PREDICTIONS = """predictions_v as (select record_id, record_id % 37 as group_id, j, 'l' || j as label, 4 * x as z, 1 / (1 + exp(-4 * x)) as p,
   case when true_label = j then 1::double else 0::double end as y, case when (record_id + j) % 5 <> 0 then 1 else 0 end as mask
-  from (select vec_id as record_id, label as true_label, unnest(range(10))::int as j, unnest(embedding[1:10])::double as x from embeddings))"""
+  from (select vec_id as record_id, label as true_label, unnest(range(len(embedding)))::int as j, unnest(embedding)::double as x from embeddings))"""
 
 
 def hashes(spark: SparkSession, d: str) -> DataFrame:
