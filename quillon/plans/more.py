@@ -329,3 +329,30 @@ def soft_logistic(spark, d):
     sums = rows.agg(*[F.avg(e * (x if i < 4 else F.lit(1.0))).alias(f"g{i}") for i, x in enumerate([*m._x()[:4], F.lit(1.0)])])
     parts = [F.struct(F.lit(i).cast("long").alias("i"), F.abs(F.round(F.col(f"g{i}") + (m.l2 * float(m.weights[i]) if i < 4 else 0.0), 4)).alias("gradient")) for i in range(5)]
     return sums.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
+
+
+_SCORED = V.RECORDS + """, scored_v as (select *, (record_id * 31 % 101) / 101::double as joint_confidence, (record_id * 17 % 103) / 103::double as generic, (record_id * 13 % 107) / 107::double as pcsi, record_id % 3 <> 0 as gate, record_id % 7 <> 0 as informative from records_v),
+ methods_v as (select record_id, group_id, domain, m.method, case m.method when 'M3' then generic when 'M7' then pcsi else joint_confidence end as score, informative and (m.method in ('M2', 'M3') or gate) as eligible from scored_v, (values ('M2'), ('M3'), ('M6'), ('M7')) m(method)),
+ weighted_v as (select c.*, (case domain when 'F' then 0.5::double when 'O' then 0.3::double else 0.2::double end) / count(distinct group_id) over (partition by method, domain) / count(*) over (partition by method, domain, group_id) as weight from methods_v c)"""
+
+
+@query("with " + _SCORED + """, steps as (select method, score as threshold, sum(sum(weight)) over (partition by method order by score desc) as c from weighted_v where eligible group by method, score union all select distinct method, 1.000001::double, 0::double from weighted_v),
+ alls as (select method, sum(weight) as whole, sum(case when eligible then weight else 0 end) as most from weighted_v group by method), t as (select s.method, threshold, c / whole as coverage, most / whole as most, target, abs(c / whole - target) as e from steps s join alls using (method), (values (0.5::double), (0.8::double)) x(target)),
+ near as (select *, min(e) over (partition by method, target) as m from t)
+ select method, target, round(max(threshold), 6) as threshold, round(max_by(coverage, threshold), 6) as coverage, round(max(most), 6) as max_eligible_coverage from near where e - m <= 1e-8 + 1e-5 * m group by all""")
+def policy_thresholds(spark, d):
+    """Four methods, of which two answer only what the gate lets through: for each target the threshold of nearest coverage."""
+    k = F.col("record_id")
+    rows = V.records(spark, d).withColumns({"joint_confidence": (k * 31 % 101) / 101.0, "generic": (k * 17 % 103) / 103.0, "pcsi": (k * 13 % 107) / 107.0, "gate": k % 3 != 0, "informative": k % 7 != 0})
+    return rounded(metrics.policy_thresholds(rows, (0.5, 0.8), V.SHARES).select("method", "target", "threshold", "coverage", "max_eligible_coverage"))
+
+
+@query("""with m as (select o_custkey as p, case when o_custkey % 2 = 0 then 'a' else 'b' end as arm, avg(o_totalprice) as score from orders group by 1, 2), r as (select *, row_number() over (partition by arm order by p) - 1 as r, count(*) over (partition by arm) as n from m),
+ sizes as (select distinct arm, n from r), draws as (select arm, n, i // n as b, ('0x' || substr(md5('0:' || arm || ':' || (i // n)::int || ':' || i % n), 1, 8))::bigint % n as r from (select arm, n, unnest(range(100 * n)) as i from sizes)),
+ d as (select b, sum(case when draws.arm = 'b' then 1 else -1 end * score / draws.n) as d from draws join r using (arm, r) group by b)
+ select round((select avg(score) from m where arm = 'b') - (select avg(score) from m where arm = 'a'), 4) as difference, round(quantile_cont(d, 0.025), 4) as lo, round(quantile_cont(d, 0.975), 4) as hi, 'b-a' as contrast from d""")
+def two_arms(spark, d):
+    """The difference of two arms' means with an interval from participants drawn within each arm."""
+    means = V.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("participant_id"), F.when(F.col("o_custkey") % 2 == 0, "a").otherwise("b").alias("arm")).agg(F.avg("o_totalprice").alias("score"))
+    out = resample.two_arms(means, "score", 100)
+    return out.select(*[F.round(c, 4).alias(c) for c in ("difference", "lo", "hi")], "contrast")
