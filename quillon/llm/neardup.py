@@ -1,9 +1,10 @@
 """Near-duplicate documents: SetSketch registers in bands find candidates, whole shingle sets confirm them.
 
-Documents with equal shingle sets are one class. Classes that share a band are joined to the least class of that
-band, the components of these stars are clusters, and each cluster is worked through in blocks: all pairs of a
-block are compared by the likelihood of their registers, and those that can be links are confirmed on full sets.
-A block returns a spanning forest of its links, never its pairs.
+Documents with equal shingle sets are one class. Each class that shares a band with a smaller one is compared with the
+least of these, which settles groups of near copies in one pass over their texts. Bands whose classes are then of one
+component need no more. The others form clusters: in each, what is outside its largest component is compared, in blocks,
+with everything of another component, by the likelihood of the registers, and those pairs that can be links are confirmed on full sets.
+Tasks return spanning links, never all pairs.
 """
 
 from __future__ import annotations
@@ -97,16 +98,28 @@ class Forest:
         return a != b
 
 
-def forest_of_links(sets: list[np.ndarray], block: np.ndarray, threshold: int) -> Iterator[tuple[int, int]]:
-    """Links that span each component of the sets; with two blocks, links within a block are left to other tasks."""
+def confirmed(one: set, other: set, threshold: int) -> bool:
+    both = len(one & other)
+    return 100 * both >= threshold * (len(one) + len(other) - both)
+
+
+def forest_of_links(sets: list[np.ndarray], block: np.ndarray, threshold: int, root: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Links that span each component of the sets; with two blocks, links within a block are left to other tasks.
+
+    root: sets of equal root are known to be of one component, and aren't compared.
+    """
     n, two = len(sets), len(np.unique(block)) > 1
+    root = np.arange(n) if root is None else root
     size = np.array([len(s) for s in sets])
     sketches = np.array([sketch(s) for s in sets])
     as_sets: dict[int, set] = {}
     forest, pairs = Forest(n), []
+    first: dict[int, int] = {}
+    for i, r in enumerate(root.tolist()):
+        forest.join(first.setdefault(r, i), i)
     for a in range(n - 1):
         b = np.arange(a + 1, n)
-        b = b[(100 * np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])) & ((block[b] != block[a]) | (not two))]
+        b = b[(root[b] != root[a]) & (100 * np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])) & ((block[b] != block[a]) | (not two))]
         if len(b):
             above, below = (sketches[a] > sketches[b]).sum(1), (sketches[a] < sketches[b]).sum(1)
             ok = could_link(above, below, np.full(len(b), size[a]), size[b], threshold)
@@ -116,12 +129,22 @@ def forest_of_links(sets: list[np.ndarray], block: np.ndarray, threshold: int) -
             for x in (a, b):
                 if x not in as_sets:
                     as_sets[x] = set(sets[x].tolist())
-            both = len(as_sets[a] & as_sets[b])
-            if 100 * both >= threshold * (size[a] + size[b] - both):
+            if confirmed(as_sets[a], as_sets[b], threshold):
                 forest.join(a, b)
                 yield a, b
 
 
+def star_links(sets: list[np.ndarray], centre: np.ndarray, threshold: int) -> Iterator[int]:
+    """The sets that link with the one that is the centre."""
+    c = int(np.flatnonzero(centre)[0])
+    size, middle, whole = np.array([len(s) for s in sets]), sketch(sets[c]), set(sets[c].tolist())
+    rest = np.flatnonzero(~centre & (100 * np.minimum(size, size[c]) >= threshold * np.maximum(size, size[c])))
+    if len(rest):
+        sketches = np.array([sketch(sets[i]) for i in rest])
+        ok = could_link((sketches > middle).sum(1), (sketches < middle).sum(1), size[rest], np.full(len(rest), size[c]), threshold)
+        yield from (i for i in rest[ok].tolist() if confirmed(set(sets[i].tolist()), whole, threshold))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs.
 
@@ -156,26 +179,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, scratch: S
     reps = full.join(classes, ["f1", "f2"]).where("doc_id = rep").select("rep", F.explode("bands").alias("key"))
     reps = scratch.save(reps, "bands")
     stars = reps.groupBy("key").agg(F.min("rep").alias("v"), F.max("rep").alias("_most")).where("v < _most").select("key", "v")
-    edges = reps.join(stars, "key").select(F.col("rep").alias("u"), "v").where("u <> v").distinct()
-    clusters = components(edges, scratch, "clusters").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
-    scratch.drop("bands")
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    members = docs.where("doc_id is not null").join(clusters, "doc_id").join(sizes, "cluster")
-    members = members.withColumn("block", F.pmod(F.hash("doc_id"), "n_blocks"))
-    turns = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    turns = F.when((F.col("n_blocks") > 1), F.filter(turns, lambda x: (x["i"] < x["j"]) | (F.col("n_blocks") == 1))).otherwise(turns)
-    # within a block: the pair (block, block); between blocks: each unordered pair, for both its blocks
-    turns = F.array_union(F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j"))), turns)
-    tasks = members.select("doc_id", "text", "block", "cluster", F.explode(turns).alias("t")).select("cluster", "t.i", "t.j", "doc_id", "block", "text")
+    shared = scratch.save(reps.join(stars, "key").select("rep", "key", "v"), "shared")  # bands of two classes or more
+    nearest = scratch.save(shared.where("v < rep").groupBy("rep").agg(F.min("v").alias("v")), "nearest")
+    known = docs.where("doc_id is not null")
+    spread = nearest.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    around = nearest.join(spread, "v").select("v", F.pmod(F.hash("rep"), "n").alias("chunk"), F.col("rep").alias("doc_id"), F.lit(False).alias("centre"))
+    around = around.unionByName(spread.select("v", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"), F.col("v").alias("doc_id"), F.lit(True).alias("centre")))
+
+    def starred(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates(["doc_id", "text"]).reset_index(drop=True)
+        sets, ids, centre = list(shingle_sets(pa.array(group["text"], pa.string()), k)), group["doc_id"].to_numpy(), group["centre"].to_numpy(bool)
+        found = [(ids[i], ids[c]) for c in np.flatnonzero(centre) for i in star_links(sets, np.arange(len(ids)) == c, threshold) if not centre[i]]
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    near = scratch.save(known.join(around, "doc_id").groupBy("v", "chunk").applyInPandas(starred, "u long, v long"), "near")
+    settled = scratch.save(components(near, scratch, "settled").select(F.col("node").alias("rep"), F.col("root").alias("_root")), "roots")
+    placed = shared.join(settled, "rep", "left").select("rep", "key", F.coalesce("_root", "rep").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("rep").alias("v"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key", "v")
+    edges = scratch.save(placed.join(mixed, "key").select(F.col("rep").alias("u"), "v", "root").distinct(), "edges")
+    scratch.drop("bands", "shared", "nearest")
+    clusters = components(edges.where("u <> v").select("u", "v").distinct(), scratch, "clusters").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
+    clusters = scratch.save(clusters.join(edges.select(F.col("u").alias("doc_id"), "root").distinct(), "doc_id"), "members")
+    counts = clusters.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top"))
+    large = F.col("all") > BLOCK
+    few = F.when(large, F.ceil((F.col("all") - F.col("top.n")) / BLOCK)).otherwise(1).cast("int")
+    sizes = sizes.select("cluster", F.col("top.root").alias("top"), few.alias("few"), F.when(large, F.ceil(F.col("top.n") / BLOCK)).otherwise(0).cast("int").alias("many"))
+    # blocks 0 to few - 1 hold what is outside the largest component, the many behind them that component (small clusters are one block)
+    block = F.when((F.col("many") > 0) & (F.col("root") == F.col("top")), F.col("few") + F.pmod(F.hash("doc_id"), "many")).otherwise(F.pmod(F.hash("doc_id"), "few"))
+    members = clusters.join(sizes, "cluster").withColumn("block", block)
+    partners = F.sequence(F.lit(0), F.when(F.col("block") < F.col("few"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
+    turns = F.transform(partners, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    members = members.select("doc_id", "block", "cluster", "root", F.explode(turns).alias("t")).select("cluster", "t.i", "t.j", "doc_id", "block", "root")
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["doc_id", "text"]).reset_index(drop=True)
         sets = list(shingle_sets(pa.array(group["text"], pa.string()), k))
         ids = group["doc_id"].to_numpy()
-        found = [(ids[a], ids[b]) for a, b in forest_of_links(sets, group["block"].to_numpy(), threshold)]
+        found = [(ids[a], ids[b]) for a, b in forest_of_links(sets, group["block"].to_numpy(), threshold, group["root"].to_numpy())]
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    links = scratch.save(tasks.groupBy("cluster", "i", "j").applyInPandas(linked, "u long, v long"), "links")
+    far = scratch.save(known.join(members, "doc_id").groupBy("cluster", "i", "j").applyInPandas(linked, "u long, v long"), "far")
+    links = near.unionByName(far)
     roots = components(links, scratch, "components").select(F.col("node").alias("rep"), "root")
     named = classes.join(roots, "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("_c"))
     out = slim.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")

@@ -85,6 +85,57 @@ def test_blocks_of_a_large_cluster_lose_no_link(spark, monkeypatch):
     assert {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df, 3, 85).collect()} == whole
 
 
+def test_a_chain_of_near_copies_is_one_component(spark, monkeypatch):
+    """Copies drift away from the first one step by step, so most link with their neighbours only; far ones share bands without a link."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(300)]
+    data, now = [], list(words)
+    for d in range(80):
+        data.append((d, " ".join(now)))
+        now[int(rng.integers(0, 300))] = f"z{d}"
+        now[int(rng.integers(0, 300))] = f"y{d}"
+    data += [(100 + d, " ".join(words[: 250 + d])) for d in range(30)]  # some of them are links of the first, some are not
+    data += [(200 + d, " ".join(w if rng.random() < 0.93 else f"x{rng.integers(1e9)}" for w in words)) for d in range(40)]
+    known = {d: set(zip(w, w[1:], w[2:], strict=False)) for d, t in data for w in [t.split()]}
+    up = {d: d for d in known}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in known:
+        for b in known:
+            both = len(known[a] & known[b])
+            if a < b and 100 * both >= 85 * (len(known[a]) + len(known[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    want = {(d, find(d)) for d in known}
+    assert len({c for _, c in want}) > 10
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    for block in (512, 16, 3):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        assert {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df, 3, 85).collect()} == want
+
+
+def test_copies_of_one_text_are_compared_with_its_first_alone(spark, monkeypatch):
+    """A group of near copies takes one pass; only what its first doesn't settle meets the others."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(400)]
+    data = []
+    for d in range(300):
+        w = list(words)
+        w[int(rng.integers(0, 400))] = f"z{d}"
+        data.append((d, " ".join(w)))
+    data.append((500, " ".join(words[:200])))
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    scratch = neardup.Scratch(spark)
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 3, 85, scratch=scratch).collect()
+    assert {r["component_id"] for r in got} == {0, 500}
+    far = spark.read.parquet(scratch.path("members")).count() if spark.read.parquet(scratch.path("near")).count() == 299 else None
+    assert far is not None and far <= 301
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(20, 16))
