@@ -145,6 +145,19 @@ def star_links(sets: list[np.ndarray], centre: np.ndarray, threshold: int) -> It
         yield from (i for i in rest[ok].tolist() if confirmed(set(sets[i].tolist()), whole, threshold))
 
 
+def forest_roots(parents: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(u, v) with v the root of u, of a table (u, v) of a smaller parent for each node that has one: pointers jump until none moves."""
+    cur, turn = scratch.save(parents, f"{name}-0"), 0
+    while True:
+        turn += 1
+        far = cur.join(cur.select(F.col("u").alias("v"), F.col("v").alias("_up")), "v", "left")
+        nxt = scratch.save(far.select("u", F.coalesce("_up", "v").alias("v"), F.col("_up").isNotNull().alias("moved")), f"{name}-{turn}")
+        scratch.drop(f"{name}-{turn - 1}")
+        cur = nxt.select("u", "v")
+        if nxt.where("moved").isEmpty():
+            return cur
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs.
 
@@ -192,8 +205,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, scratch: S
         found = [(ids[i], ids[c]) for c in np.flatnonzero(centre) for i in star_links(sets, np.arange(len(ids)) == c, threshold) if not centre[i]]
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    near = scratch.save(known.join(around, "doc_id").groupBy("v", "chunk").applyInPandas(starred, "u long, v long"), "near")
-    settled = scratch.save(components(near, scratch, "settled").select(F.col("node").alias("rep"), F.col("root").alias("_root")), "roots")
+    near = known.join(around, "doc_id").groupBy("v", "chunk").applyInPandas(starred, "u long, v long")
+    settled = forest_roots(near.distinct(), scratch, "near").select(F.col("u").alias("rep"), F.col("v").alias("_root"))
     placed = shared.join(settled, "rep", "left").select("rep", "key", F.coalesce("_root", "rep").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("rep").alias("v"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key", "v")
     edges = scratch.save(placed.join(mixed, "key").select(F.col("rep").alias("u"), "v", "root").distinct(), "edges")
@@ -215,14 +228,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, scratch: S
     def linked(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["doc_id", "text"]).reset_index(drop=True)
         sets = list(shingle_sets(pa.array(group["text"], pa.string()), k))
-        ids = group["doc_id"].to_numpy()
-        found = [(ids[a], ids[b]) for a, b in forest_of_links(sets, group["block"].to_numpy(), threshold, group["root"].to_numpy())]
+        root = group["root"].to_numpy()
+        found = [(root[a], root[b]) for a, b in forest_of_links(sets, group["block"].to_numpy(), threshold, root)]
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     far = scratch.save(known.join(members, "doc_id").groupBy("cluster", "i", "j").applyInPandas(linked, "u long, v long"), "far")
-    links = near.unionByName(far)
-    roots = components(links, scratch, "components").select(F.col("node").alias("rep"), "root")
-    named = classes.join(roots, "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("_c"))
+    roots = components(far, scratch, "components").select(F.col("node").alias("_root"), F.col("root").alias("_last"))
+    settled = classes.join(settled, "rep", "left").withColumn("_root", F.coalesce("_root", "rep"))
+    named = settled.join(roots, "_root", "left").select("f1", "f2", F.coalesce("_last", "_root").alias("_c"))
     out = slim.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
     label = F.when(F.col("n_shingles") > 0, F.coalesce("_c", "doc_id")).otherwise(F.col("doc_id"))
     label = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(label)
