@@ -13,8 +13,16 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of a file that Spark reads in one task.
+SPLIT = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of sf_dir. One of fewer files than cores, and not large, is dealt out, since a file of one row group is one task."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    held = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path)
+    df, cores = spark.read.parquet(path.toString()), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if max(held.getFileCount(), held.getLength() // SPLIT) < cores else df
 
 
 def text_of(col: str | Column = "text") -> Column:

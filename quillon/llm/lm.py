@@ -27,8 +27,8 @@ SLICES = 4
 BATCH = 500_000
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
-#: Marks that keep the kinds of grams apart: a word, a word that ends a document, a document, a pair.
-WORD, END, DOCUMENT, PAIR = (_U(x) for x in (0x1F, 0x2D, 0x3B, 0x49))
+#: Marks that keep the kinds of grams apart: a word, a document, a pair.
+WORD, DOCUMENT, PAIR = (_U(x) for x in (0x1F, 0x3B, 0x49))
 
 
 def gram(kind: np.uint64, *parts: np.ndarray) -> np.ndarray:
@@ -39,7 +39,10 @@ def gram(kind: np.uint64, *parts: np.ndarray) -> np.ndarray:
 
 
 def listed_grams(word: np.ndarray, codes: np.ndarray, first: np.ndarray, keys: np.ndarray, turn: int, slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the grams of some documents that belong to a slice, each once; only pairs of the slice are sorted."""
+    """(hashes, counts) of the grams of some documents that belong to a slice, each once; only pairs of the slice are sorted.
+
+    A word that ends documents is listed once more, with the number of these below zero: it opens no pair there.
+    """
     belongs = lambda h: (h >> _U(40)) % _U(slices) == turn
     full = np.flatnonzero(np.diff(first))
     before = np.empty(len(codes), np.int64)
@@ -52,8 +55,8 @@ def listed_grams(word: np.ndarray, codes: np.ndarray, first: np.ndarray, keys: n
     ends = np.bincount(codes[first[1:][full] - 1], minlength=len(word))
     ended = np.flatnonzero((ends > 0) & here)
     key, same = np.unique(keys[belongs(keys)], return_counts=True)
-    parts = [gram(WORD, word[here]), gram(END, word[ended]), gram(DOCUMENT, key), gram(PAIR, named[pairs // width], named[pairs % width])]
-    counts = [np.bincount(codes, minlength=len(word))[here], ends[ended], same, pair_n]
+    parts = [gram(WORD, word[here]), gram(WORD, word[ended]), gram(DOCUMENT, key), gram(PAIR, named[pairs // width], named[pairs % width])]
+    counts = [np.bincount(codes, minlength=len(word))[here], -ends[ended], same, pair_n]
     return np.concatenate(parts), np.concatenate(counts).astype(np.int64)
 
 
@@ -73,25 +76,27 @@ class Batch:
         self.pairs, self.pair, self.pair_n = np.unique(before * self.width + codes, return_inverse=True, return_counts=True)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, counts) of words, ends, documents and pairs, in this order, each once."""
-        ends = np.bincount(self.codes[self.first[1:][self.full] - 1], minlength=len(self.word))
-        self.ended = np.flatnonzero(ends)
+        """(hashes, counts) of words, documents and pairs, in this order, each once."""
         self.key, self.which, same = np.unique(self.keys, return_inverse=True, return_counts=True)
         named = np.append(self.word, _U(0))
-        parts = [gram(WORD, self.word), gram(END, self.word[self.ended]), gram(DOCUMENT, self.key), gram(PAIR, named[self.pairs // self.width], named[self.pairs % self.width])]
-        counts = [np.bincount(self.codes, minlength=len(self.word)), ends[self.ended], same, self.pair_n]
+        parts = [gram(WORD, self.word), gram(DOCUMENT, self.key), gram(PAIR, named[self.pairs // self.width], named[self.pairs % self.width])]
+        counts = [np.bincount(self.codes, minlength=len(self.word)), same, self.pair_n]
         self.cuts = np.cumsum([len(p) for p in parts])[:-1]
         return np.concatenate(parts), np.concatenate(counts).astype(np.int64)
 
-    def scores(self, known: np.ndarray, counts: np.ndarray, total: int, opened: int, backoff: float) -> np.ndarray:
-        """known: hashes of grams that other batches have, sorted; counts: how often those have them. total: words of the corpus, opened: documents with words."""
+    def scores(self, known: np.ndarray, others: np.ndarray, ends: np.ndarray, total: int, opened: int, backoff: float) -> np.ndarray:
+        """known: hashes of grams that other batches have, sorted; others: how often those have them; ends: how many documents of
+        all batches a word ends. total: words of the corpus, opened: documents with words."""
         g, c = self.grams()
+        c_end = np.bincount(self.codes[self.first[1:][self.full] - 1], minlength=len(self.word))
         if len(known):
             at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-            c = c + np.where(known[at] == g, counts[at], 0)
-        c_w, c_end, same, c_pair = np.split(c, self.cuts)
-        c_v = np.append(c_w, opened)
-        c_v[self.ended] -= c_end
+            there = known[at] == g
+            c = c + np.where(there, others[at], 0)
+            n = len(self.word)
+            c_end = np.where(there[:n], ends[at[:n]], c_end)
+        c_w, same, c_pair = np.split(c, self.cuts)
+        c_v = np.append(c_w - c_end, opened)
         same = same[self.which][self.row]
         place = self.row.astype(np.int64) * (self.width + 1)
 
@@ -167,8 +172,9 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, scratch: Scratch |
         parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         grams = grams.repartition(parts, "g")  # the count table and the join read this one exchange
         # keys are hashes, so counts fall evenly over the partitions, and a table of them in memory spares sorting all n-grams
-        counts = grams.groupBy("g").agg(F.sum("c").alias("n"), F.count("batch").alias("_in")).where("_in > 1").select("g", "n")
-        shared = scratch.save(grams.join(counts.hint("shuffle_hash"), "g").select("batch", "g", (F.col("n") - F.col("c")).alias("others")), f"shared{turn}")
+        counted = F.when(F.col("c") > 0, F.col("c"))
+        counts = grams.groupBy("g").agg(F.sum(counted).alias("n"), F.sum(F.when(F.col("c") < 0, -F.col("c")).otherwise(0)).alias("ends"), F.count(counted).alias("_in")).where("_in > 1").select("g", "n", "ends")
+        shared = scratch.save(grams.join(counts.hint("shuffle_hash"), "g").select("batch", "g", (F.col("n") - F.col("c")).alias("others"), "ends"), f"shared{turn}")
         found = shared if found is None else found.unionByName(shared)
 
     def score(batch: pa.Table, counts: pa.Table) -> pa.Table:
@@ -176,9 +182,9 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, scratch: Scratch |
         for table in batch.to_batches():
             for i in range(table.num_rows):
                 b = Batch(*arrays(table, i))
-                g, n = counts.column("g").to_numpy().view(_U), counts.column("others").to_numpy()
-                order = np.argsort(g)
-                s = b.scores(g[order], n[order], total, opened, backoff)
+                g, n, ends = counts.column("g").to_numpy().view(_U), counts.column("others").to_numpy(), counts.column("ends").to_numpy()
+                order = np.lexsort((n, g))  # of a word's two rows the one with its own count taken off comes first
+                s = b.scores(g[order], n[order], ends[order], total, opened, backoff)
                 for column, x in zip(out, (table.column("ids")[i].as_py(), np.diff(b.first).tolist(), s.tolist()), strict=True):
                     column += x
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "n_words", "log_score"])

@@ -78,5 +78,21 @@ def test_slices_hold_each_gram_of_a_batch_once():
     codes, keys = rng.integers(0, len(word), 400), rng.integers(0, 3, 4).astype(np.uint64) << np.uint64(38)
     g, c = lm.Batch(word, codes, first, keys).grams()
     slices = [lm.listed_grams(word, codes, first, keys, t, 4) for t in range(4)]
-    assert sorted(zip(g.tolist(), c.tolist(), strict=True)) == sorted(x for a, b in slices for x in zip(a.tolist(), b.tolist(), strict=True))
+    assert sorted(zip(g.tolist(), c.tolist(), strict=True)) == sorted(x for a, b in slices for x in zip(a.tolist(), b.tolist(), strict=True) if x[1] > 0)
+    ends = {x for a, b in slices for x in zip(a.tolist(), b.tolist(), strict=True) if x[1] < 0}
+    final = codes[[49, 50, 399]]
+    assert ends == {(int(lm.gram(lm.WORD, word[[w]])[0]), -int((final == w).sum())) for w in set(final.tolist())}
     assert max(len(a) for a, _ in slices) < 0.4 * len(g)
+
+
+@pytest.mark.parametrize("batch", [40, 1000])
+def test_scores_do_not_depend_on_batches(spark, monkeypatch, batch):
+    """Words that end documents of other batches only, words of one batch, repeated rows: many small batches score as one does."""
+    rng = np.random.default_rng(4)
+    names = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(names[: 60 if i % 2 else 20], int(rng.integers(0, 25))))) for i in range(120)] + [(5, "w1 w2 only"), (5, "w1 w2 only"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {(r["doc_id"], r["n_words"]): r["log_score"] for r in lm.backoff_scores(df.coalesce(1)).collect()}
+    monkeypatch.setattr(lm, "BATCH", batch)
+    got = {(r["doc_id"], r["n_words"]): r["log_score"] for r in lm.backoff_scores(df.repartition(9)).collect()}
+    assert got.keys() == whole.keys() and all(got[k] == pytest.approx(whole[k]) for k in whole)
