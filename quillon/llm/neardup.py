@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, join_checked
 from .text import mix, shingle_sets
 
 #: Registers of a sketch.
@@ -198,6 +198,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, scratch: S
     spread = nearest.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
     around = nearest.join(spread, "v").select("v", F.pmod(F.hash("rep"), "n").alias("chunk"), F.col("rep").alias("doc_id"), F.lit(False).alias("centre"))
     around = around.unionByName(spread.select("v", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"), F.col("v").alias("doc_id"), F.lit(True).alias("centre")))
+    around = scratch.save(around, "around")
 
     def starred(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["doc_id", "text"]).reset_index(drop=True)
@@ -205,7 +206,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, scratch: S
         found = [(ids[i], ids[c]) for c in np.flatnonzero(centre) for i in star_links(sets, np.arange(len(ids)) == c, threshold) if not centre[i]]
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    near = known.join(around, "doc_id").groupBy("v", "chunk").applyInPandas(starred, "u long, v long")
+    near = join_checked(known, around, ["doc_id"]).groupBy("v", "chunk").applyInPandas(starred, "u long, v long")
     settled = forest_roots(near.distinct(), scratch, "near").select(F.col("u").alias("rep"), F.col("v").alias("_root"))
     placed = shared.join(settled, "rep", "left").select("rep", "key", F.coalesce("_root", "rep").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("rep").alias("v"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key", "v")
@@ -224,6 +225,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, scratch: S
     partners = F.sequence(F.lit(0), F.when(F.col("block") < F.col("few"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
     turns = F.transform(partners, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     members = members.select("doc_id", "block", "cluster", "root", F.explode(turns).alias("t")).select("cluster", "t.i", "t.j", "doc_id", "block", "root")
+    members = scratch.save(members, "turns")
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["doc_id", "text"]).reset_index(drop=True)
@@ -232,7 +234,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, scratch: S
         found = [(root[a], root[b]) for a, b in forest_of_links(sets, group["block"].to_numpy(), threshold, root)]
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    far = scratch.save(known.join(members, "doc_id").groupBy("cluster", "i", "j").applyInPandas(linked, "u long, v long"), "far")
+    far = scratch.save(join_checked(known, members, ["doc_id"]).groupBy("cluster", "i", "j").applyInPandas(linked, "u long, v long"), "far")
     roots = components(far, scratch, "components").select(F.col("node").alias("_root"), F.col("root").alias("_last"))
     settled = classes.join(settled, "rep", "left").withColumn("_root", F.coalesce("_root", "rep"))
     named = settled.join(roots, "_root", "left").select("f1", "f2", F.coalesce("_last", "_root").alias("_c"))
