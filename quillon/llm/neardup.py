@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, join_checked
-from .text import mix, shingle_sets
+from .text import give_back, mix, shingle_sets
 
 #: Registers of a sketch.
 REGISTERS = 240
@@ -185,6 +185,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, scratch: S
             at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(at, flat)], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+        give_back()
 
     slim = scratch.save(docs.mapInArrow(sketched, schema), "sketches")
     full = slim.where("n_shingles > 0 and doc_id is not null")

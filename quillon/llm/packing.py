@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, buckets
-from .text import BLANK, LOWER, chunks, distinct_words, words
+from .text import BLANK, LOWER, chunks, distinct_words, equal_words, give_back, words
 
 #: Pieces that one task packs.
 GROUP = 20_000
@@ -42,9 +42,32 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[bytes, int] = {}
+        self.hashes, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash
+        self.bytes, self.at = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # of each row
         self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The row of each word; new words are learned, and so is one whose hash another word has, for this once."""
+        place = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        rows, taken = np.full(len(starts), -1, np.int64), np.zeros(len(starts), bool)
+        if len(self.hashes):
+            taken = self.hashes[place] == hashes
+            hit, row = np.flatnonzero(taken), self.row[place[taken]]
+            rows[hit] = np.where(equal_words(data, starts[hit], ends[hit], self.bytes, self.at[row], self.at[row + 1]), row, -1)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            known, text = len(self.at) - 1, data.tobytes()
+            words = [text[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            self.learn(words)
+            rows[new] = known + np.arange(len(new))
+            self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(ends[new] - starts[new])])
+            keep = new[~taken[new]]
+            keep = keep[np.unique(hashes[keep], return_index=True)[1]]
+            spot = np.searchsorted(self.hashes, hashes[keep])
+            self.hashes, self.row = np.insert(self.hashes, spot, hashes[keep]), np.insert(self.row, spot, rows[keep])
+        return rows
+
     def learn(self, words: list[bytes]) -> None:
         flat, counts = [self.flat], []
         for i in range(0, len(words), 1000):  # long texts make the tokenizer slower
@@ -53,7 +76,6 @@ class WordIds:
             flat.append(np.array(found.ids, np.uint32))
             at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
             counts.append(np.diff(np.searchsorted(at, np.cumsum([0, *(len(w) + 1 for w in part)]))))
-        self.row.update(zip(words, range(len(self.row), len(self.row) + len(words)), strict=True))
         self.flat = np.concatenate(flat)
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(counts))])
 
@@ -73,15 +95,10 @@ class WordIds:
         opening = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))  # <|
         for w in np.unique(np.searchsorted(starts, opening, "right") - 1).tolist() if len(opening) else ():
             data[starts[w] : ends[w]] = raw[starts[w] : ends[w]]
-        where, which = distinct_words(data, starts, ends)
-        text = data.tobytes()
-        found = [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-        if len(self.row) + len(found) > REMEMBERED:
+        where, which, hashes = distinct_words(data, starts, ends)
+        if len(self.at) + len(where) > REMEMBERED:
             self.clear()
-        new = [w for w in found if w not in self.row]
-        if new:
-            self.learn(new)
-        rows = np.fromiter(map(self.row.__getitem__, found), np.int64, len(found))[which]
+        rows = self.rows(data, starts[where], ends[where], hashes)[which]
         count = self.start[rows + 1] - self.start[rows]
         until = np.concatenate([[0], np.cumsum(count)])
         place = np.repeat(self.start[rows] - until[:-1], count) + np.arange(until[-1])
@@ -111,6 +128,8 @@ def pieces(docs: DataFrame, limit: int, path: str) -> DataFrame:
                             column.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        _loaded[path].clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokenized, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -59,6 +60,14 @@ def between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(((prefix[end] - prefix[start]) * powers(len(prefix))[1][start]) ^ ((end - start).astype(_U) << _U(40)))
 
 
+def give_back() -> None:
+    """What this worker holds and doesn't use goes back to the system, so that an idle worker stays small beside its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lanes(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as one number."""
     padded = np.zeros(len(data) + 8, np.uint8)
@@ -85,32 +94,35 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(an occurrence of each distinct word, which of these each word is). Hashes group the words, bytes decide."""
-    _, where, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    if same_words(data, starts, ends, where[which]):
-        return where, which
-    seen: dict[bytes, int] = {}
-    raw = data.tobytes()
-    which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
-    return np.unique(which, return_index=True)[1], which
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(an occurrence of each distinct word, which of these each word is, their hashes). Hashes group the words, bytes decide."""
+    hashes = word_hashes(data, starts, ends)
+    _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+    twin = where[which]
+    apart = np.flatnonzero(twin != np.arange(len(twin)))
+    if not equal_words(data, starts[apart], ends[apart], data, starts[twin[apart]], ends[twin[apart]]).all():
+        seen: dict[bytes, int] = {}
+        raw = data.tobytes()
+        which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        where = np.unique(which, return_index=True)[1]
+    return where, which, hashes[where]
 
 
-def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
-    """Whether each word has the bytes of the word that other names."""
+def equal_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each word has the bytes of the other data's word beside it."""
     length, eight = ends - starts, lanes(data)
-    if (length != length[other]).any():
-        return False
-    live = np.flatnonzero((other != np.arange(len(other))) & (length <= SHORT))
+    same = length == other_ends - other_starts
+    beside = eight if other is data else lanes(other)
+    live = np.flatnonzero(same & (length <= SHORT))
     for j in range(0, SHORT, 8):
-        keep = _FIRST[np.minimum(length[live] - j, 8)]
-        if ((eight[starts[live] + j] ^ eight[starts[other[live]] + j]) & keep).any():
-            return False
-        live = live[length[live] > j + 8]
         if not len(live):
             break
-    long = np.flatnonzero((other != np.arange(len(other))) & (length > SHORT))
-    return all(np.array_equal(data[starts[i] : ends[i]], data[starts[o] : ends[o]]) for i, o in zip(long.tolist(), other[long].tolist(), strict=True))
+        bad = ((eight[starts[live] + j] ^ beside[other_starts[live] + j]) & _FIRST[np.minimum(length[live] - j, 8)]) != 0
+        same[live[bad]] = False
+        live = live[~bad & (length[live] > j + 8)]
+    for i in np.flatnonzero(same & (length > SHORT)).tolist():
+        same[i] = np.array_equal(data[starts[i] : ends[i]], other[other_starts[i] : other_ends[i]])
+    return same
 
 
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

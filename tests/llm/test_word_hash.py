@@ -24,14 +24,14 @@ def test_hashes_of_words_differ_and_repeat():
     words = ["".join(map(chr, rng.integers(97, 99, int(n)))) for n in rng.integers(1, 140, 3000)] + MORSE + ["a", "a", "ab", "a" * 64, "a" * 65, "é", "x" * 3_000_000]
     h = text.word_hashes(*layout(words)).tolist()
     assert len(set(h)) == len(set(words)) and len(set(zip(words, h, strict=True))) == len(set(words))
-    where, which = text.distinct_words(*layout(words))
-    assert [words[where[i]] for i in which] == words and len(where) == len(set(words))
+    where, which, hashes = text.distinct_words(*layout(words))
+    assert [words[where[i]] for i in which] == words and len(where) == len(set(words)) == len(set(hashes.tolist()))
 
 
 def test_words_with_one_hash_are_told_apart(monkeypatch):
     words = ["aa", "bb", "aa", "cc" * 50, "cd" * 50, "aa", "c"]
     monkeypatch.setattr(text, "word_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
-    where, which = text.distinct_words(*layout(words))
+    where, which, _ = text.distinct_words(*layout(words))
     assert [words[where[i]] for i in which] == words and len(where) == 5
 
 
@@ -57,6 +57,24 @@ def test_tokens(spark):
         assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_tokens_of_words_with_one_hash(monkeypatch):
+    """Words of the same hash, in one batch and in later ones, are told apart by their bytes; the memory is cleared in between."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    monkeypatch.setattr(text, "word_hashes", lambda data, starts, ends: ((ends - starts) % 3).astype(np.uint64))
+    monkeypatch.setattr(packing, "REMEMBERED", 30)
+    ids, rng = packing.WordIds(packing.vocabulary()), np.random.default_rng(1)
+    words = ["the", "cat", "sat", "Über", "on", "mats.", "x" * 90, "y" * 90, "42", "hello,", "hello", "<|x", "é", "the."]
+    for n in (5, 40, 3, 60, 1, 200):
+        rows = [" ".join(rng.choice(words, n)) for _ in range(3)]
+        data = np.frombuffer("".join(rows).encode(), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(r.encode()) for r in rows])])
+        flat, begin = ids.ids(data, offsets)
+        for r, a, b in zip(rows, begin[:-1], begin[1:], strict=True):
+            assert flat[a:b].tolist() == tokenizer.encode(r, add_special_tokens=False).ids
+
+
 def test_repeats(spark):
     got = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(docs(spark, [MORSE[0][:1000], "0123456789" * 60 + "x" + "y" * 30])).collect()}
     brute = {}
