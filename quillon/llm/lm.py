@@ -171,9 +171,10 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, scratch: Scratch |
         grams = held.mapInArrow(listed(turn), "batch long, g long, c int")
         parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         grams = grams.repartition(parts, "g")  # the count table and the join read this one exchange
+        # all columns of the exchange are used on both sides, so that it is read twice and not made twice;
         # keys are hashes, so counts fall evenly over the partitions, and a table of them in memory spares sorting all n-grams
         counted = F.when(F.col("c") > 0, F.col("c"))
-        counts = grams.groupBy("g").agg(F.sum(counted).alias("n"), F.sum(F.when(F.col("c") < 0, -F.col("c")).otherwise(0)).alias("ends"), F.count(counted).alias("_in")).where("_in > 1").select("g", "n", "ends")
+        counts = grams.groupBy("g").agg(F.sum(counted).alias("n"), F.sum(F.when(F.col("c") < 0, -F.col("c")).otherwise(0)).alias("ends"), F.count(F.when(F.col("c") > 0, F.col("batch"))).alias("_in")).where("_in > 1").select("g", "n", "ends")
         shared = scratch.save(grams.join(counts.hint("shuffle_hash"), "g").select("batch", "g", (F.col("n") - F.col("c")).alias("others"), "ends"), f"shared{turn}")
         found = shared if found is None else found.unionByName(shared)
 
