@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import mixing, neardup, packing, quality, secrets
-from quillon.llm.common import Scratch, join_checked
+from quillon.llm.common import Scratch, join_checked, table
 
 
 #: Two hashes of a row, which name it together.
@@ -98,7 +98,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"{i}-{name}")
         if i:
