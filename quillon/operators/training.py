@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
-from ..functions.scalars import sigmoid, softplus
+from ..functions.scalars import sigmoid
 from .contracts import ContractError, require_none
 
 # AdamW's decay rates of its two moments, and its floor.
@@ -20,9 +21,9 @@ class Heads:
     """One linear head for each label and learning rate, trained on all rows at once (AdamW) and stopped early.
 
     Rows are (split, label, y, mask, features): soft targets y in [0, 1], masked entries don't count. The loss is the mean
-    cross-entropy of all unmasked entries. A pass is one aggregation by (rate, label): tasks add up gradients of their own
-    rows, and what reaches the driver is a row a head, whatever the number of records. The weights of all heads travel to
-    the tasks; labels are a vocabulary. A rate whose validation loss has not fallen by more than `tolerance` for `patience`
+    cross-entropy of all unmasked entries. In a pass tasks add up the gradients of their own rows, as arrays, for all rates
+    and labels; what reaches the driver is a row a weight, whatever the number of records. The weights of all heads travel
+    to the tasks; labels are a vocabulary. A rate whose validation loss has not fallen by more than `tolerance` for `patience`
     epochs stops, and keeps the weights of its best epoch; the others go on.
     """
 
@@ -32,44 +33,84 @@ class Heads:
         self.history: list[tuple[float, int, float, float]] = []  # rate, epoch, training loss before it, validation loss after it
         self.weights: dict[float, dict] = {}
 
-    def _inputs(self, mean: Column, deviation: Column) -> list[Column]:
-        return [*[(F.col(f"x{i}") - mean[i]) / deviation[i] for i in range(len(self.features))], F.lit(1.0)]
+    def _summed(self, rows: DataFrame, shape: tuple[int, ...], part: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """part(head, in training, y, features, known) of each batch of rows, an array of this shape, added up over all rows."""
+        d = len(self.features)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    flat = b.column("x").flatten()
+                    known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, d)
+                    x = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, d)
+                    one = part(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "_t", "y")), x, known)
+                    total = one if total is None else total + one
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["i", "v"])
+
+        got = rows.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # a row a weight
+        out = np.zeros(int(np.prod(shape)))
+        out[[r["i"] for r in got]] = [r["v"] for r in got]
+        return out.reshape(shape)
 
     def fit(self, rows: DataFrame) -> Heads:
         d, spark = len(self.features), rows.sparkSession
         require_none(rows.where("mask > 0").where(~F.coalesce(F.col("y").between(0, 1) & ~F.isnan(F.col("y").cast("double")), F.lit(False))).select("label"), "targets must lie in [0, 1]")
-        rows = rows.where("mask > 0").select((F.col("split") == "train").alias("_t"), "label", F.col("y").cast("double").alias("y"), *[F.col(n).cast("double").alias(f"x{i}") for i, n in enumerate(self.features)]).persist()
-        moments = rows.groupBy("label").agg(F.count_if("_t").alias("n"), F.count_if(~F.col("_t")).alias("v"), F.avg(F.when(F.col("_t"), F.col("y"))).alias("p"), *[f(F.when(F.col("_t"), F.col(f"x{i}"))).alias(f"{k}{i}") for i in range(d) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).orderBy("label").collect()
+        rows = rows.where("mask > 0").select((F.col("split") == "train").alias("_t"), "label", F.col("y").cast("double").alias("y"), F.array(*[F.col(n).cast("double") for n in self.features]).alias("x")).persist()
+        moments = rows.groupBy("label").agg(F.count_if("_t").alias("n"), F.count_if(~F.col("_t")).alias("v"), F.avg(F.when(F.col("_t"), F.col("y"))).alias("p")).orderBy("label").collect()
         moments = [r for r in moments if r["n"]]
         n, held = sum(r["n"] for r in moments), sum(r["v"] for r in moments)
         if not n or not held:
             raise ContractError("training and validation need unmasked entries")
         labels = [r["label"] for r in moments]
-        self.mean = np.array([[r[f"m{i}"] for i in range(d)] for r in moments]).reshape(-1, d)
-        self.deviation = np.maximum(np.array([[r[f"s{i}"] for i in range(d)] for r in moments]).reshape(-1, d), 1e-6)
+        many = len(labels)
+        heads = F.broadcast(spark.createDataFrame([(k, i) for i, k in enumerate(labels)], rows.select("label").schema.add("h", IntegerType())))  # the vocabulary
+        data = rows.where("_t is not null").join(heads, "label").select("h", "_t", "y", "x")
+
+        def by_head(h: np.ndarray, values: np.ndarray) -> np.ndarray:
+            order = np.argsort(h, kind="stable")
+            found, at = np.unique(h[order], return_index=True)
+            out = np.zeros((many, values.shape[1]))
+            out[found] = np.add.reduceat(values[order], at)
+            return out
+
+        known, total = self._summed(data, (2, many, d), lambda h, t, y, x, known: np.stack([by_head(h, known * t[:, None]), by_head(h, x * t[:, None])]))
+        self.mean = mean = total / np.maximum(known, 1)
+        spread = self._summed(data, (many, d), lambda h, t, y, x, known: by_head(h, np.where(known, x - mean[h], 0.0) ** 2 * t[:, None]))
+        self.deviation = deviation = np.maximum(np.sqrt(spread / np.maximum(known, 1)), 1e-6)
         first = np.zeros((len(labels), d + 1))
         if self.start_at_base_rate:
             p = np.clip([r["p"] for r in moments], 1e-4, 1 - 1e-4)
             first[:, -1] = np.log(p / (1 - p))
-        numbers = ArrayType(DoubleType())
-        shape = rows.select("label").schema.add("rate", DoubleType()).add("_m", numbers).add("_s", numbers).add("_w", numbers)
-        x = self._inputs(F.col("_m"), F.col("_s"))
-        z = sum((F.col("_w")[i] * v for i, v in enumerate(x)), F.lit(0.0))
-        loss, slope = softplus(z) - F.col("y") * z, sigmoid(z) - F.col("y")
-        sums = [F.sum(F.when(F.col("_t"), loss)).alias("train"), F.sum(F.when(~F.col("_t"), loss)).alias("held"), *[F.sum(F.when(F.col("_t"), slope * v)).alias(f"g{i}") for i, v in enumerate(x)]]
+
+        def passed(weights: list[np.ndarray]):
+            """For each rate and head: losses of training and validation, and the gradient; a row that lacks a feature counts in none."""
+
+            def part(h, t, y, x, known):
+                ok = known.all(1)
+                x = np.column_stack([(x - mean[h]) / deviation[h], np.ones(len(x))])
+                out = []
+                for at in weights:
+                    z = (x * at[h]).sum(1)
+                    loss = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))) - y * z
+                    slope = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), 1 - 1 / (1 + np.exp(-np.abs(z)))) - y
+                    values = np.column_stack([np.where(t, loss, 0.0), np.where(t, 0.0, loss), np.where(t, slope, 0.0)[:, None] * x])
+                    out.append(by_head(h, np.where(ok[:, None], values, 0.0)))
+                return np.stack(out)
+
+            return part
+
         w = {r: first.copy() for r in self.rates}
         seen = {r: (np.zeros_like(first), np.zeros_like(first)) for r in self.rates}
         best = {r: (np.inf, first.copy(), -1) for r in self.rates}
-        going, place, before = set(self.rates), {k: i for i, k in enumerate(labels)}, {}
+        going, before = set(self.rates), {}
         for epoch in range(self.epochs + 1):  # a pass scores what the epoch before has made
-            now = spark.createDataFrame([(k, float(r), self.mean[i].tolist(), self.deviation[i].tolist(), w[r][i].tolist()) for r in sorted(going) for i, k in enumerate(labels)], shape)
-            got = rows.join(F.broadcast(now), "label").groupBy("rate", "label").agg(*sums).collect()
-            for r in sorted(going):
-                mine = [g for g in got if g["rate"] == r]
-                grad = np.zeros_like(first)
-                for g in mine:
-                    grad[place[g["label"]]] = [g[f"g{i}"] or 0.0 for i in range(d + 1)]
-                train, valid = (sum(g[c] or 0.0 for g in mine) / m for c, m in (("train", n), ("held", held)))
+            now = sorted(going)
+            got = self._summed(data, (len(now), many, d + 3), passed([w[r] for r in now]))
+            for r, mine in zip(now, got, strict=True):
+                grad = mine[:, 2:]
+                train, valid = float(mine[:, 0].sum() / n), float(mine[:, 1].sum() / held)
                 if epoch:
                     self.history.append((r, epoch - 1, before[r], valid))
                     if valid < best[r][0] - self.tolerance:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -139,3 +140,20 @@ def test_heads_are_those_of_numpy(spark):
             training.Heads(("a",), (0.1,)).fit(bad)
     with pytest.raises(ContractError):
         training.Heads(("a",), (0.1,)).fit(df.withColumn("y", F.lit(2.0)))
+
+
+def test_heads_of_many_features_take_seconds(spark):
+    """64 features of 10 labels: expressions of that many terms once fell out of code generation, and a fit took minutes."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 64))
+    y = (x[:, :10] > 0).astype(float)
+    rows = [("validation" if i % 4 == 0 else "train", k, float(y[i, k]), 1, *map(float, x[i])) for i in range(200) for k in range(10)]
+    names = [f"f{i}" for i in range(64)]
+    df = spark.createDataFrame([*rows, ("train", 0, 1.0, 1, None, *[1.0] * 63)], "split string, label int, y double, mask int, " + ", ".join(f"{n} double" for n in names))
+    start = time.time()
+    heads = training.Heads(names, (0.1,), epochs=4, patience=3).fit(df.where("f0 is not null"))
+    assert time.time() - start < 60
+    loss, w, _, _ = numpy_heads(x, y, np.ones((200, 10), int), np.arange(200) % 4 == 0, 0.1, 4, 3, 1e-4)
+    assert np.allclose([heads.weights[0.1][k] for k in range(10)], w, atol=1e-9) and abs(heads.best[0.1][0] - loss) < 1e-9
+    lacking = training.Heads(names, (0.1,), epochs=1).fit(df)  # a row without a feature counts in no gradient
+    assert np.isfinite(lacking.weights[0.1][0]).all()
