@@ -198,15 +198,17 @@ def lineage(spark: SparkSession, assets: DataFrame, purpose: str = "research", d
 
     A missing parent, a cycle, or an asset or ancestor without permission is an error.
     """
-    edges = assets.select(F.col("asset_id"), F.explode("parent_asset_ids").alias("ancestor")).distinct()
-    require_none(unmatched(edges.select(F.col("ancestor").alias("asset_id")), assets, ["asset_id"]), "unknown parent")
+    edges = checkpointed(assets.select(F.col("asset_id"), F.explode("parent_asset_ids").alias("ancestor")).distinct())
+    require_none(unmatched(edges.select(F.col("ancestor").alias("asset_id")), assets.hint("merge"), ["asset_id"]), "unknown parent")
     require_none(assets.where(~F.coalesce(F.col(f"permitted_{purpose}_use"), F.lit(False))).select("asset_id"), f"not permitted for {purpose}")
-    reach = frontier = edges.withColumn("distance", F.lit(1)).checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else edges.withColumn("distance", F.lit(1))
+    require_none(edges.where("asset_id = ancestor").select("asset_id"), "cycle")
+    # each step is settled, so that the next reads its rows and not the joins that made them; merged, so that none fills the driver
+    reach = frontier = edges.withColumn("distance", F.lit(1))
     for step in range(2, depth):
-        nxt = frontier.join(edges.select(F.col("asset_id").alias("ancestor"), F.col("ancestor").alias("far")), "ancestor").select("asset_id", F.col("far").alias("ancestor"), F.lit(step).alias("distance"))
-        require_none(nxt.where("asset_id = ancestor").select("asset_id"), "cycle")
-        frontier = nxt.join(reach, ["asset_id", "ancestor"], "left_anti").distinct()
+        nxt = frontier.join(edges.select(F.col("asset_id").alias("ancestor"), F.col("ancestor").alias("far")).hint("merge"), "ancestor").select("asset_id", F.col("far").alias("ancestor"), F.lit(step).alias("distance"))
+        frontier = checkpointed(nxt.join(reach.hint("merge"), ["asset_id", "ancestor"], "left_anti").distinct())
         if frontier.isEmpty():
             break
+        require_none(frontier.where("asset_id = ancestor").select("asset_id"), "cycle")
         reach = reach.union(frontier)
     return reach
