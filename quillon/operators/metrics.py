@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .contracts import MIXTURE, STATUSES, ContractError, require_none, require_unique
-from .ranges import before, numbered, ranged
+from .ranges import before, checkpointed, numbered, ranged
 
 
 def share_of(domain: Column, mixture: dict[str, float]) -> Column:
@@ -31,9 +31,10 @@ def weights(df: DataFrame, mixture: dict[str, float] = MIXTURE, by: Sequence[str
         require_unique(df, [*by, "record_id"])
         require_none(df.where(~F.col("domain").isin(*mixture)).select("record_id", "domain"), "domain outside the mixture")
         require_none(groups.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") < len(mixture)), "a domain is absent")
-    both = counts.join(groups, [*by, "domain"])
+    both = counts.join(F.broadcast(groups), [*by, "domain"])  # a row a domain
     weight = share_of(F.col("domain"), mixture) / F.col("_g") / F.col("_n")
-    return df.join(both.select(*by, "domain", "group_id", weight.alias("weight")), [*by, "domain", "group_id"])
+    # a row a group: merged, since a table of groups just below the threshold, broadcast in each of several joins, fills the driver
+    return df.join(both.select(*by, "domain", "group_id", weight.alias("weight")).hint("merge"), [*by, "domain", "group_id"])
 
 
 def assertion_metrics(df: DataFrame, mixture: dict[str, float] = MIXTURE, by: Sequence[str] = (), check: bool = True) -> DataFrame:
@@ -70,14 +71,17 @@ def risk_coverage(df: DataFrame, mixture: dict[str, float] = MIXTURE, by: Sequen
 def choose_thresholds(df: DataFrame, targets: Sequence[float] = (0.8,), by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """For each target the threshold whose coverage comes nearest, the largest of equally near ones; 1.000001 answers nothing.
 
-    df: score, eligible. Non-finite scores are an error, and so is an empty table.
+    df: score, eligible. Non-finite scores are an error, and so is an empty table. df is read once: sums by score and
+    eligibility are settled first, and all else comes from them.
     """
-    if df.isEmpty():
-        raise ContractError("no scores")
-    require_none(df.where(F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))).select("score"), "scores must be finite")
     w = F.col(weight) if weight else F.lit(1.0)
-    total = df.groupBy(*by).agg(F.sum(w).alias("_all"), F.sum(F.when(F.col("eligible"), w).otherwise(0.0)).alias("_most"))
-    steps = df.where("eligible").groupBy(*by, F.col("score").alias("threshold")).agg(F.sum(w).alias("_w"))
+    sums = checkpointed(df.groupBy(*by, F.col("score").alias("threshold"), F.coalesce("eligible", F.lit(False)).alias("_ok")).agg(F.sum(w).alias("_w")))
+    if sums.isEmpty():
+        raise ContractError("no scores")
+    score = F.col("threshold")
+    require_none(sums.where(score.isNull() | F.isnan(score) | (F.abs(score) == float("inf"))).select(score.alias("score")), "scores must be finite")
+    total = sums.groupBy(*by).agg(F.sum("_w").alias("_all"), F.sum(F.when(F.col("_ok"), F.col("_w")).otherwise(0.0)).alias("_most"))
+    steps = sums.where("_ok")
     steps = steps.withColumn("_c", F.sum("_w").over(Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)))
     none = total.select(*by, F.lit(1.000001).alias("threshold"), F.lit(0.0).alias("_c"))
     steps = steps.select(*by, "threshold", "_c").unionByName(none)
