@@ -127,10 +127,13 @@ def presence_states(records: DataFrame, focal_field: str = "subcategory") -> Dat
 
 def missing_images(annotations: DataFrame, images: DataFrame, key: str = "image_name", most: int = 20) -> tuple[DataFrame, DataFrame]:
     """(annotations with an image, ledger of those without); more than `most` distinct missing images are an error."""
-    ledger = unmatched(annotations, images, [key])
-    if ledger.select(key).distinct().limit(most + 1).count() > most:
+    absent = unmatched(annotations.select(key).distinct(), images, [key]).limit(most + 1).collect()
+    if len(absent) > most:
         raise ContractError(f"more than {most} images are missing")
-    return annotations.join(images.select(key), key, "left_semi"), ledger.withColumn("reason", F.lit("missing_image"))
+    # the missing names are few by contract, so annotations stay where they lie; a null name is a missing one
+    few = annotations.sparkSession.createDataFrame(absent, annotations.select(F.col(key).alias("_name")).schema)
+    same = F.col(key).eqNullSafe(F.col("_name"))
+    return annotations.join(F.broadcast(few), same, "left_anti"), annotations.join(F.broadcast(few), same, "left_semi").withColumn("reason", F.lit("missing_image"))
 
 
 def focal_annotations(annotations: DataFrame, records: DataFrame) -> DataFrame:
