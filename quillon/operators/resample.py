@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,10 +81,70 @@ def bootstrap_sums(df: DataFrame, by: Sequence[str], columns: Sequence[str], rep
         return pd.DataFrame(out, columns=[*by, *columns])
 
     found = rows.groupBy("_range").applyInPandas(drawn_sums, ", ".join([*keys, *arrays]))
+    return by_replicate(found, by, columns)
+
+
+def by_replicate(found: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(b, *by, *columns) added up from rows of (by, an array over the replicates for each column)."""
     zipped = F.posexplode(F.arrays_zip(*columns)).alias("b", "_x")
     return found.select(*by, zipped).select(F.col("b").cast("int").alias("b"), *by, *[F.col("_x")[c].alias(c) for c in columns]).groupBy("b", *by).agg(*[F.sum(c).alias(c) for c in columns])
 
 
+#: Groups whose hashed draws meet in one task, and draws that a task packs at once. They deal out work; results don't depend on them.
+HASHED, PACKED = 4096, 1 << 22
+
+
+def hashed_sums(df: DataFrame, by: Sequence[str], columns: Sequence[str], replicates: int = 1000, seed: int | None = None, width: int = HASHED) -> DataFrame:
+    """As bootstrap_sums, over the groups that hashed_draws takes.
+
+    A draw travels as the two bytes of its group's place in a range of `width` groups, packed with the other draws of its
+    replicate and range, so that what is shuffled is small beside a table of (b, group_id, m). A range's draws are
+    counted where its groups' sums lie.
+    """
+    by, columns = list(by), list(columns)
+    ids = checkpointed(numbered(df.select("group_id").distinct(), ["group_id"]))
+    n = ids.count()
+    rows = with_small(df.select("group_id", *by, *[F.col(c).cast("double").alias(c) for c in columns]), ids, ["group_id"]).withColumn("_range", F.floor(F.col("_r") / width)).drop("group_id")
+    b, i = F.floor(F.col("id") / n).cast("int"), F.col("id") % n
+    salt = [] if seed is None else [F.lit(str(seed))]
+    picks = df.sparkSession.range(replicates * n).select(b.alias("b"), drawn(F.lit(n), *salt, b, i).alias("_r"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            key, at = np.concatenate([k for k, _ in held]), np.concatenate([a for _, a in held])
+            order = np.argsort(key, kind="stable")
+            found, first = np.unique(key[order], return_index=True)
+            offsets = pa.py_buffer((2 * np.append(first, len(key))).astype(np.int32).tobytes())
+            bits = pa.Array.from_buffers(pa.binary(), len(found), [None, offsets, pa.py_buffer(at[order].tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(found // replicates, pa.int64()), pa.array(found % replicates, pa.int32()), bits], ["_range", "b", "at"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            r = batch.column("_r").to_numpy()
+            held.append((r // width * replicates + batch.column("b").to_numpy(), (r % width).astype("<u2")))
+            if sum(len(a) for _, a in held) >= PACKED:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+
+    def counted(groups: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros((replicates, width), np.int32)
+        for one, at in zip(draws["b"], draws["at"], strict=True):
+            counts[one] += np.bincount(np.frombuffer(at, "<u2"), minlength=width)
+        out = []
+        for key, part in groups.groupby(by, dropna=False, sort=False) if by else [((), groups)]:
+            sums = counts[:, (part["_r"] % width).to_numpy()] @ part[columns].to_numpy(np.float64)
+            out.append((*key, *[sums[:, k].tolist() for k in range(len(columns))]))
+        return pd.DataFrame(out, columns=[*by, *columns])
+
+    arrays = [f"{c} array<double>" for c in columns]
+    keys = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema] if by else []
+    draws = picks.mapInArrow(packed, "_range long, b int, at binary")
+    found = rows.groupBy("_range").cogroup(draws.groupBy("_range")).applyInPandas(counted, ", ".join([*keys, *arrays]))
+    return by_replicate(found, by, columns)
+
+
 def group_sums(df: DataFrame) -> DataFrame:
     """By method, seed, domain and group: records, answers and unsupported answers, all that a replicate needs."""
     answered = F.col("accepted") & F.col("informative")
@@ -125,14 +186,15 @@ def paired_differences(rates: DataFrame, a: str, b: str) -> DataFrame:
     return rates.where(F.col("method").isin(a, b)).groupBy("b").agg((F.sum(sign * F.col("unsupported_rate")) / n).alias("risk"), (F.sum(sign * F.col("coverage")) / n).alias("coverage"), F.count_if(F.col("unsupported_rate").isNull()).alias("_x"), F.count("*").alias("_c"), n.alias("_s")).where("_x = 0 and _c = 2 * _s").select("b", "risk", "coverage")
 
 
-def paired_bootstrap(df: DataFrame, a: str = "M7", b: str = "M3", mixture: dict[str, float] = MIXTURE, replicates: int = 1000, seed: int = 0, margin: float = 0.05, multiplicities: DataFrame | None = None) -> DataFrame:
-    """One row: point differences, 95 % intervals (null with too few valid replicates), success."""
+def paired_bootstrap(df: DataFrame, a: str = "M7", b: str = "M3", mixture: dict[str, float] = MIXTURE, replicates: int = 1000, seed: int = 0, margin: float = 0.05, multiplicities: DataFrame | None = None, hashed: bool = False) -> DataFrame:
+    """One row: point differences, 95 % intervals (null with too few valid replicates), success. hashed: groups are drawn as hashed_draws draws them without a seed."""
     validate_paired(df, a, b)
     sums = group_sums(df.where(F.col("method").isin(a, b))).persist()
     whole = sums.select("group_id").distinct().select(F.lit(-1).alias("b"), "group_id", F.lit(1).alias("m"))
     if multiplicities is None:
         shares = sums.select("group_id", "method", "seed", "domain", (F.col("a") / F.col("n")).alias("a"), (F.col("u") / F.col("n")).alias("u"), F.lit(1.0).alias("m"))
-        rates = rates_of(bootstrap_sums(shares, ["method", "seed", "domain"], ["a", "u", "m"], replicates, seed), mixture).unionByName(replicate_rates(sums, whole, mixture))
+        sums_of = hashed_sums(shares, ["method", "seed", "domain"], ["a", "u", "m"], replicates) if hashed else bootstrap_sums(shares, ["method", "seed", "domain"], ["a", "u", "m"], replicates, seed)
+        rates = rates_of(sums_of, mixture).unionByName(replicate_rates(sums, whole, mixture))
     else:
         rates = replicate_rates(sums, multiplicities.unionByName(whole), mixture)
     diff = paired_differences(rates, a, b)

@@ -294,7 +294,7 @@ _PAIR_DRAWS = _DRAWS.replace("predictions_v", "candidates_v")
  round(quantile_cont(cov, 0.025) filter (b >= 0), 6) as coverage_lo, round(quantile_cont(cov, 0.975) filter (b >= 0), 6) as coverage_hi, (quantile_cont(risk, 0.975) filter (b >= 0)) < 0 and (quantile_cont(cov, 0.025) filter (b >= 0)) > -0.05 as success from df""")
 def paired_bootstrap(spark, d):
     rows = V.candidates(spark, d)
-    return rounded(resample.paired_bootstrap(rows, "B", "A", V.SHARES, 1000, multiplicities=resample.hashed_draws(rows, 1000)))
+    return rounded(resample.paired_bootstrap(rows, "B", "A", V.SHARES, 1000, hashed=True))
 
 
 @query("with " + V.PREDICTIONS + """, l(t) as (select -4 + i * 0.05::double from range(161) x(i)), c as (select t, sum((greatest(z * exp(-t), 0) + ln(1 + exp(-abs(z * exp(-t)))) - y * z * exp(-t)) * mask) / sum(mask) as loss from predictions_v, l group by t),
