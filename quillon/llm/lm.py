@@ -9,11 +9,12 @@ that other batches have too. Slices of the hash space follow one another, so dis
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_of
@@ -23,6 +24,8 @@ from .text import chunks, mix, word_hashes, words
 BACKOFF = 0.4
 #: Parts of the hash space that are counted, and of the batches that are scored, one after the other.
 SLICES = 4
+#: Listed n-grams of a slice in one partition, about: a table of counts in memory holds no more, however large the corpus.
+GRAMS = 1 << 20
 #: Words from which on a batch is full; it ends with a document.
 BATCH = 500_000
 _U = np.uint64
@@ -115,6 +118,27 @@ class Batch:
         return np.bincount(self.row, np.where(left > 0, pair, back), len(length))
 
 
+#: Batches that go to Python at once: Spark counts rows, and one of these is a few megabytes.
+TOGETHER = 4
+
+
+@contextmanager
+def few_rows(spark: SparkSession, rows: int = TOGETHER) -> Iterator[None]:
+    """What is executed within sends so many rows to Python at once, in place of all that a task reads."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def gram_parts(words_in_all: int, slices: int, least: int) -> int:
+    """Partitions of a slice's n-grams: a word is listed as one word and one pair at most. At least as many as Spark would take."""
+    return max(1, least, -(-2 * words_in_all // (slices * GRAMS)))
+
+
 def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, scratch: Scratch | None = None, slices: int = SLICES) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score: a row for each row of docs.
 
@@ -169,13 +193,14 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, scratch: Scratch |
     found = None
     for turn in range(slices):
         grams = held.mapInArrow(listed(turn), "batch long, g long, c int")
-        parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        parts = gram_parts(total, slices, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         grams = grams.repartition(parts, "g")  # the count table and the join read this one exchange
         # all columns of the exchange are used on both sides, so that it is read twice and not made twice;
         # keys are hashes, so counts fall evenly over the partitions, and a table of them in memory spares sorting all n-grams
         counted = F.when(F.col("c") > 0, F.col("c"))
         counts = grams.groupBy("g").agg(F.sum(counted).alias("n"), F.sum(F.when(F.col("c") < 0, -F.col("c")).otherwise(0)).alias("ends"), F.count(F.when(F.col("c") > 0, F.col("batch"))).alias("_in")).where("_in > 1").select("g", "n", "ends")
-        shared = scratch.save(grams.join(counts.hint("shuffle_hash"), "g").select("batch", "g", (F.col("n") - F.col("c")).alias("others"), "ends"), f"shared{turn}")
+        with few_rows(docs.sparkSession):
+            shared = scratch.save(grams.join(counts.hint("shuffle_hash"), "g").select("batch", "g", (F.col("n") - F.col("c")).alias("others"), "ends"), f"shared{turn}")
         found = shared if found is None else found.unionByName(shared)
 
     def score(batch: pa.Table, counts: pa.Table) -> pa.Table:
