@@ -4,7 +4,8 @@ A suffix array by doubling ranks positions by their first h bytes, then by pairs
 position's rank is unique or h is past the threshold. Here a rank is a 64-bit name, Spark deals out and sorts the
 pairs, and a round ranks, instead of every position, one for each window of `least` bytes that may still be repeated:
 the one whose name is smallest. Equal windows hold the same one at the same place, so a window whose position has a
-unique rank isn't repeated, and leaves. The last round's length is that of the windows, which then stand for themselves.
+unique rank isn't repeated, and leaves. The last round's length is that of the windows, which then stand for themselves,
+each a row; that is the largest table, so its ranks are counted and joined in slices, whose shuffle files go one after another.
 
 Positions with equal surroundings (all windows that they stand for) are repeats as a whole: their windows are settled at
 once, and of each kind of surroundings one goes on, as a partner for the windows of other kinds.
@@ -27,6 +28,8 @@ from .text import between, chunks, mix, powers, sums
 
 #: Places that are told apart within a stretch of bytes, in the low bits of the names.
 PLACE = np.uint64((1 << 21) - 1)
+#: Parts, by hash of the rank, in which a round's ranks are counted and joined to its rows.
+SLICES = 4
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -148,11 +151,21 @@ def remove_repeats(docs: DataFrame, least: int = 400, scratch: Scratch | None =
 
         return run
 
+    def shared_rows(found: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+        """The rows (some of found) whose rank is shared within found, slice by slice; by one plan, whatever the size."""
+        rank, out = ["low", "high"], None
+        for i in range(SLICES):
+            mine = F.pmod(F.xxhash64(*rank), F.lit(SLICES)) == i
+            shared = scratch.save(found.where(mine).groupBy(*rank).agg(F.count("*").alias("n")).where("n > 1"), f"shared-{name}")
+            part = scratch.save(join_spread(rows.where(mine), shared, rank, "n", few=0).drop("n"), f"live-{name}/{i}")
+            scratch.drop(f"shared-{name}")
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def settle(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(rows of shared rank, those that are repeats as a whole, a row for each kind where a rank has several)."""
         rank = ["low", "high"]
-        shared = scratch.save(found.groupBy(*rank).agg(F.count("*").alias("n")).where("n > 1"), f"shared-{name}")
-        live = scratch.save(join_spread(found, shared, rank, "n").drop("n"), f"live-{name}")
+        live = shared_rows(found, found, name)
         kinds = live.where("(run & 4294967295) > shiftright(run, 32)").groupBy(*rank, "around")
         kinds = scratch.save(kinds.agg(F.count("*").alias("n"), F.min("_k").alias("k"), F.min_by("run", "_k").alias("run"), F.min("alone").alias("alone")), f"kinds-{name}")
         twice = scratch.save(kinds.where("n > 1").select(*rank, "around", "n"), f"twice-{name}")
@@ -167,18 +180,23 @@ def remove_repeats(docs: DataFrame, least: int = 400, scratch: Scratch | None =
     found = scratch.save(docs.select("_k", "text").mapInArrow(begin, FOUND), "found-0")
     live, spans, fine = settle(found, "0")
     again = scratch.save(live.select("_k").distinct(), "again")
-    scratch.drop("found-0", "live-0")
+    scratch.drop("found-0")
     texts = scratch.save(join_checked(docs.select("_k", "text"), again, ["_k"]), "texts")
     length, turn = passage // 2, 0
     while length < least:
         turn += 1
         step = min(length, least - length)
         left = grouped(fine, "run", "alone")
-        found = scratch.save(texts.join(left, "_k").mapInArrow(doubled(length + step, step), FOUND), f"found-{turn}")
-        _, whole, fine = settle(found, str(turn))
-        spans = spans.unionByName(whole)
-        scratch.drop(f"found-{turn}", f"live-{turn}")
+        found = texts.join(left, "_k").mapInArrow(doubled(length + step, step), FOUND)
         length += step
+        if length < least:
+            found = scratch.save(found, f"found-{turn}")
+            _, whole, fine = settle(found, str(turn))
+        else:  # a row is one window, and its rank all that surrounds it: whatever is shared is a repeat as a whole
+            found = scratch.save(found.drop("around"), f"found-{turn}")
+            whole = shared_rows(found, found.where("alone"), str(turn)).select("_k", "run")
+        spans = spans.unionByName(whole)
+        scratch.drop(f"found-{turn}", *[f"{t}-{turn - 1}" for t in ("live", "kinds", "twice", "several")])
     spans = scratch.save(grouped(spans, "run"), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

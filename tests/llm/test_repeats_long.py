@@ -23,3 +23,25 @@ def test_repeats_of_texts_longer_than_places(spark, monkeypatch):
     df = spark.createDataFrame([(1, long), (2, short)], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(df, least).collect()}
     assert got == {1: (450, 1, hashlib.sha256((texts[0] + texts[1]).encode()).hexdigest()), 2: (450, 1, hashlib.sha256(texts[1][:300].encode()).hexdigest())}
+
+
+def test_shared_windows_are_joined_in_slices(spark, monkeypatch):
+    """The rows of the last round, one a window, were counted and joined at once, and once more by kind, with all their shuffle files on disk."""
+    draw = np.random.Generator(np.random.PCG64(6))
+    letters = lambda n: "".join(map(chr, draw.integers(97, 123, n)))
+    passage, least = letters(600), 400
+    df = spark.createDataFrame([(i, letters(300 + i) + passage[i : 590 - i] + letters(250)) for i in range(40)], "doc_id long, text string")
+    saved, save = {}, repeats.Scratch.save
+
+    def noted(scratch, rows, name, **options):
+        out = save(scratch, rows, name, **options)
+        saved[name] = out.count()
+        return out
+
+    monkeypatch.setattr(repeats.Scratch, "save", noted)
+    got = sorted(map(tuple, repeats.remove_repeats(df, least).collect()))
+    parts = [saved[f"live-2/{i}"] for i in range(repeats.SLICES)]
+    assert sum(parts) > 1000 and max(parts) < 0.5 * sum(parts) and "kinds-2" not in saved
+    assert [r[2] > 0 for r in got] == [True] * 40
+    monkeypatch.setattr(repeats, "SLICES", 1)
+    assert sorted(map(tuple, repeats.remove_repeats(df, least).collect())) == got
