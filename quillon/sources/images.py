@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ def cubic(x: np.ndarray) -> np.ndarray:
     return np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0.0))
 
 
+@lru_cache(256)
 def reduction(size: int, to: int) -> np.ndarray:
     """Weights (to, size) that reduce a line of pixels, as integers of 2 ** BITS; the kernel widens with the reduction."""
     ratio = size / to
@@ -55,7 +57,7 @@ def difference_hash(grey: np.ndarray) -> str:
     """16 hex digits: bit 8 y + x says whether pixel (x + 1, y) of the reduced picture is lighter than (x, y)."""
     small = reduced(reduced(grey.astype(np.float64), ACROSS).T, DOWN).T
     bits = (small[:, 1:] > small[:, :-1]).reshape(-1)
-    return f"{sum(1 << i for i, b in enumerate(bits.tolist()) if b):016x}"
+    return f"{int.from_bytes(np.packbits(bits, bitorder='little').tobytes(), 'little'):016x}"
 
 
 def grey_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -131,12 +133,14 @@ def scan_images(spark: SparkSession, root: str, pattern: str = PATTERN) -> tuple
                 found.append([difference_hash(turned(grey, t)) for t in range(1, 9)] if ok else None)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("image_path", "height", "width")), pa.array(found, pa.list_(pa.string()))], ["image_path", "height", "width", "hashes"])
 
-    files = spark.read.format("binaryFile").options(**options).load(root).select(path, F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), "content")
+    listed = spark.read.format("binaryFile").options(**options).load(root)
+    name = F.url_decode(F.element_at(F.split("image_path", "/"), -1)).alias("image_name")
+    require_unique(listed.select(path).select(name), ["image_name"], "images")  # by names alone: no file is opened for it
+    files = listed.select(path, F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), "content")
     files = files.mapInArrow(oriented, "image_path string, sha256 string, bytes long, turn int")
     pixels = spark.read.format("image").options(**options).load(root).select(path, "image.height", "image.width", "image.nChannels", "image.data")
     pixels = pixels.mapInArrow(hashed, "image_path string, height int, width int, hashes array<string>")
-    name = F.url_decode(F.element_at(F.split("image_path", "/"), -1)).alias("image_name")
-    rows = require_unique(files.join(pixels, "image_path", "left").select(name, "*"), ["image_name"], "images")
+    rows = files.join(pixels, "image_path", "left").select(name, "*")
     swapped = F.col("turn") >= 5
     good = rows.where("hashes is not null").select(
         "image_name", "image_path", "sha256", "bytes", F.element_at("hashes", F.col("turn")).alias("dhash"), F.when(swapped, F.col("height")).otherwise(F.col("width")).alias("width"), F.when(swapped, F.col("width")).otherwise(F.col("height")).alias("height"),
@@ -161,4 +165,5 @@ def write_images(df: DataFrame, root: str) -> DataFrame:
             files = [png(np.array(p.as_py(), np.uint8).reshape(-1, w.as_py())) for w, p in zip(b.column("width"), b.column("pixels"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(files, pa.binary())], ["name", "content"])
 
-    return write_files(df.select("name", "width", "pixels").mapInArrow(encoded, "name string, content binary"), root)
+    rows = df.select("name", "width", "pixels").repartition(4 * df.sparkSession.sparkContext.defaultParallelism)  # a file is work, however few bytes its row has
+    return write_files(rows.mapInArrow(encoded, "name string, content binary"), root)

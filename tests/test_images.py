@@ -88,3 +88,16 @@ def test_orientations_of_jpeg_heads():
         assert images.orientation_of(b"\xff\xd8" + other + b"\xff\xe1" + struct.pack(">H", len(tags) + 2) + tags + b"\xff\xda") == turn
     for odd in (b"", b"\xff\xd8", b"\xff\xd8\xff\xe1\0\x08Exif\0\0", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff\xe1\0\x10Exif\0\0II*\0\xff\xff\xff\xff", b"GIF89a"):
         assert images.orientation_of(odd) == 1
+
+
+def test_pictures_are_decoded_once_and_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Unique names were asked of the joined scans, which read and hashed all files once more; one task wrote all pictures."""
+    rows = spark.createDataFrame([(f"{i}.png", 9, list(range(72))) for i in range(40)], "name string, width int, pixels array<int>").coalesce(1)
+    written = images.write_images(rows, f"file://{tmp_path}")
+    assert "Exchange" in written._jdf.queryExecution().executedPlan().toString()
+    assert written.count() == 40
+    asked, unique = [], images.require_unique
+    monkeypatch.setattr(images, "require_unique", lambda df, *a: asked.append(df._jdf.queryExecution().executedPlan().toString()) or unique(df, *a))
+    good, _ = images.scan_images(spark, f"file://{tmp_path}")
+    assert len(asked) == 1 and "MapInArrow" not in asked[0] and "content" not in asked[0]
+    assert {r["dhash"] for r in good.collect()} == {"f" * 16} and images.reduction(20, 9) is images.reduction(20, 9)
