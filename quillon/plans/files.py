@@ -78,12 +78,13 @@ def tables_of_arrays(spark, d):
 def labelled_files(spark, d):
     """A file for each supplier, with one of two separators, the columns in one of two orders, and line ends within quotes."""
     mark = F.when(F.col("l_suppkey") % 2 == 0, ",").otherwise(";")
-    note = F.concat(F.lit('"'), "l_returnflag", F.lit('""\n,;'), "l_linestatus", F.lit('"'))
     turned = F.col("l_suppkey") % 3 == 0
     pair = lambda a, b: F.when(turned, F.concat(b, mark, a)).otherwise(F.concat(a, mark, b))
-    rows = V.read(spark, d, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_returnflag", "l_linestatus", pair(F.col("l_orderkey").cast("string"), note).alias("line")).alias("r"), pair(F.lit("id"), F.lit("note")).alias("head"))
-    files = rows.groupBy("l_suppkey", "head").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["line"]), "\n").alias("body"))
-    files = files.select(F.concat("l_suppkey", F.lit("_labeled_data.csv")).alias("name"), F.concat("head", F.lit("\n"), "body", F.lit("\n")).alias("content"))
+    note = lambda r: F.concat(F.lit('"'), r["l_returnflag"], F.lit('""\n,;'), r["l_linestatus"], F.lit('"'))
+    rows = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_returnflag", "l_linestatus")))
+    files = V.read(spark, d, "lineitem").groupBy("l_suppkey").agg(rows.alias("r"))
+    body = F.array_join(F.transform("r", lambda r: pair(r["l_orderkey"].cast("string"), note(r))), "\n")
+    files = files.select(F.concat("l_suppkey", F.lit("_labeled_data.csv")).alias("name"), F.concat(pair(F.lit("id"), F.lit("note")), F.lit("\n"), body, F.lit("\n")).alias("content"))
 
     def work(folder):
         writers.write_files(files, folder).agg(F.sum("bytes")).collect()

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
+import sys
+from collections.abc import Iterator
+from itertools import chain, groupby, islice
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 
 def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """CSV with every column a string, empty as ''. The header alone gives the schema."""
@@ -19,43 +30,91 @@ def read_typed_table(spark: SparkSession, path: str, schema: str | None = None)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
+#: Bytes up to which a labelled file travels as one value; the lines of a longer one are streamed.
+WHOLE = 8 << 20
+#: Stands for a carriage return within a field while it is parsed: half of a surrogate pair, which no decoded text holds.
+_RETURN = "\udc0d"
+
+
 def read_labelled(spark: SparkSession, root: str, sep: str | None, columns: list[str]) -> DataFrame:
     """The columns of all *_labeled_data.csv below root, with source_file and row_number (0-based, by file).
 
     Without sep each file has its own: the one of , ; tab and | that its header holds most often. Columns are found by
     their names in each file's header, others are left out, and a missing one is an error. Quoted fields may hold separators,
-    quotes and line ends. A file is read by one task, in its order; only headers reach the driver, a row a file.
+    quotes and line ends; the first line end of a file is its kind. A file is read by one task, in its order, as Python's csv
+    module has it. The folder is listed once (twice if a file is longer than WHOLE) and no file is named to the driver: tasks look at
+    headers first, and what reaches the driver is one that lacks a column.
     """
     from ..operators.contracts import ContractError
 
     marks = [sep] if sep else [",", ";", "\t", "|"]
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_labeled_data.csv").text(root)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("p"), F.monotonically_increasing_id().alias("i")).where(F.trim("value") != "")
-    heads = [(r["p"], r["head"]) for r in lines.groupBy("p").agg(F.min_by("value", "i").alias("head")).collect()]
-    if not heads:
-        return spark.createDataFrame([], T.StructType([*[T.StructField(n, T.StringType()) for n in [*columns, "source_file"]], T.StructField("row_number", T.LongType())]))
-    alike: dict[tuple[str, str], list[str]] = {}
-    for path, head in sorted(heads):
-        alike.setdefault((max(marks, key=lambda m: (head.count(m), -marks.index(m))), head), []).append(path)
-    out = None
-    for (mark, head), paths in alike.items():
-        names = [n.strip().strip('"') for n in head.lstrip("\ufeff").split(mark)]
-        if missing := sorted(set(columns) - set(names)):
-            raise ContractError(f"{paths[0]} lacks {missing}")
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        rows = spark.read.schema(schema).options(header=True, sep=mark, multiLine=True, escape='"').csv([plain_path(p) for p in paths])
-        rows = rows.select(*columns, F.col("_metadata.file_path").alias("_p"), F.monotonically_increasing_id().alias("_i"))
-        first = rows.groupBy("_p").agg(F.min("_i").alias("_first"))  # a row a file; a file's rows follow each other
-        rows = rows.join(F.broadcast(first), "_p").select(*columns, F.url_decode(F.element_at(F.split("_p", "/"), -1)).alias("source_file"), (F.col("_i") - F.col("_first")).alias("row_number"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.na.fill("")
-
-
-def plain_path(path: str) -> str:
-    """The plain path of a file from its address as Spark states it."""
-    from urllib.parse import unquote
-
-    return unquote(path)
+    below = {"recursiveFileLookup": True, "pathGlobFilter": "*_labeled_data.csv"}
+    size = F.col("_metadata.file_size")
+    files = spark.read.format("binaryFile").options(**below).load(root)
+    tasks = 16 * spark.sparkContext.defaultParallelism  # Spark deals out 32 small files a task; tasks stream, so many don't hold more
+    short = files.where(size <= WHOLE).coalesce(tasks).select("path", F.col("content").cast("string").alias("text"))
+    heads = short.select("path", F.regexp_extract("text", r"\A[ \r\n]*([^\r\n]*)", 1).alias("head"))
+    long = None
+    if not files.where(size > WHOLE).select("path").isEmpty():
+        lines = spark.read.options(**below, lineSep="\n").text(root).where(size > WHOLE)
+        lines = lines.select(F.col("_metadata.file_path").alias("path"), F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("name"), F.col("value").alias("text"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i")).alias("place"))
+        first = lines.where(F.trim(F.translate("text", "\r", "")) != "").groupBy("path").agg(F.min_by("text", "place").alias("text"))
+        heads = heads.unionByName(first.select("path", F.regexp_extract("text", r"\A[ \r]*([^\r]*)", 1).alias("head")))
+        long = lines.repartition("path").sortWithinPartitions("path", "place").select("path", "name", "text")
+
+    def lacking(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [(p, sorted(set(columns) - set(header(h, marks)[1]))) for p, h in zip(b.column("path").to_pylist(), b.column("head").to_pylist(), strict=True) if h]
+            found = [(p, str(missing)) for p, missing in found if missing]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in ([p for p, _ in found], [m for _, m in found])], ["path", "missing"])
+
+    bad = heads.mapInArrow(lacking, "path string, missing string").agg(F.min(F.struct("path", "missing")).alias("f")).first()["f"]
+    if bad:
+        raise ContractError(f"{bad['path']} lacks {bad['missing']}")
+
+    def parsed(batches):
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("path", "name", "text")), strict=True))
+        for (_, name), pieces in groupby(rows, lambda r: r[:2]):
+            yield from labelled_rows((t + "\n" for _, _, t in pieces), name, marks, columns)
+
+    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in [*columns, "source_file"]], T.StructField("row_number", T.LongType())])
+    out = short.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "text").mapInArrow(parsed, schema)
+    return out if long is None else out.unionByName(long.mapInArrow(parsed, schema))
+
+
+def header(head: str, marks: list[str]) -> tuple[str, list[str]]:
+    """The separator that a header's line holds most often, and the names in it."""
+    mark = max(marks, key=lambda m: (head.count(m), -marks.index(m)))
+    return mark, [n.strip().strip('"') for n in head.lstrip("\ufeff").split(mark)]
+
+
+def labelled_rows(pieces: Iterator[str], name: str, marks: list[str], columns: list[str], rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """The columns, source_file and row_number of one file, given as pieces that end with a line."""
+    import pyarrow as pa
+
+    csv.field_size_limit(sys.maxsize)
+
+    def plain_lines():
+        end = None
+        for piece in pieces:
+            end = end or re.search(r"\r\n?|\n", piece)[0]
+            yield from io.StringIO(piece.replace(end, "\n").replace("\r", _RETURN), newline="\n")
+
+    lines = plain_lines()
+    head = next((x for x in lines if x.strip(" \n" + _RETURN)), None)
+    if head is None:
+        return
+    mark, names = header(head.rstrip("\n"), marks)
+    at = [names.index(c) for c in columns]
+    records = filter(None, csv.reader(chain([head], lines), delimiter=mark))
+    next(records)
+    n = 0
+    while chunk := list(islice(records, rows)):
+        fields = [pa.array([r[i].replace(_RETURN, "\r") if i < len(r) else "" for r in chunk], pa.string()) for i in at]
+        yield pa.RecordBatch.from_arrays([*fields, pa.array([name] * len(chunk), pa.string()), pa.array(range(n, n + len(chunk)), pa.int64())], [*columns, "source_file", "row_number"])
+        n += len(chunk)
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
