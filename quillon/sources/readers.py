@@ -52,15 +52,15 @@ def read_labelled(spark: SparkSession, root: str, sep: str | None, columns: list
     size = F.col("_metadata.file_size")
     files = spark.read.format("binaryFile").options(**below).load(root)
     tasks = 16 * spark.sparkContext.defaultParallelism  # Spark deals out 32 small files a task; tasks stream, so many don't hold more
-    short = files.where(size <= WHOLE).coalesce(tasks).select("path", F.col("content").cast("string").alias("text"))
-    heads = short.select("path", F.regexp_extract("text", r"\A[ \r\n]*([^\r\n]*)", 1).alias("head"))
+    short = files.where(size <= WHOLE).coalesce(tasks).select("path", F.col("content").alias("text"))
+    heads = short.select("path", F.regexp_extract(F.col("text").cast("string"), r"\A[ \r\n]*([^\r\n]*)", 1).alias("head"))
     long = None
     if not files.where(size > WHOLE).select("path").isEmpty():
         lines = spark.read.options(**below, lineSep="\n").text(root).where(size > WHOLE)
         lines = lines.select(F.col("_metadata.file_path").alias("path"), F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("name"), F.col("value").alias("text"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i")).alias("place"))
         first = lines.where(F.trim(F.translate("text", "\r", "")) != "").groupBy("path").agg(F.min_by("text", "place").alias("text"))
         heads = heads.unionByName(first.select("path", F.regexp_extract("text", r"\A[ \r]*([^\r]*)", 1).alias("head")))
-        long = lines.repartition("path").sortWithinPartitions("path", "place").select("path", "name", "text")
+        long = lines.repartition("path").sortWithinPartitions("path", "place").select("path", "name", F.concat("text", F.lit("\n")).cast("binary").alias("text"))
 
     def lacking(batches):
         import pyarrow as pa
@@ -77,7 +77,7 @@ def read_labelled(spark: SparkSession, root: str, sep: str | None, columns: list
     def parsed(batches):
         rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("path", "name", "text")), strict=True))
         for (_, name), pieces in groupby(rows, lambda r: r[:2]):
-            yield from labelled_rows((t + "\n" for _, _, t in pieces), name, marks, columns)
+            yield from labelled_rows((t.decode(errors="replace") for _, _, t in pieces), name, marks, columns)
 
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in [*columns, "source_file"]], T.StructField("row_number", T.LongType())])
     out = short.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "text").mapInArrow(parsed, schema)
@@ -91,7 +91,7 @@ def header(head: str, marks: list[str]) -> tuple[str, list[str]]:
 
 
 def labelled_rows(pieces: Iterator[str], name: str, marks: list[str], columns: list[str], rows: int = 8192) -> Iterator[pa.RecordBatch]:
-    """The columns, source_file and row_number of one file, given as pieces that end with a line."""
+    """The columns, source_file and row_number of one file, given whole or as lines."""
     import pyarrow as pa
 
     csv.field_size_limit(sys.maxsize)
@@ -99,7 +99,7 @@ def labelled_rows(pieces: Iterator[str], name: str, marks: list[str], columns: l
     def plain_lines():
         end = None
         for piece in pieces:
-            end = end or re.search(r"\r\n?|\n", piece)[0]
+            end = end or (re.search(r"\r\n?|\n", piece) or ["\n"])[0]
             yield from io.StringIO(piece.replace(end, "\n").replace("\r", _RETURN), newline="\n")
 
     lines = plain_lines()

@@ -36,6 +36,9 @@ ODD = {
     "head": ("id;note\n", []),
     "spaces": ("\n   \n\n", []),
     "nothing": ("", []),
+    "nul": ("id;note\n1;a\0b\n", [("1", "a\0b")]),
+    "bytes": (b"id;note;\xff\n1;a\xffb\xc3\n", [("1", "a\ufffdb\ufffd")]),
+    "open": ('id;note\n1;"x\n2;y\n', [("1", "x\n2;y\n")]),
 }
 
 
@@ -47,7 +50,7 @@ def test_odd_labelled_files(spark, tmp_path, monkeypatch, whole):
     for folder in (tmp_path / "in", tmp_path / "in" / "below [2]"):
         folder.mkdir()
         for name, (content, rows) in ODD.items():
-            (folder / f"{name}_labeled_data.csv").write_bytes(content.encode())
+            (folder / f"{name}_labeled_data.csv").write_bytes(content if isinstance(content, bytes) else content.encode())
             want += [(*r, f"{name}_labeled_data.csv", k) for k, r in enumerate(rows)]
     (tmp_path / "in" / "other.csv").write_text("id;note\n9;9\n")
     root = (tmp_path / "in").as_uri()
