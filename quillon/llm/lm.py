@@ -118,7 +118,8 @@ class Batch:
         return np.bincount(self.row, np.where(left > 0, pair, back), len(length))
 
 
-#: Batches that go to Python at once: Spark counts rows, and one of these is a few megabytes.
+#: Batches of one file, and those that go to Python at once: Spark's columnar reader takes up to 4,096 rows of a file into memory, with
+#: levels beside the values, and Arrow up to 10,000; here a row is a few megabytes.
 TOGETHER = 4
 
 
@@ -171,9 +172,9 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, scratch: Scratch |
                 name, row, hashed, counts = name + 1, to, [], []
 
     schema = "batch long, ids array<long>, keys array<long>, first array<int>, word array<long>, codes array<int>"
-    held = scratch.save(rows.mapInArrow(read, schema), "batches")
+    held = scratch.save(rows.mapInArrow(read, schema), "batches", maxRecordsPerFile=str(TOGETHER))
     size = held.select(F.size("codes").cast("long").alias("n"), F.aggregate(F.sequence(F.lit(1), F.size("first") - 1), F.lit(0).cast("long"), lambda a, i: a + F.when(F.get("first", i) > F.get("first", i - 1), 1).otherwise(0)).alias("o"))
-    size = size.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("o"), F.lit(0)).alias("o")).first()
+    size = size.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("o"), F.lit(0)).alias("o"), F.count("*").alias("held")).first()
     total, opened = size["n"], size["o"]
 
     def arrays(table: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
@@ -215,10 +216,10 @@ def backoff_scores(docs: DataFrame, backoff: float = BACKOFF, scratch: Scratch |
                     column += x
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "n_words", "log_score"])
 
-    scored = None
+    scored, parts = None, max(1, -(-size["held"] // slices))  # about a batch a task, however large the corpus
     for turn in range(slices):
         mine = F.pmod(F.xxhash64("batch"), F.lit(slices)) == turn
-        part = held.where(mine).groupBy("batch").cogroup(found.where(mine).groupBy("batch")).applyInArrow(score, "doc_id long, n_words long, log_score double")
+        part = held.where(mine).repartition(parts, "batch").groupBy("batch").cogroup(found.where(mine).repartition(parts, "batch").groupBy("batch")).applyInArrow(score, "doc_id long, n_words long, log_score double")
         part = scratch.save(part, f"scores{turn}")
         scored = part if scored is None else scored.unionByName(part)
     return scored.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
