@@ -127,16 +127,31 @@ def mapped_ingredients(spark, d):
     return readers.map_ingredients(parts, walk).groupBy("ingredient_name", "target", "mapped").agg(F.count("*").alias("n"))
 
 
-_PIXEL = "least(greatest(floor(128 + 400 * embedding[{} % 64 + 1]::double), 0), 255)"
+def _reduced(rows: str, line: str, place: str, to: int) -> str:
+    """Lines of levels (vec_id, n, `line`, `place`, level), each reduced to `to` levels: bicubic, by integer weights of 2 ** 22."""
+    return f"""select vec_id, r.{line}, k.i as {place}, greatest(least((sum(k.weight * level) + 2097152) // 4194304, 255), 0)::bigint as level
+ from {rows} r join weights k on k.wanted = {to} and k.n = r.n and k.x = r.{place} group by vec_id, r.{line}, k.i"""
 
 
-@query(f"""with bits as (select vec_id, unnest(range(64)) as i, embedding from embeddings), b as (select vec_id, i, ({_PIXEL.format("(i // 8 * 9 + i % 8 + 1)")} > {_PIXEL.format("(i // 8 * 9 + i % 8)")})::int as bit from bits)
- select 'v' || vec_id || '.png' as image_name, string_agg(printf('%x', digit), '' order by place desc) as dhash, 9::bigint as width, 8::bigint as height from (select vec_id, i // 4 as place, sum(bit * (1 << (i % 4)::int))::int as digit from b group by all) group by vec_id""")
+# Pictures are of 9, 12, 15 or 18 by 8, 13 or 18 pixels, the levels of a vector's components by lines, again from the first after the last.
+_WEIGHTS = """sizes as (select 9 + 3 * unnest(range(4)) as n, 9 as wanted union all select 8 + 5 * unnest(range(3)), 8),
+ places as (select n, wanted, i, (i + 0.5::double) * (n::double / wanted) as center, greatest(n::double / wanted, 1) as wide from (select n, wanted, unnest(range(wanted)) as i from sizes)),
+ taps as (select n, wanted, i, x, abs((x - center + 0.5::double) / wide) as t from (select *, unnest(range(greatest(0, trunc(center - 2 * wide + 0.5::double))::bigint, least(n, trunc(center + 2 * wide + 0.5::double))::bigint)) as x from places)),
+ kernel as (select n, wanted, i, x, case when t < 1 then (1.5 * t - 2.5) * t * t + 1 when t < 2 then ((-0.5 * t + 2.5) * t - 4) * t + 2 else 0 end as w from taps),
+ weights as (select n, wanted, i, x, trunc(share * 4194304 + case when share < 0 then -0.5::double else 0.5::double end)::bigint as weight from (select *, w / sum(w) over (partition by n, wanted, i) as share from kernel))"""
+
+
+@query(f"""with {_WEIGHTS}, v as (select vec_id, embedding, 9 + 3 * ((vec_id % 4 + 4) % 4) as width, 8 + 5 * ((vec_id % 3 + 3) % 3) as height from embeddings),
+ pixels as (select vec_id, width as n, p // width as y, p % width as x, least(greatest(floor(128 + 400 * embedding[p % 64 + 1]::double), 0), 255)::bigint as level from (select *, unnest(range(width * height)) as p from v)),
+ narrow as (select vec_id, height as n, y, x, level from ({_reduced("pixels", "y", "x", 9)}) join v using (vec_id)), small as ({_reduced("narrow", "x", "y", 8)}),
+ bits as (select vec_id, x, y, (lead(level) over (partition by vec_id, y order by x) > level)::int as bit from small), b as (select vec_id, (8 * y + x) // 4 as place, sum(bit * (1 << (x % 4)::int))::int as digit from bits where x < 8 group by all)
+ select 'v' || vec_id || '.png' as image_name, string_agg(printf('%x', digit), '' order by place desc) as dhash, any_value(width)::bigint as width, any_value(height)::bigint as height from b join v using (vec_id) group by vec_id""")
 def image_hashes(spark, d):
-    """A grey picture of 9 x 8 pixels for each vector, written as PNG, decoded and hashed; one file in ten is of twice the size."""
+    """A grey picture for each vector, of one of twelve sizes, written as PNG, decoded, reduced and hashed."""
     x = lambda i: F.get("embedding", i % 64).cast("double")
-    level = lambda i: F.least(F.greatest(F.floor(128 + 400 * x(i)), F.lit(0)), F.lit(255)).cast("int")
-    rows = V.read(spark, d, "embeddings").select(F.concat(F.lit("v"), "vec_id", F.lit(".png")).alias("name"), F.lit(9).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(71)), level).alias("pixels"))
+    level = lambda i: F.floor(F.least(F.greatest(128 + 400 * x(i), F.lit(0.0)), F.lit(255.0))).cast("int")
+    width, height = 9 + 3 * F.pmod("vec_id", F.lit(4)), 8 + 5 * F.pmod("vec_id", F.lit(3))
+    rows = V.read(spark, d, "embeddings").select(F.concat(F.lit("v"), "vec_id", F.lit(".png")).alias("name"), width.cast("int").alias("width"), F.transform(F.sequence(F.lit(0), (width * height - 1).cast("int")), level).alias("pixels"))
 
     def work(folder):
         images.write_images(rows, folder).agg(F.sum("bytes")).collect()

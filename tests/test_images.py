@@ -101,3 +101,22 @@ def test_pictures_are_decoded_once_and_written_by_many_tasks(spark, tmp_path, mo
     good, _ = images.scan_images(spark, f"file://{tmp_path}")
     assert len(asked) == 1 and "MapInArrow" not in asked[0] and "content" not in asked[0]
     assert {r["dhash"] for r in good.collect()} == {"f" * 16} and images.reduction(20, 9) is images.reduction(20, 9)
+
+
+def test_pictures_of_the_query_are_reduced(spark, monkeypatch):
+    """All pictures were of 9 x 8 pixels, which a reduction leaves as they are."""
+    from quillon.plans.files import image_hashes
+
+    rows = lambda: {r["image_name"]: tuple(r)[1:] for r in image_hashes(spark, "/root/testdata/sf0.001").collect()}
+    want = rows()
+    assert {r[1:] for r in want.values()} == {(w, h) for w in (9, 12, 15, 18) for h in (8, 13, 18)}
+
+    def unreduced(grey):
+        if grey.shape[1] < 9:  # turned
+            return ""
+        bits = (grey[:8, 1:9] > grey[:8, :8]).reshape(-1)
+        return f"{sum(int(b) << i for i, b in enumerate(bits)):016x}"
+
+    monkeypatch.setattr(images, "difference_hash", unreduced)
+    got = rows()
+    assert {n for n, r in want.items() if r == got[n]} == {n for n, r in want.items() if r[1:] == (9, 8)}
